@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.functions.text import filled, html_to_text, plain_name, squeeze
+from tidepost.functions.text import filled, plain_name, squeeze, with_plain_text
 from tidepost.functions.urls import canonical_url
 
 SNAPSHOT_FIELDS = (
@@ -62,10 +62,15 @@ def content_hash(snapshot: Column) -> Column:
     return stable_hash(**{name: snapshot[name] for name in SNAPSHOT_FIELDS})
 
 
-def material_hash(snapshot: Column) -> Column:
-    """identity of the fields a reader of the posting cares about; markup is ignored."""
-    description = F.when(
-        filled(snapshot["description_html"]).isNotNull(), html_to_text(snapshot["description_html"])
-    ).otherwise(squeeze(snapshot["description_text"]))
-    fields = {name: snapshot[name] for name in MATERIAL_FIELDS}
-    return stable_hash(description=description, **fields)
+def with_material_hash(df: DataFrame, snapshot: str, target: str) -> DataFrame:
+    """adds the identity of the fields a reader cares about; markup is ignored."""
+    c = F.col
+    rows = with_plain_text(
+        df.withColumn("_source", c(f"{snapshot}.description_html")), "_source", "_text"
+    )
+    description = F.when(filled(c("_source")).isNotNull(), c("_text")).otherwise(
+        squeeze(c(f"{snapshot}.description_text"))
+    )
+    fields = {name: c(f"{snapshot}.{name}") for name in MATERIAL_FIELDS}
+    rows = rows.withColumn(target, stable_hash(description=description, **fields))
+    return rows.drop("_source", "_text")

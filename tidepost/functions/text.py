@@ -7,7 +7,7 @@ from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -65,15 +65,28 @@ _MARKUP = (
     r"|<!doctype[^>]*>"
     r"|</?[a-z][^>]*>"
 )
-_SIMPLE_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
-_OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)[#a-zA-Z]"
+# Entities decoded natively; the one for '&' comes last, so that one pass
+# never decodes its own output.
+_SIMPLE_ENTITIES = {
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "#39": "'",
+    "nbsp": "\u00a0",
+    "copy": "\u00a9",
+    "reg": "\u00ae",
+    "middot": "\u00b7",
+    "ndash": "\u2013",
+    "mdash": "\u2014",
+    "lsquo": "\u2018",
+    "rsquo": "\u2019",
+    "ldquo": "\u201c",
+    "rdquo": "\u201d",
+    "bull": "\u2022",
+    "hellip": "\u2026",
+    "amp": "&",
+}
+_OTHER_ENTITY = "&(?!(?:" + "|".join(_SIMPLE_ENTITIES) + ");)[#a-zA-Z]"
 _SPECIAL_MARKUP = (
     r"(?is)<(?:template|rt|rp|textarea|title|iframe|noembed|noframes|xmp|plaintext)\b[^>]*>[^<]*<(?!/)"
     r"|<(?:template|rt|rp|plaintext)\b"
@@ -86,7 +99,10 @@ _SPECIAL_MARKUP = (
 
 
 def _decode_simple(text: Column) -> Column:
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), _SIMPLE_ENTITIES, text)
+    decoded = reduce(
+        lambda acc, e: F.replace(acc, F.lit(f"&{e[0]};"), F.lit(e[1])), _SIMPLE_ENTITIES.items(), text
+    )
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 class _TextNodes(HTMLParser):
@@ -130,30 +146,25 @@ def _parse_html(values: pd.Series) -> pd.Series:
     return values.map(_parsed_text)
 
 
-def markup_free(source: Column) -> Column:
-    """The native form of F3, exact for plain markup and the simple entities."""
-    return squeeze(_decode_simple(F.regexp_replace(_decode_simple(source), _MARKUP, " ")))
-
-
-def needs_parser(source: Column) -> Column:
-    """Whether a document holds constructs the native form does not cover."""
-    decoded = _decode_simple(source)
-    stripped = F.regexp_replace(decoded, _MARKUP, " ")
-    return (
-        source.rlike(_OTHER_ENTITY)
-        | decoded.rlike(_OTHER_ENTITY)
-        | stripped.contains("<")
-        | decoded.rlike(_SPECIAL_MARKUP)
-    )
-
+def with_plain_text(df: DataFrame, source: str, target: str) -> DataFrame:
+    """adds the visible text of a fragment or page, entities decoded twice; empty is null.
 
-def html_to_text(source: Column) -> Column:
-    """visible text of a fragment or page, entities decoded twice; empty becomes null.
-
-    Most fragments stay in the native form. Only those with rare entities, raw ``<`` or
-    odd markup travel to Python, the others pass as nulls.
+    Most fragments stay in the native form. Only those with rare entities, raw ``<`` or odd
+    markup travel to Python, the others pass as nulls. The steps are columns of their own, so
+    that each is computed once.
     """
-    value = filled(source)
-    hard = needs_parser(value)
-    parsed = squeeze(_parse_html(F.when(hard, value)))
-    return F.when(value.isNull(), F.lit(None)).when(hard, parsed).otherwise(markup_free(value))
+    c = F.col
+    rows = df.withColumn("_html", filled(c(source)))
+    rows = rows.withColumn("_decoded", _decode_simple(c("_html")))
+    rows = rows.withColumn("_bare", F.regexp_replace("_decoded", _MARKUP, " "))
+    hard = (
+        c("_html").rlike(_OTHER_ENTITY)
+        | c("_decoded").rlike(_OTHER_ENTITY)
+        | c("_bare").contains("<")
+        | c("_decoded").rlike(_SPECIAL_MARKUP)
+    )
+    rows = rows.withColumn("_hard", hard)
+    rows = rows.withColumn("_parsed", _parse_html(F.when(c("_hard"), c("_html"))))
+    text = F.when(c("_hard"), c("_parsed")).otherwise(_decode_simple(c("_bare")))
+    rows = rows.withColumn(target, F.when(c("_html").isNotNull(), squeeze(text)))
+    return rows.drop("_html", "_decoded", "_bare", "_hard", "_parsed")

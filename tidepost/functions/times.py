@@ -7,13 +7,21 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EXTENDED = (
-    r"^(\d{4}-\d{2}-\d{2})(?:.(\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?)"
-    r"([+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$"
-)
-_BASIC = (
-    r"^(\d{4})(\d{2})(\d{2})(?:.(\d{2})(\d{2})?(\d{2}(?:[.,]\d+)?)?([+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$"
+# Steps that bring every accepted ISO spelling to one form, in this order.
+_TO_ONE_FORM = (
+    (r"Z", "+00:00"),
+    (r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{4}-\d{2}-\d{2}).(?=\d{2})", "$1 "),
+    (r"^(.{11}\d{2})(\d{2})", "$1:$2"),
+    (r"^(.{11}\d{2}:\d{2})(\d{2})", "$1:$2"),
+    (r"^(.{11}\d{2})(?=$|[+-])", "$1:00"),
+    (r"^(.{11}\d{2}:\d{2})(?=$|[+-])", "$1:00"),
+    (r",", "."),
+    (r"^(.{11}[\d:.]+[+-]\d{2})(\d{2})?(\d{2})?$", "$1:$2:$3"),
+    (r"([+-]\d{2})::$", "$1:00"),
+    (r"([+-]\d{2}:\d{2}):$", "$1"),
 )
+_ONE_FORM = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:\d{2}(:\d{2})?)?)?$"
 
 
 class InvalidDateFilter(ValueError):
@@ -22,37 +30,11 @@ class InvalidDateFilter(ValueError):
 
 def iso_time(text: Column) -> Column:
     """F5 for text: ISO 8601 date or time, no zone means UTC, anything else null."""
-    value = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    basic_day = F.regexp_replace(value, _BASIC, "$1-$2-$3")
-    basic_clock = F.concat_ws(
-        ":", *[F.nullif(F.regexp_extract(value, _BASIC, g), F.lit("")) for g in (4, 5, 6)]
-    )
-    is_basic = value.rlike(_BASIC)
-    day = F.when(is_basic, basic_day).otherwise(F.regexp_extract(value, _EXTENDED, 1))
-    clock = F.when(is_basic, basic_clock).otherwise(F.regexp_extract(value, _EXTENDED, 2))
-    zone = F.when(is_basic, F.regexp_extract(value, _BASIC, 7)).otherwise(
-        F.regexp_extract(value, _EXTENDED, 3)
-    )
-    clock = F.replace(clock, F.lit(","), F.lit("."))
-    clock = F.regexp_replace(clock, r"(\.\d{6})\d+$", "$1")
-    full_clock = (
-        F.when(clock == "", "00:00:00")
-        .when(F.length(clock) == 2, F.concat(clock, F.lit(":00:00")))
-        .when(F.length(clock) == 5, F.concat(clock, F.lit(":00")))
-        .otherwise(clock)
-    )
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    offset = F.when(zone == "", 0).otherwise(
-        F.substring(digits, 1, 2).cast("int") * 3600
-        + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0)) * 60
-        + F.coalesce(F.nullif(F.substring(digits, 5, 2), F.lit("")).cast("int"), F.lit(0))
-    )
-    signed = F.when(F.startswith(zone, F.lit("-")), -offset).otherwise(offset)
-    local = F.concat(day, F.lit(" "), full_clock, F.lit("+00:00")).try_cast("timestamp")
-    valid = value.rlike(_EXTENDED) | is_basic
-    return F.when(
-        valid & (F.abs(offset) < 86400), F.timestamp_add("SECOND", -signed, local)
-    )
+    for pattern, form in _TO_ONE_FORM:
+        text = F.regexp_replace(text, pattern, form)
+    zoned = F.regexp_replace(text, r"^(.{11}[\d:.]+)$", "$1+00:00")
+    valid = F.when(zoned.rlike(_ONE_FORM), zoned)
+    return F.regexp_replace(valid, r"^(.{10})$", "$1 00:00:00+00:00").try_cast("timestamp")
 
 
 def epoch_time(number: Column) -> Column:

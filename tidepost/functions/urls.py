@@ -57,19 +57,24 @@ def query_pairs(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """scheme and authority in lower case, tracking keys and fragment dropped."""
-    kept = F.filter(query_pairs(url), lambda p: ~F.startswith(F.lower(p["key"]), F.lit("utm_")))
+    pieces = F.struct(
+        F.lower(_part(url, 1)).alias("scheme"), authority(url).alias("host"), path(url).alias("path"),
+        query_pairs(url).alias("pairs"),
+    )
+    return F.transform(F.array(pieces), _joined)[0]
+
+
+def _joined(url: Column) -> Column:
+    kept = F.filter(url["pairs"], lambda p: ~F.startswith(F.lower(p["key"]), F.lit("utm_")))
     text = F.array_join(
-        F.transform(kept, lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))),
-        "&",
+        F.transform(kept, lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))), "&"
     )
-    scheme = F.lower(_part(url, 1))
-    rest = path(url)
-    rooted = F.when((rest != "") & ~F.startswith(rest, F.lit("/")), F.concat(F.lit("/"), rest))
+    no_root = (url["path"] != "") & ~F.startswith(url["path"], F.lit("/"))
+    rooted = F.when(no_root, F.concat(F.lit("/"), url["path"])).otherwise(url["path"])
     return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(authority(url) != "", F.concat(F.lit("//"), authority(url), F.coalesce(rooted, rest)))
-        .otherwise(rest),
-        F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""),
+        F.when(url["scheme"] != "", F.concat(url["scheme"], F.lit(":"))).otherwise(""),
+        F.when(url["host"] != "", F.concat(F.lit("//"), url["host"], rooted)).otherwise(url["path"]),
+        F.regexp_replace(text, "(?s)^(.)", "?$1"),
     )
 
 

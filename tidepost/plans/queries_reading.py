@@ -126,9 +126,9 @@ def _(spark, folder):
     )
 
 
-@query("P1_text_search", f"SELECT {LISTED} FROM d1_jobs WHERE {SHOWN} AND title ILIKE '%a_e%' AND location ILIKE '%AN%'")
+@query("P1_text_search", f"SELECT {LISTED} FROM d1_jobs WHERE {SHOWN} AND title ILIKE '%D _I%' AND location ILIKE '%tion_1%'")
 def _(spark, folder):
-    wanted = JobFilter(title="a_e", location="AN")
+    wanted = JobFilter(title="D _I", location="tion_1")
     return listing.listed(listing.matching_jobs(jobs(spark, folder), companies(spark, folder), None, wanted))
 
 

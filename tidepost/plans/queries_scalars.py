@@ -1 +1,218 @@
-"""Queries."""
+"""Queries: scalar expressions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepost.functions import hashing, redact, text, times, urls, values
+from tidepost.plans.book import query
+from tidepost.plans.views import sql, table, view
+from tidepost.sources.adapters import payload_time
+
+SPACE_CLASS = (
+    r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
+
+
+def _squeezed(column: str) -> str:
+    return f"trim(regexp_replace({column}, '{SPACE_CLASS}', ' ', 'g'))"
+
+
+def _named(column: str) -> str:
+    return f"trim(regexp_replace(lower(replace({column}, 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("F1_squeeze", f"SELECT doc_id, {_squeezed('text')} AS clean FROM documents")
+def _(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", text.squeeze(F.col("text")).alias("clean"))
+
+
+@query("F2_plain_name", f"SELECT doc_id, {_named('text')} AS name FROM documents")
+def _(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", text.plain_name(F.col("text")).alias("name"))
+
+
+@query("F2_plain_title", f"SELECT p_partkey, {_named('p_name')} AS title, {_named('p_brand')} AS brand FROM part")
+def _(spark, folder):
+    return table(spark, folder, "part").select(
+        "p_partkey", text.plain_name(F.col("p_name")).alias("title"), text.plain_name(F.col("p_brand")).alias("brand")
+    )
+
+
+def _entities(column: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        column = f"replace({column}, '{entity}', '{char}')"
+    return column
+
+
+_TAGS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>|</?[a-z][^>]*>"
+
+
+def plain_text_sql(column: str) -> str:
+    stripped = f"regexp_replace({_entities(column)}, '{_TAGS}', ' ', 'g')"
+    return _squeezed(_entities(stripped))
+
+
+@query("F3_html_to_text", f"SELECT page_id, {plain_text_sql('html')} AS text FROM pages")
+def _(spark, folder):
+    return text.with_plain_text(table(spark, folder, "pages"), "html", "text").select("page_id", "text")
+
+
+def canonical_sql(column: str) -> str:
+    pairs = f"list_filter(string_split(regexp_extract({column}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '')"
+
+    def coded(part: str) -> str:
+        return f"replace(url_encode(url_decode(replace({part}, '+', ' '))), '%20', '+')"
+
+    kept = f"list_filter({pairs}, lambda p: NOT starts_with(lower(url_decode(split_part(p, '=', 1))), 'utm_'))"
+    coded_pairs = (
+        f"list_transform({kept}, lambda p: {coded(_key)} || '=' || {coded(_rest)})"
+    )
+    joined = f"array_to_string({coded_pairs}, '&')"
+    head = f"regexp_extract({column}, '^([^/]*//[^/?#]*)', 1)"
+    path = f"regexp_extract({column}, '^[^/]*//[^/?#]*([^?#]*)', 1)"
+    return f"lower({head}) || {path} || CASE WHEN {joined} <> '' THEN '?' || {joined} ELSE '' END"
+
+
+_key = "split_part(p, '=', 1)"
+_rest = "regexp_replace(p, '^[^=]*=?', '')"
+
+
+@query("F4_canonical_url", f"SELECT page_id, {canonical_sql('url')} AS canonical FROM pages")
+def _(spark, folder):
+    return table(spark, folder, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(
+    "F5_payload_time",
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+     WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN date_trunc('millisecond', ts) WHEN 4 THEN date_trunc('second', ts)
+     WHEN 5 THEN date_trunc('minute', ts) END AS at FROM events""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "events")
+    at, shape = F.col("ts").cast("timestamp"), F.col("event_id") % 7
+    as_text = (
+        F.when(shape == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(shape == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+        .when(shape == 2, F.date_format(at, "yyyy-MM-dd"))
+        .when(shape == 5, F.date_format(at, "yyyyMMdd'T'HHmm"))
+        .when(shape == 6, F.date_format(at, "yyyy"))
+    )
+    as_number = F.when(shape == 3, F.unix_millis(at)).when(shape == 4, F.unix_seconds(at))
+    payload = F.parse_json(F.coalesce(F.to_json(F.struct(as_text.alias("at"), as_number.alias("number")))))
+    value = F.coalesce(
+        F.try_variant_get(payload, "$.at", "variant"), F.try_variant_get(payload, "$.number", "variant")
+    )
+    return rows.select("event_id", payload_time(value).cast("timestamp_ntz").alias("at"))
+
+
+@query(
+    "F6_stable_hash",
+    """SELECT p_partkey, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":' || CAST(p_size AS STRING)
+     || ',"unknown":null}') AS hash FROM part""",
+)
+def _(spark, folder):
+    return table(spark, folder, "part").select(
+        "p_partkey",
+        hashing.stable_hash(
+            size=F.col("p_size"), name=F.col("p_name"), brand=F.col("p_brand"), unknown=F.lit(None).cast("string")
+        ).alias("hash"),
+    )
+
+
+@query(
+    "F7_fingerprint",
+    f"""SELECT job_id, sha256('{{"company":"' || {_named('company_name')} || '","external_id":"' || external_job_id
+     || '","location":"' || {_named('location')} || '","title":"' || {_named('title')} || '","url":"' || application_url || '"}}') AS fingerprint
+    FROM d1_jobs""",
+)
+def _(spark, folder):
+    c = F.col
+    return view(spark, folder, "d1_jobs").select(
+        "job_id",
+        hashing.fingerprint(
+            c("company_name"), c("title"), c("location"), c("application_url"), c("external_job_id")
+        ).alias("fingerprint"),
+    )
+
+
+_SECRETS = "|".join(redact.SECRET_KEYS)
+
+
+@query(
+    "F12_redacted_error",
+    f"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(error_text,
+     '\\b({_SECRETS})=[^&\\s"'']+', '\\1=[redacted]', 'gi'), '\\b(authorization:\\s*)\\S.*', '\\1[redacted]', 'gi'),
+     '\\b(cookie:\\s*)\\S.*', '\\1[redacted]', 'gi'), '(https?://)[^\\s/@]+@', '\\1[redacted]@', 'gi') AS error_text FROM d8_errors""",
+)
+def _(spark, folder):
+    return view(spark, folder, "d8_errors").select("page_id", redact.stored_error(F.col("error_text")).alias("error_text"))
+
+
+@query(
+    "F13_whole_amount",
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(floor(p_retailprice) AS INT) WHEN 1 THEN CAST(floor(p_retailprice) AS INT) END AS amount FROM part",
+)
+def _(spark, folder):
+    whole = F.floor("p_retailprice")
+    kind = F.col("p_partkey") % 5
+    number = (
+        F.when(kind == 0, whole.cast("string"))
+        .when(kind == 1, F.concat(whole.cast("string"), F.lit(".0")))
+        .when(kind == 2, F.concat(whole.cast("string"), F.lit(".58")))
+        .when(kind == 3, "true")
+        .otherwise(F.concat(F.lit('"'), whole.cast("string"), F.lit('"')))
+    )
+    return table(spark, folder, "part").select("p_partkey", values.whole_amount(F.parse_json(number)).alias("amount"))
+
+
+@query(
+    "F15_company_fallback",
+    """SELECT c_custkey, CASE c_nationkey % 3 WHEN 1 THEN c_name ELSE n_name END AS company
+    FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "customer").join(
+        table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    kind = F.col("c_nationkey") % 3
+    given = F.when(kind == 0, " \t ").when(kind == 1, F.concat(F.lit("  "), "c_name", F.lit("\n")))
+    return rows.select("c_custkey", text.company_or_source(given, F.col("n_name")).alias("company"))
+
+
+@query(
+    "F16_day_key",
+    """SELECT source_id, run_day, 'collect_source:' || CAST(source_id AS STRING) || ':' || CAST(CAST(started_at - INTERVAL 8 HOUR AS DATE) AS STRING) AS day_key
+    FROM d5_runs""",
+)
+def _(spark, folder):
+    key = times.day_key(F.col("source_id"), F.col("started_at").cast("timestamp"), F.lit("America/Los_Angeles"))
+    return view(spark, folder, "d5_runs").select("source_id", "run_day", key.alias("day_key"))
+
+
+@query("F19_payload_switch", "SELECT event_id, item_json AS kept, '{}' AS dropped FROM d5_sightings")
+def _(spark, folder):
+    return view(spark, folder, "d5_sightings").select(
+        "event_id",
+        values.kept_payload(F.col("item_json"), True).alias("kept"),
+        values.kept_payload(F.col("item_json"), False).alias("dropped"),
+    )
+
+
+def page_path(column: str = "url") -> str:
+    return f"regexp_extract({column}, '^[^/]*//[^/?#]*([^?#]*)', 1)"
+
+
+@query(
+    "A9_board_token",
+    f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN nullif(split_part(trim({page_path()}, '/'), '/', 1), '')
+     WHEN 1 THEN list_extract(list_filter(string_split({page_path()}, '/'), lambda p: p <> ''), 1)
+     ELSE nullif(regexp_extract(url || '', '[?&]ref=([^&#]*)', 1), '') END AS token FROM pages""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "pages")
+    kind = F.col("page_id") % 3
+    adapter = F.when(kind == 0, "ashby").when(kind == 1, "lever").otherwise("greenhouse")
+    asked = F.regexp_replace("url", r"([?&])ref=", "$1for=")
+    return rows.select("page_id", urls.board_token(asked, adapter).alias("token"))

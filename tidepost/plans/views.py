@@ -101,6 +101,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """Spark SQL text over benchmark tables, without touching the catalog."""
     frames = {}
+    text = text.replace("{", "{{").replace("}", "}}")
     for name in _used(text, TABLES):
         text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
         frames[name] = table(spark, folder, name)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.fixed import MAX_BODY_BYTES, MAX_PAGES, PAGE_SIZE
-from tidepost.functions.text import filled, html_to_text
+from tidepost.functions.text import filled, with_plain_text
 from tidepost.functions.times import epoch_time, iso_time
 from tidepost.functions.urls import board_token
 from tidepost.functions.values import variant_type, whole_amount
@@ -106,7 +106,7 @@ def _ashby(item: Column, source_name: Column, page_url: Column) -> dict[str, Col
         "compensation_max": whole_amount(_at(salary, "maxValue", "variant")),
         "currency": _at(salary, "currencyCode"),
         "external_job_id": _first(_at(item, "id"), _at(item, "jobUrl")),
-        "published_at": payload_time(_at(item, "publishedAt", "variant")),
+        "published_at": _at(item, "publishedAt", "variant"),
     }
 
 
@@ -121,7 +121,7 @@ def _greenhouse(item: Column, source_name: Column, page_url: Column) -> dict[str
         "department": _at(item, "departments[0].name"),
         "location": _at(item, "location.name"),
         "external_job_id": _at(item, "id"),
-        "published_at": payload_time(_at(item, "first_published", "variant")),
+        "published_at": _at(item, "first_published", "variant"),
     }
 
 
@@ -156,7 +156,7 @@ def _lever(item: Column, source_name: Column, page_url: Column) -> dict[str, Col
         "compensation_max": _pay(high),
         "currency": _at(item, "salaryRange.currency"),
         "external_job_id": _at(item, "id"),
-        "published_at": payload_time(_at(item, "createdAt", "variant")),
+        "published_at": _at(item, "createdAt", "variant"),
         "invalid": wrong(_pay(low), low) | wrong(_pay(high), high),
     }
 
@@ -175,7 +175,7 @@ def _jsonld(item: Column, source_name: Column, page_url: Column) -> dict[str, Co
         "remote_type": _at(item, "jobLocationType"),
         "employment_type": first_text(_at(item, "employmentType", "variant")),
         "external_job_id": F.coalesce(identifier, _first(_at(item, "url")), F.lit("")),
-        "published_at": payload_time(_at(item, "datePosted", "variant")),
+        "published_at": _at(item, "datePosted", "variant"),
     }
 
 
@@ -213,8 +213,9 @@ def _chosen(adapters: dict[str, Adapter], branch: Callable[[str, Adapter], Colum
     return out
 
 
-def _is_text(item: Column, path: str) -> Column:
-    return F.coalesce(variant_type(_at(item, path, "variant")), F.lit("VOID")).isin("STRING", "VOID")
+def _some_no_text(item: Column, paths: tuple[str, ...]) -> Column:
+    values = F.filter(F.array(*[_at(item, path, "variant") for path in paths]), lambda v: v.isNotNull())
+    return F.exists(values, lambda v: ~variant_type(v).isin("STRING", "VOID"))
 
 
 def _posting_struct(adapter: Adapter, name: str) -> Column:
@@ -222,9 +223,9 @@ def _posting_struct(adapter: Adapter, name: str) -> Column:
     fields = adapter.posting(item, F.col("source_name"), F.col("source_url"))
     fields.setdefault("ats_type", F.lit(name))
     wrong = fields.pop("invalid", F.lit(False))
-    for path in adapter.texts:
-        wrong = wrong | ~_is_text(item, path)
-    types["published_at"] = "timestamp"
+    if adapter.texts:
+        wrong = wrong | _some_no_text(item, adapter.texts)
+    types["published_at"] = "variant"
     columns = [
         fields.get(f, F.lit(None)).cast(types.get(f, "string")).alias(f)
         for f in POSTING_FIELDS
@@ -277,21 +278,30 @@ def parsed(landed: DataFrame, adapters: dict[str, Adapter], max_bytes: int) -> D
 
 
 def exploded(parsed_rows: DataFrame, adapters: dict[str, Adapter]) -> DataFrame:
-    """One row per item with its posting struct and reject reason."""
-    items = parsed_rows.where("error_message IS NULL").select(
+    """One row per item with its posting fields and reject reason.
+
+    Both unfoldings are outer and filtered afterwards: a plain one would let the optimizer
+    copy the parsing into an inferred filter and run it twice.
+    """
+    items = parsed_rows.select(
         "user_id", "source_id", "source_name", "source_url", "adapter", "run_id", "started_at",
         F.coalesce("skip", F.lit(0)).alias("skip"),
         F.size("items").alias("page_items"),
-        F.posexplode("items").alias("ix", "item"),
-    )
-    items = items.withColumn("position", F.col("skip").cast("bigint") + F.col("ix"))
-    items = items.withColumn(
-        "posting", _chosen(adapters, lambda name, a: _posting_struct(a, name))
+        F.posexplode_outer(F.when(F.col("error_message").isNull(), F.col("items"))).alias("ix", "item"),
+    ).where("item IS NOT NULL")
+    posting = _chosen(adapters, lambda name, a: _posting_struct(a, name))
+    items = items.select(
+        *[c for c in LINEAGE if c != "position"],
+        (F.col("skip").cast("bigint") + F.col("ix")).alias("position"),
+        "skip",
+        "page_items",
+        "item",
+        F.inline_outer(F.array(posting)),
     )
     reason = (
         F.when(~variant_type(F.col("item")).startswith("OBJECT"), "not an object")
-        .when(filled(F.col("posting.application_url")).isNull(), "no application URL")
-        .when(F.col("posting.invalid"), "wrong field type")
+        .when(filled(F.col("application_url")).isNull(), "no application URL")
+        .when(F.col("invalid"), "wrong field type")
     )
     return items.withColumn("reject_reason", reason)
 
@@ -306,21 +316,20 @@ def collect(
     adapters = adapters or REGISTRY
     rows = parsed(landed, adapters, max_bytes)
     items = exploded(rows, adapters)
-    text = F.coalesce(
-        filled(F.col("posting.description_text")), html_to_text(F.col("posting.description_html"))
-    )
     payload = F.col("item") if keep_payload else F.parse_json(F.lit("{}"))
     postings = items.where("reject_reason IS NULL").select(
         *LINEAGE,
         "skip",
         "page_items",
-        *[
-            text.alias(f) if f == "description_text" else F.col(f"posting.{f}").alias(f)
-            for f in POSTING_FIELDS
-            if f != "raw_payload"
-        ],
+        *[f for f in POSTING_FIELDS if f != "raw_payload"],
         payload.alias("raw_payload"),
     )
+    postings = with_plain_text(postings, "description_html", "plain").withColumns(
+        {
+            "description_text": F.coalesce(filled(F.col("description_text")), F.col("plain")),
+            "published_at": payload_time(F.col("published_at")),
+        }
+    ).drop("plain")
     rejects = items.where("reject_reason IS NOT NULL").select(
         *LINEAGE, "skip", "page_items", "reject_reason"
     )

@@ -14,7 +14,7 @@ from tidepost.functions.text import filled
 from tidepost.functions.urls import board_for_host
 
 LANDED = (
-    "user_id bigint, source_id bigint, source_name string, source_url string, adapter string, "
+    "user_id string, source_id string, source_name string, source_url string, adapter string, "
     "run_id string, started_at timestamp, skip int, http_status int, body string"
 )
 
