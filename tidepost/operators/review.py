@@ -187,10 +187,10 @@ def _moves(rows: DataFrame, wave: DataFrame, key: str, kind: str) -> DataFrame:
     A row moves unless the kept job has one with the same key already, or an earlier merge of
     the wave brings one.
     """
-    mine = rows.select("user_id", F.col("job_id").alias("merged_job_id"), key)
+    mine = rows.select("user_id", F.col("job_id").alias("merged_job_id"), key, "origin_job_id")
     theirs = rows.select("user_id", F.col("job_id").alias("kept_job_id"), key)
     free = mine.join(wave, ["user_id", "merged_job_id"]).join(theirs, ["user_id", "kept_job_id", key], "left_anti")
-    first = F.min_by(F.struct("candidate_id", "merged_job_id"), "turn").alias("first")
+    first = F.min_by(F.struct("candidate_id", "merged_job_id", "origin_job_id"), "turn").alias("first")
     return free.groupBy("user_id", "kept_job_id", key).agg(first).select(
         "user_id", "kept_job_id", key, "first.*", F.lit(kind).alias("kind")
     )
@@ -214,7 +214,9 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
         versions = written(_moved(versions, version_moves, "content_hash"), "versions")
         for part, key in ((link_moves, "source_id"), (version_moves, "content_hash")):
             moves = moves.unionByName(
-                part.select("user_id", "candidate_id", "kind", F.col(key).cast("string").alias("moved_key"))
+                part.select(
+                    "user_id", "candidate_id", "kind", "origin_job_id", F.col(key).cast("string").alias("moved_key")
+                )
             )
         todo = written(todo.join(wave.select("user_id", "candidate_id"), ["user_id", "candidate_id"], "left_anti"), "todo")
     done = checked.where("outcome = 'merged'")
@@ -321,11 +323,11 @@ def unmerged_registry(registry: Registry, requests: DataFrame) -> tuple[Registry
 
 
 def _returned(rows: DataFrame, back: DataFrame, key: str) -> DataFrame:
-    home = back.select(
-        "user_id", F.col("kept_job_id").alias("job_id"), F.col("moved_key").cast(rows.schema[key].dataType).alias(key),
-        F.col("merged_job_id").alias("home_job"),
-    )
-    out = rows.join(home, ["user_id", "job_id", key], "left")
+    """Moved rows, known by the job they were made for, go where the latest request sends them."""
+    home = back.groupBy(
+        "user_id", "origin_job_id", F.col("moved_key").cast(rows.schema[key].dataType).alias(key)
+    ).agg(F.max_by("merged_job_id", F.struct("decided_at", "candidate_id")).alias("home_job"))
+    out = rows.join(home, ["user_id", "origin_job_id", key], "left")
     return out.withColumn("job_id", F.coalesce("home_job", "job_id")).select(*rows.columns)
 
 

@@ -28,14 +28,14 @@ SCHEMAS = {
     "external_job_id string, published_at timestamp, fingerprint string, content_hash string, "
     "raw_payload variant, first_seen_at timestamp, last_seen_at timestamp, status string, "
     "removed_at timestamp, merged_into_job_id string, reposted_from_job_id string, user_decision string",
-    "links": "user_id string, job_id string, source_id string, source_job_url string, "
+    "links": "user_id string, job_id string, source_id string, origin_job_id string, source_job_url string, "
     "first_seen_at timestamp, last_seen_at timestamp, is_active boolean, removed_at timestamp",
-    "versions": f"user_id string, job_id string, content_hash string, material_hash string, "
+    "versions": f"user_id string, job_id string, content_hash string, origin_job_id string, material_hash string, "
     f"seen_at timestamp, snapshot {SNAPSHOT}, is_material boolean",
     "candidates": "user_id string, candidate_id string, job_id string, candidate_job_id string, "
     "similarity_score double, company_score double, title_score double, location_score double, "
     "status string, created_at timestamp, resolved_at timestamp, kept_job_id string, merged_job_id string",
-    "moves": "user_id string, candidate_id string, kind string, moved_key string",
+    "moves": "user_id string, candidate_id string, kind string, origin_job_id string, moved_key string",
     "events": "user_id string, event_type string, entity_type string, entity_id string, "
     "message string, data string, created_at timestamp",
 }

@@ -270,6 +270,7 @@ def link_upsert(links: DataFrame, sightings: DataFrame) -> DataFrame:
     hit = F.col("last_time").isNotNull()
     return rows.select(
         "user_id", "job_id", "source_id",
+        F.coalesce("origin_job_id", "job_id").alias("origin_job_id"),
         F.coalesce("url", "source_job_url").alias("source_job_url"),
         F.coalesce("first_seen_at", "first_time").alias("first_seen_at"),
         F.coalesce("last_time", "last_seen_at").alias("last_seen_at"),
@@ -286,7 +287,8 @@ def version_append(versions: DataFrame, rows: DataFrame) -> DataFrame:
     new = first.join(versions.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
     return versions.unionByName(
         new.select(
-            "user_id", "job_id", "content_hash", "v.material_hash", "v.seen_at", "v.snapshot", "v.is_material"
+            "user_id", "job_id", "content_hash", F.col("job_id").alias("origin_job_id"),
+            "v.material_hash", "v.seen_at", "v.snapshot", "v.is_material",
         )
     )
 
