@@ -41,7 +41,7 @@ def finished_runs(
         return out.withColumn("jobs_rejected", F.lit(0).cast("bigint"))
     counted = rejects.groupBy("run_id").agg(F.count(F.lit(1)).alias("jobs_rejected"))
     return out.join(counted, "run_id", "left").withColumn(
-        "jobs_rejected", F.when(failed, 0).otherwise(F.coalesce("jobs_rejected", F.lit(0)))
+        "jobs_rejected", F.when(F.col("status") == "success", F.coalesce("jobs_rejected", F.lit(0))).otherwise(0)
     )
 
 
