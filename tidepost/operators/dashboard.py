@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def changed_jobs(versions: DataFrame, jobs: DataFrame, since: Column) -> DataFrame:
     """Jobs (not merged) with a material version since ``since``, once each."""
-    recent = versions.where(F.col("is_material") & (F.col("seen_at") >= since)).select("job_id")
+    recent = versions.where(F.col("is_material") & (F.col("seen_at") >= since)).select("job_id").distinct()
     return jobs.where("status <> 'merged'").join(recent, "job_id", "left_semi")
 
 

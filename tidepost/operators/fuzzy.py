@@ -70,7 +70,7 @@ def _may_reach(left: str, right: str, gate: Column) -> Column:
     a, b = F.length(left), F.length(right)
     lengths = 2.0 * F.least(a, b) >= (gate - 1e-9) * (a + b)
     edits = F.floor((1.0 - gate + 1e-9) * (a + b)).cast("int")
-    return lengths & (F.levenshtein(F.col(left), F.col(right)) <= edits)
+    return lengths & (F.call_function("levenshtein", F.col(left), F.col(right), edits) >= 0)
 
 
 def title_pairs(new: DataFrame, existing: DataFrame, rule: MatchRule) -> DataFrame:

@@ -22,6 +22,7 @@ from tidepost.operators.tombstones import survivors
 from tidepost.session import written
 
 ORDER = ["started_at", "run_id", "position"]
+ITEM = ["run_id", "position"]
 KEYS = ["user_id", "fingerprint", "ats_key", "id_key"]
 CONTENT = (
     "title", "normalized_title", "description_text", "description_html", "department", "location",
@@ -75,7 +76,9 @@ def by_fingerprint(keys: DataFrame, jobs: DataFrame) -> DataFrame:
     stored = jobs.select(
         "user_id", "fingerprint", F.col("job_id").alias("hit"), (F.col("status") == "merged").alias("dead")
     )
-    rows = keys.join(stored, ["user_id", "fingerprint"], "left")
+    rows = written(keys.join(stored, ["user_id", "fingerprint"], "left"), "hits")
+    if rows.where("dead").isEmpty():
+        return rows.select(*keys.columns, F.col("hit").alias("target"), F.lit(False).alias("via_merge"))
     moved = survivors(jobs).select("user_id", F.col("job_id").alias("hit"), "survivor_id")
     rows = rows.join(moved, ["user_id", "hit"], "left")
     return rows.select(
@@ -155,9 +158,17 @@ def matched_keys(items: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def sequenced(items: DataFrame, registry: Registry, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Items with job, and against the job's content right before: created, updated, material."""
+    """Items with job, and against the job's content right before: created, updated, material.
+
+    Only keys, hashes and times take part; texts and payloads stay where they were written.
+    """
     matches = matched_keys(items, registry.jobs)
-    rows = items.join(matches, KEYS)
+    slim = items.select(
+        *KEYS, *ORDER, "ord", "source_id", "seen_at", "content_hash", "material_hash",
+        "company_name", "normalized_company", "normalized_title", "location",
+        F.coalesce(filled(F.col("source_job_url")), F.col("application_url")).alias("link_url"),
+    )
+    rows = slim.join(matches, KEYS)
     rows = lagged(
         rows,
         ["job_id"],
@@ -206,7 +217,7 @@ def _touched(rows: DataFrame) -> DataFrame:
     """One row per job of a batch: times, last content that differed, last own fingerprint."""
     changes = F.col("created") | F.col("updated")
     return rows.groupBy("user_id", "job_id").agg(
-        F.max_by(F.struct(*CONTENT), F.when(changes, F.col("ord"))).alias("content"),
+        F.max_by(F.struct(*ITEM), F.when(changes, F.col("ord"))).alias("pick"),
         F.max_by("fingerprint", F.when(changes & ~F.col("via_merge"), F.col("ord"))).alias("new_print"),
         F.min("seen_at").alias("first_time"),
         F.max_by("seen_at", "ord").alias("last_time"),
@@ -215,12 +226,15 @@ def _touched(rows: DataFrame) -> DataFrame:
     )
 
 
-def _company_ids(touched: DataFrame, companies: DataFrame) -> DataFrame:
+def _with_content(touched: DataFrame, texts: DataFrame, companies: DataFrame) -> DataFrame:
+    """Touched jobs with the content of the item that decides it, and its company."""
     ids = companies.select(
-        "user_id", F.col("normalized_name").alias("company_key"), F.col("company_id").alias("new_company")
+        "user_id", F.col("normalized_name").alias("normalized_company"), F.col("company_id").alias("new_company")
     )
-    rows = touched.withColumn("company_key", F.col("content.normalized_company"))
-    return rows.join(ids, ["user_id", "company_key"], "left")
+    content = texts.join(ids, ["user_id", "normalized_company"], "left").select(
+        F.struct(*ITEM).alias("pick"), F.struct(*CONTENT).alias("content"), "new_company"
+    )
+    return touched.join(content, "pick", "left").drop("pick")
 
 
 def job_upsert(jobs: DataFrame, touched: DataFrame) -> DataFrame:
@@ -234,7 +248,7 @@ def job_upsert(jobs: DataFrame, touched: DataFrame) -> DataFrame:
         F.col("first_time").alias("first_seen_at"), F.col("last_time").alias("last_seen_at"),
         F.lit("active").alias("status"),
     )
-    hits = touched.where("NOT is_new").drop("is_new", "first_ord", "company_key")
+    hits = touched.where("NOT is_new").drop("is_new", "first_ord")
     rows = jobs.join(hits, ["user_id", "job_id"], "left")
     hit = F.col("last_time").isNotNull()
     over = {
@@ -260,7 +274,7 @@ def link_sightings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "job_id", "source_id").agg(
         F.min("seen_at").alias("first_time"),
         F.max("seen_at").alias("last_time"),
-        F.max_by(F.coalesce(filled(F.col("source_job_url")), F.col("application_url")), "ord").alias("url"),
+        F.max_by("link_url", "ord").alias("url"),
     )
 
 
@@ -279,16 +293,22 @@ def link_upsert(links: DataFrame, sightings: DataFrame) -> DataFrame:
     )
 
 
-def version_append(versions: DataFrame, rows: DataFrame) -> DataFrame:
-    """M3: one more version per (job, content) the table does not hold yet."""
+def new_versions(versions: DataFrame, rows: DataFrame) -> DataFrame:
+    """M3: first items of the (job, content) pairs the table does not hold yet."""
     first = rows.where("is_first OR updated").groupBy("user_id", "job_id", "content_hash").agg(
-        F.min_by(F.struct("material_hash", "seen_at", "snapshot", "is_material"), "ord").alias("v")
+        F.min_by(F.struct("material_hash", "seen_at", "is_material", *ITEM), "ord").alias("v")
     )
-    new = first.join(versions.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
+    fresh = first.join(versions.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
+    return fresh.select("user_id", "job_id", "content_hash", "v.*")
+
+
+def version_append(versions: DataFrame, new: DataFrame, texts: DataFrame) -> DataFrame:
+    """M3: the table with the new versions and their snapshots."""
+    rows = new.join(texts.select(*ITEM, "snapshot"), ITEM)
     return versions.unionByName(
-        new.select(
+        rows.select(
             "user_id", "job_id", "content_hash", F.col("job_id").alias("origin_job_id"),
-            "v.material_hash", "v.seen_at", "v.snapshot", "v.is_material",
+            "material_hash", "seen_at", "snapshot", "is_material",
         )
     )
 
@@ -318,12 +338,16 @@ def apply_postings(registry: Registry, postings: DataFrame, limit: int = GROUP_L
     items = written(keyed(postings), "items")
     rows = written(sequenced(items, registry, limit), "sequence")
     companies = company_upsert(registry.companies, rows)
-    touched = _company_ids(_touched(rows), companies)
+    touched = written(_touched(rows), "touched")
+    versions = written(new_versions(registry.versions, rows), "versions")
+    # Texts and payloads are fetched for the items that end up in a table, each once.
+    needed = touched.where("pick IS NOT NULL").select("pick.*").union(versions.select(*ITEM)).distinct()
+    texts = written(items.join(needed, ITEM, "left_semi"), "texts")
     after = registry.changed(
         companies=companies,
-        jobs=job_upsert(registry.jobs, touched),
+        jobs=job_upsert(registry.jobs, _with_content(touched, texts, companies)),
         links=link_upsert(registry.links, link_sightings(rows)),
-        versions=version_append(registry.versions, rows),
+        versions=version_append(registry.versions, versions, texts),
     )
     # What a new job first looked like decides what it resembles.
     new_jobs = rows.where("created").select(

@@ -154,8 +154,7 @@ def _(spark, folder):
 def _(spark, folder):
     rows = view(spark, folder, "d5_sightings").withColumns(
         {
-            "user_id": F.lit("1"), "job_id": F.col("event_type"), "source_job_url": F.lit(None).cast("string"),
-            "application_url": F.lit("u"), "ord": F.col("event_id"),
+            "user_id": F.lit("1"), "job_id": F.col("event_type"), "link_url": F.lit("u"), "ord": F.col("event_id"),
         }
     )
     return upsert.link_sightings(rows).select("source_id", F.col("job_id").alias("event_type"), "first_time", "last_time")

@@ -15,6 +15,7 @@ LISTED = (
     "job_id, company_name, title, location, application_url, ats_type, CAST(NULL AS TIMESTAMP) AS published_at, "
     "first_seen_at, last_seen_at, status, reposted_from_job_id, user_decision"
 )
+ALL_JOBS = "WITH all_jobs AS MATERIALIZED (SELECT * FROM d1_jobs)"
 SHOWN = "status <> 'merged' AND (user_decision IS NULL OR user_decision NOT IN ('irrelevant', 'archived'))"
 
 
@@ -126,13 +127,13 @@ def _(spark, folder):
     )
 
 
-@query("P1_text_search", f"SELECT {LISTED} FROM d1_jobs WHERE {SHOWN} AND title ILIKE '%D _I%' AND location ILIKE '%tion_1%'")
+@query("P1_text_search", f"{ALL_JOBS} SELECT {LISTED} FROM all_jobs WHERE {SHOWN} AND title ILIKE '%D _I%' AND location ILIKE '%tion_1%'")
 def _(spark, folder):
     wanted = JobFilter(title="D _I", location="tion_1")
     return listing.listed(listing.matching_jobs(jobs(spark, folder), companies(spark, folder), None, wanted))
 
 
-@query("P2_equality_filters", f"SELECT {LISTED} FROM d1_jobs WHERE {SHOWN} AND status = 'removed' AND ats_type LIKE 'E%'")
+@query("P2_equality_filters", f"{ALL_JOBS} SELECT {LISTED} FROM all_jobs WHERE {SHOWN} AND status = 'removed' AND ats_type LIKE 'E%'")
 def _(spark, folder):
     found = listing.matching_jobs(
         jobs(spark, folder), companies(spark, folder), None, JobFilter(status="removed")
@@ -142,7 +143,7 @@ def _(spark, folder):
 
 @query(
     "P3_time_range",
-    f"""SELECT {LISTED} FROM d1_jobs WHERE {SHOWN} AND first_seen_at >= TIMESTAMP '1997-03-01 00:00:00'
+    f"""{ALL_JOBS} SELECT {LISTED} FROM all_jobs WHERE {SHOWN} AND first_seen_at >= TIMESTAMP '1997-03-01 00:00:00'
     AND first_seen_at <= TIMESTAMP '1998-02-28 23:59:59.999999'""",
 )
 def _(spark, folder):
@@ -150,12 +151,12 @@ def _(spark, folder):
     return listing.listed(listing.matching_jobs(jobs(spark, folder), companies(spark, folder), None, wanted))
 
 
-@query("P4_decision_default", f"SELECT {LISTED} FROM d1_jobs WHERE {SHOWN}")
+@query("P4_decision_default", f"{ALL_JOBS} SELECT {LISTED} FROM all_jobs WHERE {SHOWN}")
 def _(spark, folder):
     return listing.listed(listing.matching_jobs(jobs(spark, folder), companies(spark, folder), None, JobFilter()))
 
 
-@query("P4_decision_asked", f"SELECT {LISTED} FROM d1_jobs WHERE status <> 'merged' AND user_decision IN ('archived', 'watch')")
+@query("P4_decision_asked", f"{ALL_JOBS} SELECT {LISTED} FROM all_jobs WHERE status <> 'merged' AND user_decision IN ('archived', 'watch')")
 def _(spark, folder):
     wanted = JobFilter(decision=("archived", "watch"))
     return listing.listed(listing.matching_jobs(jobs(spark, folder), companies(spark, folder), None, wanted))
@@ -183,20 +184,20 @@ def _(spark, folder):
     return jobs(spark, folder).where(listing.time_filters(wanted)).select("job_id", "first_seen_at")
 
 
-@query("F20_list_rows", f"SELECT {LISTED} FROM d1_jobs")
+@query("F20_list_rows", f"{ALL_JOBS} SELECT {LISTED} FROM all_jobs")
 def _(spark, folder):
     return listing.listed(listing.with_company(jobs(spark, folder), companies(spark, folder)))
 
 
 @query(
     "T1_newest_jobs",
-    f"SELECT {LISTED} FROM d1_jobs WHERE {SHOWN} ORDER BY first_seen_at DESC, job_id LIMIT 50 OFFSET 25",
+    f"{ALL_JOBS} SELECT {LISTED} FROM all_jobs WHERE {SHOWN} ORDER BY first_seen_at DESC, job_id LIMIT 50 OFFSET 25",
 )
 def _(spark, folder):
     return listing.list_jobs(jobs(spark, folder), companies(spark, folder), limit=50, offset=25)
 
 
-@query("T7_recent_jobs", f"SELECT {LISTED} FROM d1_jobs WHERE {SHOWN} ORDER BY first_seen_at DESC, job_id LIMIT 6")
+@query("T7_recent_jobs", f"{ALL_JOBS} SELECT {LISTED} FROM all_jobs WHERE {SHOWN} ORDER BY first_seen_at DESC, job_id LIMIT 6")
 def _(spark, folder):
     return listing.recent_jobs(jobs(spark, folder), companies(spark, folder))
 

@@ -28,8 +28,8 @@ SELECT o_orderkey AS job_id, o_custkey % 10 AS user_id, o_custkey AS company_id,
   WHEN '4-NOT SPECIFIED' THEN 'irrelevant' WHEN '5-LOW' THEN 'archived' END AS user_decision,
  CASE WHEN o_orderstatus = 'P' AND o_orderkey >= 3 THEN o_orderkey - 3 END AS merged_into_job_id,
  CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 10 = 5 THEN o_orderkey - 5 END AS reposted_from_job_id
-FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
- JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
+FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS part_key FROM orders) o
+ JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN part ON p_partkey = part_key
 """,
     "d2_sources": """
 SELECT s_suppkey AS source_id, s_suppkey % 10 AS user_id, s_name AS name,
