@@ -25,10 +25,12 @@ class MatchRule:
 
 @F.pandas_udf(DoubleType())
 def ratio(incoming: pd.Series, existing: pd.Series) -> pd.Series:
-    """matching-blocks ratio; the order of the two arguments matters."""
-    return pd.Series(
-        [SequenceMatcher(None, a, b).ratio() for a, b in zip(incoming, existing)], dtype="float64"
-    )
+    """matching-blocks ratio, each pair of a batch once; the order of the arguments matters."""
+    seen: dict[tuple[str, str], float] = {}
+    for pair in zip(incoming, existing):
+        if pair not in seen:
+            seen[pair] = SequenceMatcher(None, *pair).ratio()
+    return pd.Series([seen[pair] for pair in zip(incoming, existing)], dtype="float64")
 
 
 def composite(company: Column, title: Column, location: Column, rule: MatchRule) -> Column:

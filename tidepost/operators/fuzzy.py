@@ -96,75 +96,143 @@ def title_pairs(new: DataFrame, existing: DataFrame, rule: MatchRule) -> DataFra
     return same.unionByName(close.select(*same.columns))
 
 
+def _work(left: DataFrame, right: DataFrame, by: list[str]) -> float:
+    """How many pairs a join by ``by`` would look at."""
+    counts = left.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("l")).join(
+        right.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("r")), by
+    )
+    return counts.agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0.0
+
+
+def close_companies(asked: DataFrame, right: DataFrame, rule: MatchRule) -> DataFrame:
+    """Distinct (new, old) companies per user that are unequal and may reach the gate.
+
+    They can meet per user, or per user and title; both find every pair that counts. Few
+    companies under many titles make the first cheaper, many companies the second, so the
+    number of pairs each would look at decides.
+    """
+    new = asked.select("user_id", "new_company").distinct()
+    old = right.select("user_id", "old_company").distinct()
+    keys = {
+        name: F.explode(block_keys(F.col(name), rule.company_gate)) for name in ("new_company", "old_company")
+    }
+    by_user = new.withColumn("key", keys["new_company"]), old.withColumn("key", keys["old_company"])
+    new_keys, old_keys = (written(part, "keys") for part in by_user)
+    titled_new = asked.select("user_id", "old_title", "new_company").distinct().join(
+        new_keys, ["user_id", "new_company"]
+    )
+    titled_old = right.select("user_id", "old_title", "old_company").join(old_keys, ["user_id", "old_company"])
+    on = ["user_id", "key"]
+    left, other = new_keys, old_keys
+    if _work(titled_new, titled_old, ["user_id", "old_title", "key"]) < _work(new_keys, old_keys, on):
+        left, other, on = titled_new, titled_old, ["user_id", "old_title", "key"]
+    near = _may_reach("new_company", "old_company", F.lit(rule.company_gate))
+    return left.join(other, on).where((F.col("new_company") != F.col("old_company")) & near).select(
+        "user_id", "new_company", "old_company"
+    ).distinct()
+
+
 def name_pairs(new: DataFrame, existing: DataFrame, titles: DataFrame, rule: MatchRule) -> DataFrame:
-    """Distinct (title, company) of both sides under matching titles, companies passing too.
+    """(title, company) of both sides under matching titles, companies passing too.
 
-    A pair of titles leaves a minimum for the company ratio, as the place adds at most its
-    weight; companies meet only under that minimum.
+    A pair can be left out when its score with an equal place stays below the gate, or below
+    what a stored posting of another pair reaches at whatever place.
     """
     left = new.select("user_id", F.col("title").alias("new_title"), F.col("company").alias("new_company")).distinct()
-    right = existing.select(
+    right = existing.groupBy(
         "user_id", F.col("title").alias("old_title"), F.col("company").alias("old_company")
-    ).distinct()
+    ).agg(F.bool_or(F.col("since").isNull()).alias("stored"))
     asked = left.join(titles, ["user_id", "new_title"])
-    floor = (
-        F.lit(rule.composite_gate) - rule.title_weight * F.col("title_score") - rule.location_weight
-    ) / rule.company_weight
-    asked = asked.withColumn("floor", F.greatest(floor - 1e-9, F.lit(rule.company_gate)))
-    same = asked.join(
-        right.withColumnRenamed("old_company", "new_company"), ["user_id", "old_title", "new_company"]
-    ).withColumns({"old_company": F.col("new_company"), "company_score": F.lit(1.0)})
-    left_keys = asked.withColumn("key", F.explode(block_keys(F.col("new_company"), rule.company_gate)))
-    right_keys = right.withColumn("key", F.explode(block_keys(F.col("old_company"), rule.company_gate)))
-    close = (
-        left_keys.join(right_keys, ["user_id", "old_title", "key"])
-        .where((F.col("new_company") != F.col("old_company")) & _may_reach("new_company", "old_company", F.col("floor")))
-        .drop("key")
-        .distinct()
-    )
+    asked, right = written(asked, "asked"), written(right, "right")
+    close = close_companies(asked, right, rule)
     scores = close.select("new_company", "old_company").distinct().withColumn(
         "company_score", ratio("new_company", "old_company")
     )
     close = close.join(scores.where(F.col("company_score") >= rule.company_gate), ["new_company", "old_company"])
-    out = ["user_id", "new_title", "old_title", "new_company", "old_company", "title_score", "company_score"]
-    pairs = same.select(*out).unionByName(close.select(*out))
+    equal = left.select("user_id", "new_company").distinct().withColumns(
+        {"old_company": F.col("new_company"), "company_score": F.lit(1.0)}
+    )
+    companies = written(equal.unionByName(close.select(*equal.columns)), "companies")
+    pairs = asked.join(companies, ["user_id", "new_company"])
+    sure = composite(F.col("company_score"), F.col("title_score"), F.lit(0.0), rule)
     best = composite(F.col("company_score"), F.col("title_score"), F.lit(1.0), rule)
-    return pairs.where(best >= rule.composite_gate - 1e-9)
+    pairs = pairs.where(best >= rule.composite_gate - 1e-9).join(right, ["user_id", "old_title", "old_company"])
+    pairs = written(pairs.withColumn("sure", F.when(F.col("stored") & (sure >= rule.composite_gate), sure)), "pairs")
+    names = ["user_id", "new_title", "new_company"]
+    reached = pairs.groupBy(*names).agg(F.max("sure").alias("reached"))
+    pairs = pairs.join(reached, names).where(F.col("reached").isNull() | (best >= F.col("reached") - 1e-9))
+    return pairs.drop("sure", "stored", "reached")
 
 
-def triple_pairs(new: DataFrame, existing: DataFrame, names: DataFrame, rule: MatchRule) -> DataFrame:
-    """(new, existing) triples that pass all gates, with their scores.
+SCORES = ["company_score", "title_score", "location_score", "score"]
 
-    ``existing`` carries one representative job per triple.
+
+def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: bool) -> DataFrame:
+    """Rows of new triples and matching names against the existing triples of those names.
+
+    Either only existing triples at the same place, met by key, or only those elsewhere, whose
+    lengths must leave room for the score ``reached`` already.
     """
-    left = new.select(
-        "user_id", F.col("title").alias("new_title"), F.col("company").alias("new_company"),
-        F.col("location").alias("new_location"),
-    ).distinct()
     right = existing.select(
         "user_id", F.col("title").alias("old_title"), F.col("company").alias("old_company"),
         F.col("location").alias("old_location"), "match_id", "since",
     )
-    pairs = left.join(names, ["user_id", "new_title", "new_company"]).join(
-        right, ["user_id", "old_title", "old_company"]
-    )
-    apart = pairs.where("new_location <> old_location").select("new_location", "old_location").distinct()
-    scores = apart.withColumn("apart_score", ratio("new_location", "old_location"))
-    pairs = pairs.join(scores, ["new_location", "old_location"], "left").withColumn(
-        "location_score", F.coalesce("apart_score", F.lit(1.0))
-    )
+    if same_place:
+        pairs = rows.join(
+            right.withColumnRenamed("old_location", "location"),
+            ["user_id", "old_title", "old_company", "location"],
+        ).withColumn("location_score", F.lit(1.0))
+    else:
+        pairs = rows.join(right, ["user_id", "old_title", "old_company"]).where("location <> old_location")
+        a, b = F.length("location"), F.length("old_location")
+        at_most = composite(
+            F.col("company_score"), F.col("title_score"), 2.0 * F.least(a, b) / (a + b) + 1e-9, rule
+        )
+        pairs = pairs.where(at_most >= F.col("reached")).withColumn(
+            "location_score", ratio("location", "old_location")
+        )
     company, title, place = F.col("company_score"), F.col("title_score"), F.col("location_score")
     pairs = pairs.withColumn("score", composite(company, title, place, rule))
     return pairs.where(gates_pass(company, title, F.col("score"), rule)).select(
-        "user_id", F.col("new_company").alias("company"), F.col("new_title").alias("title"),
-        F.col("new_location").alias("location"), "match_id", "since",
-        "company_score", "title_score", "location_score", "score",
+        *TRIPLE, "match_id", "since", *SCORES
+    )
+
+
+def _still_open(rows: DataFrame, reached: DataFrame, rule: MatchRule) -> DataFrame:
+    """Rows whose names can still reach the score a new triple has, with that score."""
+    limit = composite(F.col("company_score"), F.col("title_score"), F.lit(1.0), rule)
+    known = reached.select(*TRIPLE, F.col("score").alias("reached"))
+    rows = rows.join(known, TRIPLE, "left")
+    rows = rows.withColumn("reached", F.coalesce("reached", F.lit(rule.composite_gate - 1e-9)))
+    return rows.where(limit >= F.col("reached"))
+
+
+def triple_matches(new: DataFrame, existing: DataFrame, names: DataFrame, rule: MatchRule) -> DataFrame:
+    """Existing triples a job of a new triple may match best.
+
+    First the best stored triple at the same place; then triples elsewhere, only under names
+    that could beat it; then triples that arrived with the batch, where they may beat that.
+    ``existing`` carries one representative job per triple.
+    """
+    rows = new.withColumns({"new_title": F.col("title"), "new_company": F.col("company")}).join(
+        names, ["user_id", "new_title", "new_company"]
+    ).drop("new_title", "new_company")
+    stored, arrived = existing.where("since IS NULL"), existing.where("since IS NOT NULL")
+    here = written(_best(_offers(rows, stored, rule, True), TRIPLE), "here")
+    elsewhere = _offers(_still_open(rows, here, rule), stored, rule, False)
+    best = _best(here.unionByName(elsewhere), TRIPLE)
+    if arrived.isEmpty():
+        return best
+    best = written(best, "stored-best")
+    open_rows = _still_open(rows, best, rule)
+    return best.unionByName(_offers(open_rows, arrived, rule, True)).unionByName(
+        _offers(open_rows, arrived, rule, False)
     )
 
 
 def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The highest score per key, equal scores by the lowest match id."""
-    fields = ["match_id", "since", "company_score", "title_score", "location_score", "score"]
+    fields = ["match_id", "since", *SCORES]
     best = F.min_by(F.struct(*fields), F.struct(-F.col("score"), F.col("match_id"))).alias("best")
     return rows.groupBy(*keys).agg(best).select(*keys, "best.*")
 
@@ -195,13 +263,7 @@ def best_matches(new: DataFrame, existing: DataFrame, rule: MatchRule = MatchRul
     asked = rest.select(*TRIPLE).distinct()
     titles = written(title_pairs(asked, triples, rule), "titles")
     names = written(name_pairs(asked, triples, titles, rule), "names")
-    pairs = written(triple_pairs(asked, triples, names, rule), "pairs")
-    # One stored job per triple is enough; arrivals of the batch count where they beat it.
-    stored = _best(pairs.where("since IS NULL"), TRIPLE)
-    rival = pairs.where("since IS NOT NULL").join(
-        stored.select(*TRIPLE, F.col("score").alias("stored_score")), TRIPLE, "left"
-    ).where("stored_score IS NULL OR score >= stored_score").drop("stored_score")
-    offered = stored.select(*pairs.columns).unionByName(rival)
+    offered = triple_matches(asked, triples, names, rule)
     found = rest.join(offered, TRIPLE).where(_earlier())
     best = _best(found, ["user_id", "job_id"]).drop("since")
     return equal.unionByName(best)
