@@ -186,7 +186,8 @@ def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: b
         pairs = rows.join(right, ["user_id", "old_title", "old_company"]).where("location <> old_location")
         a, b = F.length("location"), F.length("old_location")
         at_most = composite(
-            F.col("company_score"), F.col("title_score"), 2.0 * F.least(a, b) / (a + b) + 1e-9, rule
+            F.col("company_score"), F.col("title_score"),
+            2.0 * F.least(a, b) / F.greatest(a + b, F.lit(1)) + 1e-9, rule,
         )
         pairs = pairs.where(at_most >= F.col("reached")).withColumn(
             "location_score", ratio("location", "old_location")
