@@ -17,7 +17,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under ``name``, with the SQL that must give the same rows."""
 
     def add(run: Query) -> Query:
-        QUERIES[name] = run
+        def in_utc(spark: SparkSession, folder: str) -> DataFrame:
+            # The tables hold times without zone, meant as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return run(spark, folder)
+
+        QUERIES[name] = in_utc
         if sql is not None:
             COUNTERPARTS[name] = counterpart(sql)
         return run
