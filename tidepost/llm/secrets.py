@@ -26,6 +26,8 @@ ASSIGN_CHARS = 12
 
 #: Characters that the models know, as codes from 33 to 126.
 FIRST, WIDTH = 33, 94
+#: Characters that tokens are made of; unseen pairs share their prior.
+LIKELY = 66
 
 
 @dataclass(frozen=True)
@@ -35,11 +37,11 @@ class Models:
     many, chosen by a hash); all values that the patterns find train the other."""
 
     length: int = 20
-    per_char: float = 1.0
+    per_char: float = 2.5
     total: float = 20.0
     sample: int = 4000
     prior_random: float = 40.0
-    prior_ordinary: float = 0.5
+    prior_ordinary: float = 20.0
 
     @property
     def token(self) -> str:
@@ -96,7 +98,7 @@ def log_ratio(random: dict[int, int], ordinary: dict[int, int], how: Models) ->
         out = []
         for a in range(WIDTH):
             row = [counts.get(a * WIDTH + b, 0) for b in range(WIDTH)]
-            out += [math.log((n + prior / WIDTH) / (sum(row) + prior)) for n in row]
+            out += [math.log((n + prior / LIKELY) / (sum(row) + prior)) for n in row]
         return out
 
     both = zip(model(random, how.prior_random), model(ordinary, how.prior_ordinary), strict=True)
