@@ -1,7 +1,7 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets verify them.
 
 Texts with one set of n-grams form a class, and classes are what is joined. Classes that share a band meet in a bucket.
-A class's home is the smallest class it shares any bucket with, so a large group of near copies has one home, and pairs of
+A class's home is the smallest class that a bucket or two lead to, so a large group of near copies has one home, and pairs of
 homes that share a bucket are few. The classes of a home (and of two homes that share a bucket) are compared in blocks of
 bounded size inside tasks, every pair on its full sets; tasks send one row a class, never pairs.
 """
@@ -24,6 +24,8 @@ from tidepost.session import written
 
 #: A block has about so many classes, or so many n-grams, whichever is reached first.
 BLOCK_CLASSES, BLOCK_GRAMS = 256, 1 << 20
+#: A class's home is the smallest class within so many buckets. More hops leave fewer pairs of homes that share a bucket.
+HOPS = 2
 
 
 @dataclass(frozen=True)
@@ -214,6 +216,11 @@ def similar(docs: DataFrame, how: Join | None = None, doc_id: str = "doc_id", te
     buckets = banded.groupBy("band").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = written(banded.join(buckets, "band"), "members")
     homes = members.groupBy("class").agg(F.min("least").alias("home"))
+    for _ in range(HOPS - 1):
+        # The smallest home that a bucket knows becomes the home of all its classes.
+        known_ = members.select("band", "class").join(homes, "class")
+        nearest = known_.groupBy("band").agg(F.min("home").alias("home"))
+        homes = members.select("band", "class").join(nearest, "band").groupBy("class").agg(F.min("home").alias("home"))
     facts = classes.select("class", "size", "key", "grams")
     homes = written(homes.join(facts, "class"), "homes")
     blocks = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("grams"))
