@@ -32,7 +32,6 @@ CATEGORIES = (
 )
 SOURCE_ADAPTERS = ("auto", "ashby", "greenhouse", "lever", "jsonld", "unsupported")
 FREQUENCIES = ("hourly", "every_6_hours", "twice_daily", "daily", "weekly", "manual")
-DECISIONS = ("applied", "irrelevant", "watch", "archived")
 HIDDEN_DECISIONS = ("irrelevant", "archived")
 
 # Query keys whose value is a secret in an error text.
@@ -61,15 +60,11 @@ SECRET_KEYS = (
     "credential",
 )
 
-# Limits of a response and of a list call.
-MAX_BODY_BYTES = 20 * 1024 * 1024
+# The page size of a board and what a list call gives unless asked otherwise.
 PAGE_SIZE = 100
-MAX_PAGES = 50
-MAX_JOBS_LISTED = 200
-DEFAULT_JOBS_LISTED = 50
-MAX_RUNS_LISTED = 20
-MAX_TASKS_LISTED = 200
-MAX_ERROR_CHARS = 4000
+JOBS_LISTED = 50
+RUNS_LISTED = 20
+TASKS_LISTED = 200
 
 # Letters whose full case folding reaches ASCII where lower-casing does not.
 CASE_FOLDS = {

@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidepost.fixed import MAX_ERROR_CHARS, SECRET_KEYS
+from tidepost.fixed import SECRET_KEYS
 
-_SECRET_VALUE = r"(?iU)\b(" + "|".join(SECRET_KEYS) + r")=[^&\s\"']+"
-_AUTHORIZATION = r"(?iU)\b(authorization:\s*)\S[^\n]*"
-_COOKIE = r"(?iU)\b(cookie:\s*)\S[^\n]*"
-_USER_INFO = r"(?iU)(https?://)[^\s/@]+@"
+MASK = "[redacted]"
+# Headers whose whole value is secret; it ends with the line.
+SECRET_HEADERS = ("authorization", "cookie")
+
+
+def _any_case(words: tuple[str, ...], before: str, secret: str) -> str:
+    """A pattern for one of ``words`` and what leads up to the secret (kept), then the secret."""
+    return rf"(?iU)(?<lead>\b(?:{'|'.join(words)}){before}){secret}"
+
+
+# What is kept comes as group 1, what follows it is masked.
+RULES = (
+    (_any_case(SECRET_KEYS, "=", r"[^'\"&\s]+"), ""),
+    (_any_case(SECRET_HEADERS, r":\s*", r"[^\s][^\n]*"), ""),
+    # User name and password of an address.
+    (r"(?iU)(?<lead>\bhttps?://|https?://)[^@/\s]+@", "@"),
+)
 
 
 def redacted(text: Column) -> Column:
-    text = F.regexp_replace(text, _SECRET_VALUE, "$1=[redacted]")
-    text = F.regexp_replace(text, _AUTHORIZATION, "$1[redacted]")
-    text = F.regexp_replace(text, _COOKIE, "$1[redacted]")
-    return F.regexp_replace(text, _USER_INFO, "$1[redacted]@")
+    for pattern, after in RULES:
+        text = F.regexp_replace(text, pattern, f"$1{MASK}{after}")
+    return text
 
 
 def stored_error(text: Column) -> Column:
-    """The redacted text as a run keeps it."""
-    return F.left(redacted(text), F.lit(MAX_ERROR_CHARS))
+    """The redacted text as a run keeps it: all of it, however long."""
+    return redacted(text)

@@ -58,15 +58,3 @@ def bag(name: Column) -> Column:
         chars, lambda c, i: F.concat(c, (i + 2 - F.array_position(chars, c)).cast("string"))
     )
 
-
-def length_bound(left: Column, right: Column, threshold: float) -> Column:
-    """False only where the lengths alone keep the ratio below the threshold."""
-    floor = threshold / (2 - threshold) - 1e-9
-    return F.least(left, right) >= floor * F.greatest(left, right)
-
-
-def overlap_bound(left_bag: Column, right_bag: Column, threshold) -> Column:
-    """False only where the shared characters alone keep the ratio below the threshold."""
-    shared = F.size(F.array_intersect(left_bag, right_bag))
-    total = F.size(left_bag) + F.size(right_bag)
-    return 2.0 * shared >= (threshold - 1e-9) * total

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.fixed import DEFAULT_JOBS_LISTED, HIDDEN_DECISIONS, MAX_JOBS_LISTED
+from tidepost.fixed import HIDDEN_DECISIONS, JOBS_LISTED
 from tidepost.functions.text import contains_pattern
 from tidepost.functions.times import date_bound
 from tidepost.operators.ordered import GROUP_LIMIT, numbered
@@ -114,12 +114,12 @@ def list_jobs(
     companies: DataFrame,
     links: DataFrame | None = None,
     wanted: JobFilter = JobFilter(),
-    limit: int = DEFAULT_JOBS_LISTED,
+    limit: int = JOBS_LISTED,
     offset: int = 0,
 ) -> DataFrame:
     """Newest first, equal times by job id."""
-    if not 1 <= limit <= MAX_JOBS_LISTED or offset < 0:
-        raise ValueError(f"limit must be 1..{MAX_JOBS_LISTED} and offset not negative")
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be 1 or more and offset not negative")
     found = listed(matching_jobs(jobs, companies, links, wanted))
     return found.orderBy(F.desc("first_seen_at"), "job_id").offset(offset).limit(limit)
 
@@ -150,51 +150,31 @@ def job_detail(
     links: DataFrame,
     sources: DataFrame,
     versions: DataFrame,
-    entries: int = 1000,
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """Jobs with their sources (oldest first) and versions (newest first) as arrays.
+    """The details of jobs, one row per entry: ``job_id, kind, n`` and the entry's columns.
 
-    A row holds at most ``entries`` of each; a job with more goes on in rows of the next
-    ``page``, so no task ever builds an array of unbounded size. Usual jobs have page 0 only.
+    Kind ``job`` (n = 0) carries the header, ``source`` the links (oldest first), ``version``
+    the versions (newest first). The shape is the same for every number of entries.
     """
-    seen = lineage(links, sources)
-    seen = numbered(seen, ["job_id"], ["first_seen_at", "source_id"], "n", limit)
-    source_pages = seen.groupBy("job_id", _page("n", entries)).agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "n", "source_id", "source_name", "source_category", "is_active",
-                        F.col("first_seen_at"), F.col("last_seen_at"),
-                    )
-                )
-            ),
-            lambda s: s.dropFields("n"),
-        ).alias("sources")
+    header = with_company(jobs, companies).withColumns({"kind": F.lit("job"), "n": F.lit(0).cast("bigint")})
+    seen = lineage(links, sources).select(
+        "job_id", "source_id", "source_name", "source_category", "is_active", "first_seen_at", "last_seen_at"
     )
-    newest = versions.withColumn("age", -F.unix_micros(F.col("seen_at").cast("timestamp")))
-    newest = numbered(newest, ["job_id"], ["age", "content_hash"], "n", limit)
-    version_pages = newest.groupBy("job_id", _page("n", entries)).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("n", "seen_at", "is_material", "content_hash"))),
-            lambda v: v.dropFields("n"),
-        ).alias("versions")
+    seen = numbered(seen, ["job_id"], ["first_seen_at", "source_id"], "n", limit).withColumn("kind", F.lit("source"))
+    newest = versions.select(
+        "job_id", "seen_at", "is_material", "content_hash",
+        (-F.unix_micros(F.col("seen_at").cast("timestamp"))).alias("age"),
     )
-    pages = source_pages.join(version_pages, ["job_id", "page"], "full_outer")
-    named = with_company(jobs, companies)
+    newest = numbered(newest, ["job_id"], ["age", "content_hash"], "n", limit).withColumn("kind", F.lit("version"))
+    known = jobs.select("job_id")
     return (
-        named.join(pages, "job_id", "left")
-        .withColumn("page", F.coalesce("page", F.lit(0)))
-        .withColumn("sources", F.coalesce("sources", F.array()))
-        .withColumn("versions", F.coalesce("versions", F.array()))
+        header.select("job_id", "kind", "n", "title", "company_name", "status")
+        .unionByName(seen.join(known, "job_id", "left_semi"), allowMissingColumns=True)
+        .unionByName(newest.drop("age").join(known, "job_id", "left_semi"), allowMissingColumns=True)
     )
 
 
-def _page(number: str, entries: int) -> Column:
-    return F.floor((F.col(number) - 1) / entries).cast("int").alias("page")
-
-
 def recent_jobs(jobs: DataFrame, companies: DataFrame, count: int = 6) -> DataFrame:
     """The newest jobs of the start page."""
     return list_jobs(jobs, companies, limit=count)

@@ -82,11 +82,6 @@ def validated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("problems") == 0).drop("problems"), checked.where(F.size("problems") > 0)
 
 
-def shared_urls(sources: DataFrame) -> DataFrame:
-    """Addresses more than one source of a user has."""
-    return sources.groupBy("user_id", "url").agg(F.count(F.lit(1)).alias("sources")).where("sources > 1")
-
-
 @dataclass(frozen=True)
 class SourceChanges:
     """The registry after a batch of source changes, and the outcome of every change."""

@@ -143,8 +143,15 @@ def matched_keys(items: DataFrame, jobs: DataFrame) -> DataFrame:
     heads = labelled.groupBy("user_id", "label").agg(
         F.min_by("fingerprint", "first_ord").alias("head"),
         F.min_by("ats_hit", F.when(F.col("ats_hit").isNotNull(), F.col("first_ord"))).alias("ats_hit"),
+        F.min("first_ord").alias("first_ord"),
     )
-    new_id = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "head"), 256)
+    # A merged job may still hold the id that its first fingerprint gave it: then the item that
+    # creates the new job (its run and place) is part of the id.
+    heads = heads.withColumn("plain_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "head"), 256))
+    taken = jobs.select(F.col("job_id").alias("plain_id"), F.lit(True).alias("taken"))
+    heads = heads.join(taken, "plain_id", "left")
+    creation = F.to_json(F.struct("first_ord"))
+    new_id = F.when(F.col("taken"), F.sha2(F.concat_ws("|", "plain_id", creation), 256)).otherwise(F.col("plain_id"))
     heads = heads.select(
         "user_id",
         "label",
@@ -254,7 +261,7 @@ def job_upsert(jobs: DataFrame, touched: DataFrame) -> DataFrame:
     over = {
         "company_id": F.coalesce("new_company", "company_id"),
         "fingerprint": F.coalesce("new_print", "fingerprint"),
-        "last_seen_at": F.coalesce("last_time", "last_seen_at"),
+        "last_seen_at": F.greatest("last_time", "last_seen_at"),
         "status": F.when(hit, "active").otherwise(F.col("status")),
         "removed_at": F.when(~hit, F.col("removed_at")),
         "merged_into_job_id": F.when(~hit, F.col("merged_into_job_id")),
@@ -287,7 +294,7 @@ def link_upsert(links: DataFrame, sightings: DataFrame) -> DataFrame:
         F.coalesce("origin_job_id", "job_id").alias("origin_job_id"),
         F.coalesce("url", "source_job_url").alias("source_job_url"),
         F.coalesce("first_seen_at", "first_time").alias("first_seen_at"),
-        F.coalesce("last_time", "last_seen_at").alias("last_seen_at"),
+        F.greatest("last_time", "last_seen_at").alias("last_seen_at"),
         F.when(hit, F.lit(True)).otherwise(F.col("is_active")).alias("is_active"),
         F.when(~hit, F.col("removed_at")).alias("removed_at"),
     )

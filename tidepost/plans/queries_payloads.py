@@ -295,14 +295,14 @@ PAGES_SQL = """pages_landed AS (SELECT CAST(user_id AS STRING) || '/' || CAST(CA
 
 @query(
     "A4_counted_pages",
-    f"""WITH {PAGES_SQL}, ends AS (SELECT run_id, min(skip) FILTER (page_items < 2 AND skip < 4) AS last_skip FROM pages_landed GROUP BY run_id),
-    kept AS (SELECT p.*, last_skip FROM pages_landed p JOIN ends USING (run_id) WHERE skip < 4 AND skip <= coalesce(last_skip, 2))
+    f"""WITH {PAGES_SQL}, ends AS (SELECT run_id, min(skip) FILTER (page_items < 2) AS last_skip FROM pages_landed GROUP BY run_id),
+    kept AS (SELECT p.*, last_skip FROM pages_landed p JOIN ends USING (run_id) WHERE skip <= coalesce(last_skip, skip))
     SELECT run_id, count(*) AS pages, sum(page_items) AS items, max(skip) AS max_skip,
      last_skip IS NULL OR count(*) * 2 <> max(skip) + 2 AS truncated FROM kept GROUP BY run_id, last_skip""",
 )
 def _(spark, folder):
     pages = sql(spark, folder, f"SELECT * FROM ({PAGES_SQL.split(' AS ', 1)[1][1:-1]}) p")
-    return adapters.page_summary(pages, page_size=2, max_pages=2)
+    return adapters.page_summary(pages, page_size=2)
 
 
 STATUS = "CASE page_id % 10 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 404 WHEN 4 THEN 500 ELSE 200 END"

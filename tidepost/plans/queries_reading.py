@@ -9,7 +9,13 @@ from tidepost.operators import decisions, health, listing, versions
 from tidepost.operators.listing import JobFilter
 from tidepost.plans.book import query
 from tidepost.plans.views import sql, table, view
-from tidepost.functions.hashing import stable_hash
+from tidepost.functions.hashing import (
+    MATERIAL_FIELDS,
+    SNAPSHOT_FIELDS,
+    content_hash,
+    stable_hash,
+    with_material_hash,
+)
 
 LISTED = (
     "job_id, company_name, title, location, application_url, ats_type, CAST(NULL AS TIMESTAMP) AS published_at, "
@@ -272,14 +278,44 @@ def _(spark, folder):
     return changed.groupBy("user_id").agg(F.count(F.lit(1)).alias("jobs_changed"))
 
 
-@query("F8_content_hash", f"WITH {SIGHTINGS_SQL} SELECT job_id, seen_at, tie_no, tie_part, content_hash FROM sightings")
+# A snapshot whose fields follow from the version rows; the others are null.
+SNAPSHOT = {
+    "ats_type": "CAST(CAST(round(cosmetic * 100) AS INT) AS STRING)",
+    "compensation_min": "CAST(CAST(floor(compensation_min) AS INT) AS STRING)",
+    "description_text": "'Work  as ' || employment_type",
+    "employment_type": "employment_type",
+    "remote_type": "remote_type",
+    "title": "'Job ' || CAST(job_id AS STRING)",
+}
+
+
+def _json_sql(fields) -> str:
+    given = SNAPSHOT | {"description": "'Work as ' || employment_type"}
+    parts = [f"'\"{f}\":' || " + (f"'\"' || {given[f]} || '\"'" if f in given else "'null'") for f in sorted(fields)]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def snapshots(spark, folder):
+    fields = [F.expr(SNAPSHOT.get(f, "CAST(NULL AS STRING)")).alias(f) for f in SNAPSHOT_FIELDS]
+    return view(spark, folder, "d4_versions").select("job_id", *ORDER, F.struct(*fields).alias("snapshot"))
+
+
+@query(
+    "F8_content_hash",
+    f"SELECT job_id, seen_at, tie_no, tie_part, sha256({_json_sql(SNAPSHOT_FIELDS)}) AS content_hash FROM d4_versions",
+)
 def _(spark, folder):
-    return sightings(spark, folder).select("job_id", *ORDER, "content_hash")
+    hashed = content_hash(F.col("snapshot")).alias("content_hash")
+    return snapshots(spark, folder).select("job_id", *ORDER, hashed)
 
 
-@query("F9_material_hash", f"WITH {SIGHTINGS_SQL} SELECT job_id, seen_at, tie_no, tie_part, material_hash FROM sightings")
+@query(
+    "F9_material_hash",
+    f"SELECT job_id, seen_at, tie_no, tie_part, sha256({_json_sql((*MATERIAL_FIELDS, 'description'))}) AS material_hash FROM d4_versions",
+)
 def _(spark, folder):
-    return sightings(spark, folder).select("job_id", *ORDER, "material_hash")
+    hashed = with_material_hash(snapshots(spark, folder), "snapshot", "material_hash")
+    return hashed.select("job_id", *ORDER, "material_hash")
 
 
 @query(
@@ -370,44 +406,25 @@ def _(spark, folder):
 
 @query(
     "G8_job_detail",
-    f"""WITH {SIGHTINGS_SQL},
-    s AS (SELECT job_id, list({{'source_id': l.source_id, 'source_name': name, 'source_category': category, 'is_active': is_active,
-      'first_seen_at': first_seen_at, 'last_seen_at': last_seen_at}} ORDER BY first_seen_at, l.source_id) AS sources
-     FROM d3_job_sources l JOIN d2_sources d ON d.source_id = l.source_id GROUP BY job_id),
-    v AS (SELECT job_id, list({{'seen_at': seen_at, 'is_material': is_material, 'content_hash': content_hash}} ORDER BY seen_at DESC, content_hash) AS versions
-     FROM history GROUP BY job_id)
-    SELECT j.job_id, j.title, company_name, status,
-     coalesce(array_to_string(list_transform(sources, lambda x: CAST(x.source_id AS STRING) || '|' || x.source_name || '|' || x.source_category || '|'
-      || CAST(x.is_active AS STRING) || '|' || strftime(x.first_seen_at, '%Y-%m-%d') || '|' || strftime(x.last_seen_at, '%Y-%m-%d')), ';'), '') AS sources,
-     coalesce(array_to_string(list_transform(versions, lambda x: strftime(x.seen_at, '%Y-%m-%d') || '|' || CAST(x.is_material AS STRING) || '|' || x.content_hash), ';'), '') AS versions
-    FROM d1_jobs j LEFT JOIN s USING (job_id) LEFT JOIN v USING (job_id)""",
+    f"""WITH {SIGHTINGS_SQL}
+    SELECT job_id, 'job' AS kind, 0 AS n, title, company_name, status, NULL AS source_id, NULL AS source_name, NULL AS source_category,
+     NULL AS is_active, NULL AS first_day, NULL AS last_day, NULL AS seen_day, NULL AS is_material, NULL AS content_hash FROM d1_jobs
+    UNION ALL SELECT job_id, 'source', row_number() OVER (PARTITION BY job_id ORDER BY first_seen_at, l.source_id), NULL, NULL, NULL, l.source_id, name, category,
+     is_active, strftime(first_seen_at, '%Y-%m-%d'), strftime(last_seen_at, '%Y-%m-%d'), NULL, NULL, NULL
+    FROM d3_job_sources l JOIN d2_sources d ON d.source_id = l.source_id WHERE job_id IN (SELECT job_id FROM d1_jobs)
+    UNION ALL SELECT job_id, 'version', row_number() OVER (PARTITION BY job_id ORDER BY seen_at DESC, content_hash), NULL, NULL, NULL, NULL, NULL, NULL,
+     NULL, NULL, NULL, strftime(seen_at, '%Y-%m-%d'), is_material, content_hash FROM history WHERE job_id IN (SELECT job_id FROM d1_jobs)""",
 )
 def _(spark, folder):
     detail = listing.job_detail(
         jobs(spark, folder), companies(spark, folder), links(spark, folder),
         view(spark, folder, "d2_sources"), history(spark, folder),
     )
-
-    def line(*parts):
-        return F.concat_ws("|", *[p.cast("string") for p in parts])
-
-    def day(column):
-        return F.date_format(column, "yyyy-MM-dd")
-
+    day = lambda column: F.date_format(column, "yyyy-MM-dd")
     return detail.select(
-        "job_id", "title", "company_name", "status",
-        F.array_join(
-            F.transform(
-                "sources",
-                lambda s: line(
-                    s["source_id"], s["source_name"], s["source_category"], s["is_active"],
-                    day(s["first_seen_at"]), day(s["last_seen_at"]),
-                ),
-            ), ";",
-        ).alias("sources"),
-        F.array_join(
-            F.transform("versions", lambda v: line(day(v["seen_at"]), v["is_material"], v["content_hash"])), ";"
-        ).alias("versions"),
+        "job_id", "kind", "n", "title", "company_name", "status", "source_id", "source_name", "source_category", "is_active",
+        day("first_seen_at").alias("first_day"), day("last_seen_at").alias("last_day"), day("seen_at").alias("seen_day"),
+        "is_material", "content_hash",
     )
 
 

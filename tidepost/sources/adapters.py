@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.fixed import MAX_BODY_BYTES, MAX_PAGES, PAGE_SIZE
+from tidepost.fixed import PAGE_SIZE
 from tidepost.functions.text import filled, with_plain_text
 from tidepost.functions.times import epoch_time, iso_time
 from tidepost.functions.urls import board_token
@@ -243,7 +243,7 @@ class Collected:
     failures: DataFrame
 
 
-def parsed(landed: DataFrame, adapters: dict[str, Adapter], max_bytes: int) -> DataFrame:
+def parsed(landed: DataFrame, adapters: dict[str, Adapter], max_bytes: int | None) -> DataFrame:
     """Landed rows with adapter, items, and the reason a response cannot be used."""
     out = landed.withColumn("adapter", routed_adapter(F.col("source_url"), F.col("adapter")))
     bytes_ = F.octet_length(F.col("body"))
@@ -310,7 +310,7 @@ def collect(
     landed: DataFrame,
     adapters: dict[str, Adapter] | None = None,
     keep_payload: bool = True,
-    max_bytes: int = MAX_BODY_BYTES,
+    max_bytes: int | None = None,
 ) -> Collected:
     """Landed responses to postings, rejects and failed runs."""
     adapters = adapters or REGISTRY
@@ -340,19 +340,19 @@ def collect(
 
 
 def page_summary(
-    pages: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES
+    pages: DataFrame, page_size: int = PAGE_SIZE, max_pages: int | None = None
 ) -> DataFrame:
     """A4: per run the pages that count.
 
     Takes ``run_id, skip, page_items`` of every landed page. Pages after the first short
-    one do not count, nor pages beyond the cap; a gap in the offsets or a full last page
-    marks the run truncated. One aggregate, no ordering of pages.
+    one do not count; without ``max_pages`` all others do, however many. A gap in the offsets
+    or a full last page marks the run truncated. One aggregate, no ordering of pages.
     """
-    capped = F.col("skip") < page_size * max_pages
-    short = F.min(F.when(capped & (F.col("page_items") < page_size), F.col("skip")))
+    asked = F.lit(True) if max_pages is None else F.col("skip") < page_size * max_pages
+    short = F.min(F.when(asked & (F.col("page_items") < page_size), F.col("skip")))
     ends = pages.groupBy("run_id").agg(short.alias("last_skip"))
-    last = F.coalesce(F.col("last_skip"), F.lit(page_size * (max_pages - 1)))
-    counted = pages.join(ends, "run_id").where(capped & (F.col("skip") <= last))
+    within = F.col("last_skip").isNull() | (F.col("skip") <= F.col("last_skip"))
+    counted = pages.join(ends, "run_id").where(asked & within)
     return (
         counted.groupBy("run_id", "last_skip")
         .agg(

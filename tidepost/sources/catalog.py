@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from tidepost.functions.text import filled
 
-# Head and foot of the catalog.
+# Head of the catalog.
 HEAD = (
     "# Source Catalog: VC Portfolio Boards",
     "",
     "| Source | Configured URL | Detected Platform | Adapter / Status | Detected Application URL |",
     "| --- | --- | --- | --- | --- |",
 )
-FOOT = ("", "## Notes", "", "_Add manual research findings here._")
 
 
 def catalog_rows(sources: DataFrame) -> DataFrame:
@@ -34,12 +33,9 @@ def catalog_rows(sources: DataFrame) -> DataFrame:
 def write_catalog(sources: DataFrame, folder: str) -> None:
     """Writes the catalog of one user; the part files in name order make the document."""
     spark = sources.sparkSession
-    edges = spark.createDataFrame(
-        [(0, i, text) for i, text in enumerate(HEAD)] + [(2, i, text) for i, text in enumerate(FOOT)],
-        "part int, place int, line string",
-    )
+    head = spark.createDataFrame([(0, i, text) for i, text in enumerate(HEAD)], "part int, place int, line string")
     rows = catalog_rows(sources).select(
         F.lit(1).alias("part"), F.lit(0).alias("place"), "name", "source_id", "line"
     )
-    lines = rows.unionByName(edges, allowMissingColumns=True)
+    lines = rows.unionByName(head, allowMissingColumns=True)
     lines.orderBy("part", "place", "name", "source_id").select("line").write.text(folder)

@@ -6,10 +6,10 @@ adapter, run_id, started_at, skip, http_status, body``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidepost.fixed import ADAPTERS, MAX_BODY_BYTES
+from tidepost.fixed import ADAPTERS
 from tidepost.functions.text import filled
 from tidepost.functions.urls import board_for_host
 
@@ -19,18 +19,22 @@ LANDED = (
 )
 
 
-def fetch_error_type(status: Column, body_bytes: Column, max_bytes: int = MAX_BODY_BYTES) -> Column:
-    """The error class of a response, null for a usable one."""
+def _too_large(body_bytes: Column, max_bytes: int | None) -> Column:
+    return F.lit(False) if max_bytes is None else body_bytes > max_bytes
+
+
+def fetch_error_type(status: Column, body_bytes: Column, max_bytes: int | None = None) -> Column:
+    """The error class of a response, null for a usable one. No body is too large unless a limit is asked for."""
     return (
         F.when(status == 429, "RateLimitError")
         .when(status.isin(401, 403), "AccessDeniedError")
         .when(status >= 400, "CollectorError")
-        .when(body_bytes > max_bytes, "CollectorError")
+        .when(_too_large(body_bytes, max_bytes), "CollectorError")
     )
 
 
 def fetch_error_message(
-    url: Column, status: Column, body_bytes: Column, max_bytes: int = MAX_BODY_BYTES
+    url: Column, status: Column, body_bytes: Column, max_bytes: int | None = None
 ) -> Column:
     """The error text that goes with the class."""
     code = status.cast("string")
@@ -45,7 +49,7 @@ def fetch_error_message(
             F.concat(F.lit("Request to "), url, F.lit(" failed with status "), code),
         )
         .when(
-            body_bytes > max_bytes,
+            _too_large(body_bytes, max_bytes),
             F.concat(F.lit("Response from "), url, F.lit(f" exceeded {max_bytes} bytes")),
         )
     )
@@ -71,7 +75,3 @@ def collect_url(url: Column, detection_status: Column, detected_url: Column) ->
         (detection_status == "supported") & filled(detected_url).isNotNull(), detected_url
     ).otherwise(url)
 
-
-def read_landed(spark, folder: str) -> DataFrame:
-    """Landed files of a folder; the declared schema keeps the scan to the asked columns."""
-    return spark.read.schema(LANDED).parquet(folder)
