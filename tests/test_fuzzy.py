@@ -4,7 +4,6 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidepost.functions.similarity import MatchRule
 from tidepost.operators import fuzzy
@@ -57,15 +56,3 @@ def test_best_matches_equal_brute_force(spark, rule):
     assert scores.keys() == wanted.keys()
     for job, score in wanted.items():
         assert scores[job] == pytest.approx(score, abs=1e-12)
-
-
-def test_block_keys_lose_nothing(spark):
-    made = random.Random(5)
-    names = sorted({" ".join(made.sample(WORDS, made.randint(1, 4)))[: made.randint(1, 30)].strip() for _ in range(150)})
-    rows = spark.createDataFrame([(n,) for n in names], "name string")
-    for gate in (0.6, 0.85):
-        keys = {r["name"]: set(r["k"]) for r in rows.select("name", fuzzy.block_keys(F.col("name"), gate).alias("k")).collect()}
-        for a in names:
-            for b in names:
-                if a != b and SequenceMatcher(None, a, b).ratio() >= gate:
-                    assert keys[a] & keys[b], (a, b, gate)

@@ -49,12 +49,3 @@ def gates_pass(company: Column, title: Column, score: Column, rule: MatchRule) -
         & (title >= rule.title_gate)
         & (score >= rule.composite_gate)
     )
-
-
-def bag(name: Column) -> Column:
-    """Tokens (character, occurrence number) of a normalised name, as an array."""
-    chars = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
-    return F.transform(
-        chars, lambda c, i: F.concat(c, (i + 2 - F.array_position(chars, c)).cast("string"))
-    )
-

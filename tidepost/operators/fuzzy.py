@@ -2,64 +2,101 @@
 
 The score needs three string ratios per pair of postings. No row pairs are formed for it:
 equal postings join by key; the others meet as distinct titles, then as distinct companies
-under matching titles, and only then as distinct (company, title, place) triples. Titles and
-companies meet through keys made of two of their rarest characters. Two names can reach a
-ratio only if they share a certain number of characters, so a fixed-length head of each
-name's characters, rarest first, must have two in common: nothing that passes the gates is
-lost. An edit-distance bound, also lossless, runs inside the join before any ratio.
+under matching titles, and only then as distinct (company, title, place) triples. Titles meet
+in the class of their lengths, through their rarest three-character grams. Two names can reach
+a ratio only if they share a certain number of grams, so a head of each name's grams, rarest
+first, must have one in common: nothing that passes the gates is lost. An edit-distance bound,
+also lossless, runs inside the joins before any ratio.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.functions.similarity import MatchRule, bag, composite, gates_pass, ratio
+from tidepost.functions.similarity import MatchRule, composite, gates_pass, ratio
 from tidepost.session import written
 
+#: Ratio of the lengths a class of names spans.
+CLASS_WIDTH = 1.1
 TRIPLE = ["user_id", "company", "title", "location"]
 # Characters of a normalised name from frequent to rare in job titles.
 _FREQUENT_FIRST = " eatnirosclmgdpuhvybfwkxjqz1230456789"
 _RANKS = "".join(chr(ord("A") + 40 - i) for i in range(len(_FREQUENT_FIRST)))
 
 
-def _rare_first(name: Column) -> Column:
-    """The (character, occurrence) tokens of a name in one global order, rare ones first."""
-    return F.array_sort(
-        F.transform(
-            bag(name),
-            lambda t: F.concat(
-                F.lpad((F.lit(9999) - F.substring(t, 2, 4).cast("int")).cast("string"), 4, "0"),
-                F.translate(F.substring(t, 1, 1), _FREQUENT_FIRST, _RANKS),
-            ),
-        )
-    )
+def _rare_first(grams: Column) -> Column:
+    """(gram, occurrence) tokens in one global order, grams with a rare character first."""
+    ordered = F.array_sort(grams)
+
+    def token(gram: Column, i: Column) -> Column:
+        nth = (i + 2 - F.array_position(ordered, gram)).cast("string")
+        ranks = F.array_sort(F.split(F.translate(gram, _FREQUENT_FIRST, _RANKS), ""))
+        return F.concat(F.concat_ws("", ranks), F.lit("/"), gram, nth)
+
+    return F.array_sort(F.transform(ordered, token))
+
+
+def _length_class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / math.log(CLASS_WIDTH)).cast("int")
 
 
-def block_keys(name: Column, gate: float) -> Column:
-    """Keys of which two names with a ratio of at least ``gate`` share one.
+def _head(tokens: Column, shared: Column) -> Column:
+    return F.slice(tokens, F.lit(1), F.greatest(F.least(F.size(tokens) - shared + 1, F.size(tokens)), F.lit(0)))
 
-    With n characters the partner shares at least o = ceil(n * gate / (2 - gate)), so two of
-    the first n - o + 2 tokens are shared too. Names that may share a single token only (very
-    short ones) add keys of one token.
+
+def blocked(rows: DataFrame, name: str, gate: float) -> DataFrame:
+    """Rows with a ``key``; two names with a ratio of at least ``gate`` share one.
+
+    Names meet in the class of their two lengths. Of n + m characters M >= gate (n + m) / 2 on
+    either side are matched, and every unmatched one breaks two grams of three characters at
+    most, so 5M - 2 - 2 (n + m) grams stay whole. Where the lengths of a class leave one at
+    least, its keys are grams: the rarest n - shared + 1 of two names have one in common.
+    Otherwise they are pairs of the rarest characters, of which n - M + 2 have two in common
+    (single ones, if the class is too short for two).
     """
-    tokens = _rare_first(name)
-    size = F.size(tokens)
-    need = F.ceil(size * (gate / (2 - gate)) - 1e-9).cast("int")
-    pairs_head = F.slice(tokens, F.lit(1), F.least(size - need + 2, size))
+    size, text = F.length(name), F.col(name)
+    starts = F.when(size > 2, F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))))
+    grams = F.coalesce(F.transform(starts, lambda at: F.substring(text, at, 3)), F.array().cast("array<string>"))
+    reach = gate / (2 - gate)
+    lengths = F.sequence(F.ceil(size * reach - 1e-9).cast("int"), F.floor(size / reach + 1e-9).cast("int"))
+    classes = F.transform(lengths, lambda m: F.struct(_length_class(m).alias("other"), m.alias("least")))
+    # The first length of each class is the least: lengths ascend.
+    firsts = F.filter(
+        classes, lambda c, i: (i == 0) | (_length_class(c["least"] - F.when(i > 0, F.lit(1)).otherwise(F.lit(0))) != c["other"])
+    )
+    out = rows.where(size > 0).withColumns(
+        {
+            "grams": _rare_first(grams),
+            "chars": _rare_first(F.filter(F.split(text, ""), lambda c: c != "")),
+            "partner": F.explode(firsts),
+        }
+    )
+    own, other, both = _length_class(size), F.col("partner.other"), size + F.col("partner.least")
+    floor = F.pow(F.lit(CLASS_WIDTH), own) + F.pow(F.lit(CLASS_WIDTH), other)
+    whole = 2.5 * gate - 2
+    by_gram = floor * whole - 2 > 1e-6
+    by_pair = floor * gate / 2 > 1 + 1e-6
+    shared_grams = F.ceil(both * whole - 2 - 1e-9).cast("int")
+    shared_chars = F.ceil(both * gate / 2 - 1e-9).cast("int")
+    pair_head = _head(F.col("chars"), shared_chars - 1)
     pairs = F.flatten(
         F.transform(
-            pairs_head,
+            pair_head,
             lambda first, i: F.transform(
-                F.slice(pairs_head, i + 2, F.greatest(F.size(pairs_head) - i - 1, F.lit(0))),
+                F.slice(pair_head, i + 2, F.greatest(F.size(pair_head) - i - 1, F.lit(0))),
                 lambda second: F.concat(first, second),
             ),
         )
     )
-    singles = F.when(need < 2, F.slice(tokens, F.lit(1), F.least(size - need + 1, size))).otherwise(
-        F.array().cast("array<string>")
+    keys = (
+        F.when(by_gram, _head(F.col("grams"), shared_grams)).when(by_pair, pairs).otherwise(_head(F.col("chars"), shared_chars))
     )
-    return F.concat(pairs, singles)
+    lengths_tag = F.concat_ws("-", F.least(own, other).cast("string"), F.greatest(own, other).cast("string"))
+    out = out.select(*rows.columns, lengths_tag.alias("lengths"), F.explode(keys).alias("token"))
+    return out.select(*rows.columns, F.concat_ws(" ", "lengths", "token").alias("key"))
 
 
 def _may_reach(left: str, right: str, gate: Column) -> Column:
@@ -80,8 +117,8 @@ def title_pairs(new: DataFrame, existing: DataFrame, rule: MatchRule) -> DataFra
     same = left.join(right, (left["user_id"] == right["user_id"]) & (F.col("new_title") == F.col("old_title"))).select(
         left["user_id"], "new_title", "old_title", F.lit(1.0).alias("title_score")
     )
-    left_keys = left.withColumn("key", F.explode(block_keys(F.col("new_title"), rule.title_gate)))
-    right_keys = right.withColumn("key", F.explode(block_keys(F.col("old_title"), rule.title_gate)))
+    left_keys = blocked(left, "new_title", rule.title_gate)
+    right_keys = blocked(right, "old_title", rule.title_gate)
     close = (
         left_keys.join(right_keys, ["user_id", "key"])
         .where((F.col("new_title") != F.col("old_title")) & _may_reach("new_title", "old_title", F.lit(rule.title_gate)))
@@ -96,40 +133,24 @@ def title_pairs(new: DataFrame, existing: DataFrame, rule: MatchRule) -> DataFra
     return same.unionByName(close.select(*same.columns))
 
 
-def _work(left: DataFrame, right: DataFrame, by: list[str]) -> float:
-    """How many pairs a join by ``by`` would look at."""
-    counts = left.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("l")).join(
-        right.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("r")), by
-    )
-    return counts.agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0.0
-
-
 def close_companies(asked: DataFrame, right: DataFrame, rule: MatchRule) -> DataFrame:
     """Distinct (new, old) companies per user that are unequal and may reach the gate.
 
-    They can meet per user, or per user and title; both find every pair that counts. Few
-    companies under many titles make the first cheaper, many companies the second, so the
-    number of pairs each would look at decides.
+    They meet under matching titles only. The title's score says what the company's must be
+    for the composite, and lengths and edit distance what it can be, both inside the join; at
+    the gates of a company no key of characters would keep names apart.
     """
-    new = asked.select("user_id", "new_company").distinct()
-    old = right.select("user_id", "old_company").distinct()
-    keys = {
-        name: F.explode(block_keys(F.col(name), rule.company_gate)) for name in ("new_company", "old_company")
-    }
-    by_user = new.withColumn("key", keys["new_company"]), old.withColumn("key", keys["old_company"])
-    new_keys, old_keys = (written(part, "keys") for part in by_user)
-    titled_new = asked.select("user_id", "old_title", "new_company").distinct().join(
-        new_keys, ["user_id", "new_company"]
+    fields = ["user_id", "old_title"]
+    new = asked.groupBy(*fields, "new_company").agg(F.max("title_score").alias("title_score"))
+    old = right.select(*fields, "old_company")
+    rest = rule.title_weight * F.col("title_score") + rule.location_weight
+    needed = F.greatest((rule.composite_gate - rest) / rule.company_weight - 1e-9, F.lit(rule.company_gate))
+    return (
+        new.join(old, fields)
+        .where((F.col("new_company") != F.col("old_company")) & _may_reach("new_company", "old_company", needed))
+        .select("user_id", "new_company", "old_company")
+        .distinct()
     )
-    titled_old = right.select("user_id", "old_title", "old_company").join(old_keys, ["user_id", "old_company"])
-    on = ["user_id", "key"]
-    left, other = new_keys, old_keys
-    if _work(titled_new, titled_old, ["user_id", "old_title", "key"]) < _work(new_keys, old_keys, on):
-        left, other, on = titled_new, titled_old, ["user_id", "old_title", "key"]
-    near = _may_reach("new_company", "old_company", F.lit(rule.company_gate))
-    return left.join(other, on).where((F.col("new_company") != F.col("old_company")) & near).select(
-        "user_id", "new_company", "old_company"
-    ).distinct()
 
 
 def name_pairs(new: DataFrame, existing: DataFrame, titles: DataFrame, rule: MatchRule) -> DataFrame:
