@@ -200,18 +200,21 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
     """The registry after a batch of merge decisions, and every decision's outcome.
 
     Decisions apply as if one after the other. A job that keeps a duplicate can itself be
-    merged away later, so rows move in waves along such chains.
+    merged away later, so rows move in waves along such chains. Only the keys of rows of jobs
+    that a decision names take part in the waves; the tables are joined with the outcome once.
     """
     checked = written(checked_decisions(decisions, registry.candidates, registry.jobs), "checked")
     todo = checked.where("outcome = 'merged'").withColumn("turn", F.struct("decided_at", "candidate_id"))
     todo = written(todo.drop("outcome"), "todo")
-    links, versions, moves = registry.links, registry.versions, registry.moves
+    moves = registry.moves
+    links = written(_places(registry.links, todo, "source_id"), "link-places")
+    versions = written(_places(registry.versions, todo, "content_hash"), "version-places")
     while not todo.isEmpty():
         wave = written(_wave(todo), "wave")
         link_moves = written(_moves(links, wave, "source_id", "link"), "link-moves")
         version_moves = written(_moves(versions, wave, "content_hash", "version"), "version-moves")
-        links = written(_moved(links, link_moves, "source_id"), "links")
-        versions = written(_moved(versions, version_moves, "content_hash"), "versions")
+        links = written(_moved(links, link_moves, "source_id"), "link-places")
+        versions = written(_moved(versions, version_moves, "content_hash"), "version-places")
         for part, key in ((link_moves, "source_id"), (version_moves, "content_hash")):
             moves = moves.unionByName(
                 part.select(
@@ -221,8 +224,8 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
         todo = written(todo.join(wave.select("user_id", "candidate_id"), ["user_id", "candidate_id"], "left_anti"), "todo")
     done = checked.where("outcome = 'merged'")
     after = registry.changed(
-        links=links,
-        versions=versions,
+        links=_settled(registry.links, links, "source_id"),
+        versions=_settled(registry.versions, versions, "content_hash"),
         moves=moves,
         jobs=tombstoned(registry.jobs, done),
         candidates=resolved_as_merged(registry.candidates, done),
@@ -231,8 +234,28 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
     return after, checked
 
 
+def _places(rows: DataFrame, todo: DataFrame, key: str) -> DataFrame:
+    """Keys of the rows of jobs that a decision names, with the job each row starts at."""
+    named = todo.select("user_id", F.explode(F.array("kept_job_id", "merged_job_id")).alias("job_id")).distinct()
+    return rows.join(named, ["user_id", "job_id"], "left_semi").select(
+        "user_id", "job_id", key, "origin_job_id", F.col("job_id").alias("start_job")
+    )
+
+
+def _settled(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """Rows at the jobs the waves brought them to."""
+    to = places.where("job_id <> start_job").select(
+        "user_id", F.col("start_job").alias("job_id"), key, F.col("job_id").alias("to_job")
+    )
+    return _placed(rows, to, key)
+
+
 def _moved(rows: DataFrame, moves: DataFrame, key: str) -> DataFrame:
     to = moves.select("user_id", F.col("merged_job_id").alias("job_id"), key, F.col("kept_job_id").alias("to_job"))
+    return _placed(rows, to, key)
+
+
+def _placed(rows: DataFrame, to: DataFrame, key: str) -> DataFrame:
     out = rows.join(to, ["user_id", "job_id", key], "left")
     return out.withColumn("job_id", F.coalesce("to_job", "job_id")).select(*rows.columns)
 
