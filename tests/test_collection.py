@@ -151,3 +151,27 @@ def test_adapter_outcomes(spark, url, body, failed):
     if '"id": 3' in body:
         assert [r["external_job_id"] for r in found.postings.collect()] == ["3"]
         assert sorted(r["reject_reason"] for r in found.rejects.collect()) == ["no application URL", "not an object"]
+
+
+def test_new_checkpoint_goes_on_from_the_newest_version(spark, tmp_path):
+    from tidepost.operators.state import committed
+    from tidepost.streaming.collection import collect_continuously, landed_stream, newest_registry
+
+    def land(source):
+        body = '{"jobs": [{"id": "%s", "title": "Cook", "jobUrl": "https://e.example.com/%s", "applyUrl": "https://e.example.com/%s"}]}' % ((source,) * 3)
+        row = ("u", source, "Src", f"https://jobs.ashbyhq.com/{source}", "auto", f"r-{source}", START, 0, 200, body)
+        spark.createDataFrame([row], LANDED).coalesce(1).write.parquet(f"{tmp_path}/landed-{source}")
+
+    def go(source, checkpoint):
+        stream = landed_stream(spark, f"{tmp_path}/landed-{source}")
+        collect_continuously(stream, f"{tmp_path}/state", f"{tmp_path}/{checkpoint}", rule=None).awaitTermination()
+        return newest_registry(spark, f"{tmp_path}/state")
+
+    land("a")
+    land("b")
+    assert go("a", "one").jobs.count() == 1
+    after = go("b", "two")
+    assert after.jobs.count() == after.jobs.select("job_id").distinct().count() == 2
+    go("b", "two")
+    marks = committed(spark, f"{tmp_path}/state")
+    assert marks.count() == 2 and marks.select("stream").distinct().count() == 2

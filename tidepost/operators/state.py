@@ -63,15 +63,19 @@ def empty_registry(spark: SparkSession) -> Registry:
     return Registry(**{name: spark.createDataFrame([], ddl) for name, ddl in SCHEMAS.items()})
 
 
-def write_registry(registry: Registry, folder: str, version: int) -> None:
+MARK = "version int, stream string, batch bigint"
+
+
+def write_registry(registry: Registry, folder: str, version: int, stream: str = "", batch: int = -1) -> None:
     """Write one version; a version counts once every table of it has its success mark.
 
-    A replay of the same version overwrites what a failed attempt left.
+    Its mark names the stream and the batch that made it. An attempt that failed left no mark,
+    so the next one overwrites what it wrote.
     """
     for part in fields(registry):
         table = getattr(registry, part.name)
         table.write.mode("overwrite").parquet(f"{folder}/v{version}/{part.name}")
-    registry.jobs.sparkSession.createDataFrame([(version,)], "version int").coalesce(1).write.mode(
+    registry.jobs.sparkSession.createDataFrame([(version, stream, batch)], MARK).coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{folder}/committed/v{version}")
 
@@ -82,11 +86,15 @@ def read_registry(spark: SparkSession, folder: str, version: int) -> Registry:
     )
 
 
-def committed_versions(spark: SparkSession, folder: str) -> int | None:
-    """The newest complete version, none for a new folder."""
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """The marks of complete versions."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/committed")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
-        return None
-    marks = spark.read.schema("version int").parquet(f"{folder}/committed/*")
-    return marks.agg({"version": "max"}).first()[0]
+        return spark.createDataFrame([], MARK)
+    return spark.read.schema(MARK).parquet(f"{folder}/committed/*")
+
+
+def newest_version(spark: SparkSession, folder: str) -> int | None:
+    """The newest complete version, none for a new folder."""
+    return committed(spark, folder).agg({"version": "max"}).first()[0]

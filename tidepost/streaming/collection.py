@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidepost.functions.similarity import MatchRule
-from tidepost.operators.state import committed_versions, empty_registry, read_registry, write_registry
+from tidepost.operators.state import committed, empty_registry, newest_version, read_registry, write_registry
 from tidepost.plans.collect import collect_batch
 from tidepost.session import written
 from tidepost.sources.adapters import REGISTRY, collect
@@ -27,16 +27,19 @@ def collect_continuously(
 ) -> StreamingQuery:
     """Applies every micro-batch to the newest registry and writes the next version.
 
-    Batch n writes version n + 1 from version n, so a replayed batch starts from the state it
-    started from before and overwrites its own output.
+    A version's mark carries the stream (its id lives in the checkpoint folder) and the batch: a
+    replayed batch that was committed is left out, one that was not starts from the newest
+    committed version again. A stream with a new checkpoint folder goes on from that version too.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id > 0:
-            before = read_registry(spark, state_folder, batch_id)
-        else:
-            before = empty_registry(spark)
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        done = committed(spark, state_folder).where((F.col("stream") == stream) & (F.col("batch") == batch_id))
+        if not done.isEmpty():
+            return
+        version = newest_version(spark, state_folder)
+        before = empty_registry(spark) if version is None else read_registry(spark, state_folder, version)
         landed_rows = written(batch, "landed")
         found = collect(landed_rows, adapters)
         runs = landed_rows.groupBy("user_id", "source_id", "run_id").agg(
@@ -44,7 +47,7 @@ def collect_continuously(
         )
         postings = written(found.postings, "postings")
         after = collect_batch(before, postings, runs, found.failures, found.rejects, rule)
-        write_registry(after, state_folder, batch_id + 1)
+        write_registry(after, state_folder, (version or 0) + 1, stream, batch_id)
 
     return (
         landed.writeStream.foreachBatch(apply)
@@ -55,5 +58,5 @@ def collect_continuously(
 
 
 def newest_registry(spark: SparkSession, state_folder: str):
-    version = committed_versions(spark, state_folder)
+    version = newest_version(spark, state_folder)
     return empty_registry(spark) if version is None else read_registry(spark, state_folder, version)
