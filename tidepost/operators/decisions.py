@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.operators.ordered import GROUP_LIMIT, lagged
+from tidepost.operators.ordered import lagged
 
 
 def known_decisions(jobs: DataFrame, log: DataFrame) -> DataFrame:
@@ -31,13 +31,11 @@ def decided_jobs(jobs: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def decision_events(jobs: DataFrame, log: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def decision_events(jobs: DataFrame, log: DataFrame) -> DataFrame:
     """One event per decision with the decision before it."""
     own = log.join(jobs.select("user_id", "job_id", "user_decision"), ["user_id", "job_id"])
     own = own.withColumn("given", F.struct("decision"))
-    own = lagged(
-        own, ["user_id", "job_id"], ["decided_at", "decision_id"], {"earlier": "given"}, limit
-    )
+    own = lagged(own, ["user_id", "job_id"], ["decided_at", "decision_id"], {"earlier": "given"})
     previous = F.when(F.col("earlier").isNotNull(), F.col("earlier.decision")).otherwise(
         F.col("user_decision")
     )

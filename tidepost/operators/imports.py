@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepost.fixed import SHEET_SECTIONS, SHEET_URL_HEADINGS
 from tidepost.functions.text import filled, strip_spaces
-from tidepost.operators.ordered import GROUP_LIMIT, carried
+from tidepost.operators.ordered import carried
 from tidepost.operators.sources import new_source_id
 
 ROW = ["user_id", "file_id", "row_number"]
@@ -21,10 +21,10 @@ def section_of(name: Column) -> Column:
     return out
 
 
-def with_section(rows: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def with_section(rows: DataFrame) -> DataFrame:
     """Rows with their category, taken from the last heading above; headings emit nothing."""
     named = rows.withColumn("heading", section_of(F.col("name")))
-    named = carried(named, ["user_id", "file_id"], ["row_number"], {"category": "heading"}, limit)
+    named = carried(named, ["user_id", "file_id"], ["row_number"], {"category": "heading"})
     return named.where("heading IS NULL").drop("heading")
 
 
@@ -48,7 +48,7 @@ def with_existing(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources.select("user_id", "url", F.col("source_id").alias("existing_id")), ["user_id", "url"], "left")
 
 
-def classified(rows: DataFrame, sources: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def classified(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Outcome and reason per row ``(user_id, file_id, row_number, name, url)``.
 
     Files apply in order of ``file_id``: an address an earlier file of the batch creates is an
@@ -59,7 +59,7 @@ def classified(rows: DataFrame, sources: DataFrame, limit: int = GROUP_LIMIT) ->
         F.coalesce(strip_spaces(F.col("name")), F.lit("")).alias("name"),
         F.coalesce(strip_spaces(F.col("url")), F.lit("")).alias("url"),
     )
-    out = with_existing(with_first_row(with_section(clean, limit)), sources)
+    out = with_existing(with_first_row(with_section(clean)), sources)
     good = (F.col("first_row") == F.col("row_number")) & F.col("category").isNotNull()
     creating = out.where(good & F.col("existing_id").isNull()).groupBy("user_id", "url").agg(
         F.min("file_id").alias("creating_file")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepost.fixed import HIDDEN_DECISIONS, JOBS_LISTED
 from tidepost.functions.text import contains_pattern
 from tidepost.functions.times import date_bound
-from tidepost.operators.ordered import GROUP_LIMIT, numbered
+from tidepost.operators.ordered import numbered
 
 LIST_COLUMNS = (
     "job_id", "company_name", "title", "location", "application_url", "ats_type", "published_at",
@@ -150,7 +150,6 @@ def job_detail(
     links: DataFrame,
     sources: DataFrame,
     versions: DataFrame,
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """The details of jobs, one row per entry: ``job_id, kind, n`` and the entry's columns.
 
@@ -161,12 +160,12 @@ def job_detail(
     seen = lineage(links, sources).select(
         "job_id", "source_id", "source_name", "source_category", "is_active", "first_seen_at", "last_seen_at"
     )
-    seen = numbered(seen, ["job_id"], ["first_seen_at", "source_id"], "n", limit).withColumn("kind", F.lit("source"))
+    seen = numbered(seen, ["job_id"], ["first_seen_at", "source_id"], "n").withColumn("kind", F.lit("source"))
     newest = versions.select(
         "job_id", "seen_at", "is_material", "content_hash",
         (-F.unix_micros(F.col("seen_at").cast("timestamp"))).alias("age"),
     )
-    newest = numbered(newest, ["job_id"], ["age", "content_hash"], "n", limit).withColumn("kind", F.lit("version"))
+    newest = numbered(newest, ["job_id"], ["age", "content_hash"], "n").withColumn("kind", F.lit("version"))
     known = jobs.select("job_id")
     return (
         header.select("job_id", "kind", "n", "title", "company_name", "status")

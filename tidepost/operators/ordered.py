@@ -1,10 +1,9 @@
 """Order-dependent columns per key that hold when one key owns a third of all rows.
 
-A window sends all rows of a key to one task. Each function here first asks for the size
-of the largest group. Within ``GROUP_LIMIT`` rows a plain window is the cheapest exact
-plan. Beyond it the rows are range-partitioned on (key, order), so that a large group is
-cut into slices; every slice is solved alone and receives what it needs from the slices
-before it through one summary row per (key, slice).
+A window sends all rows of a key to one task. Here the rows are range-partitioned on (key, order),
+so that a large group is cut into slices; every slice is solved alone and receives what it needs
+from the slices before it through one summary row per (key, slice). The plan is the same at every
+size of a group.
 """
 
 from __future__ import annotations
@@ -14,18 +13,6 @@ from pyspark.sql import functions as F
 
 from tidepost.session import written
 
-GROUP_LIMIT = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group, from map-side counts."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows"))
-    return top.first()[0] or 0
-
-
-def _is_small(df: DataFrame, keys: list[str], limit: int) -> bool:
-    return limit > 0 and largest_group(df, keys) <= limit
-
 
 def _sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ranged = df.repartitionByRange(*keys, *order).withColumn("slice", F.spark_partition_id())
@@ -39,13 +26,8 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return out
 
 
-def lagged(
-    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], limit: int = GROUP_LIMIT
-) -> DataFrame:
+def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
     """Adds for every ``output: input`` of ``columns`` the input of the previous row of the key."""
-    if _is_small(df, keys, limit):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({out: F.lag(col).over(window) for out, col in columns.items()})
     rows = _sliced(df, keys, order)
     inside = Window.partitionBy(*keys, "slice").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("slice")
@@ -65,18 +47,12 @@ def lagged(
     )
 
 
-def carried(
-    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], limit: int = GROUP_LIMIT
-) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
     """Adds for every ``output: input`` the latest non-null input up to the row itself."""
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    if _is_small(df, keys, limit):
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*so_far)
-        return df.withColumns(
-            {out: F.last(col, ignorenulls=True).over(window) for out, col in columns.items()}
-        )
     rows = _sliced(df, keys, order)
-    inside = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(*so_far)
+    inside = (
+        Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     across = (
         Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -97,13 +73,8 @@ def carried(
     )
 
 
-def numbered(
-    df: DataFrame, keys: list[str], order: list[str], name: str, limit: int = GROUP_LIMIT
-) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Adds the 1-based position of the row within its key."""
-    if _is_small(df, keys, limit):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     rows = _sliced(df, keys, order)
     inside = Window.partitionBy(*keys, "slice").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.operators.ordered import GROUP_LIMIT, carried
+from tidepost.operators.ordered import carried
 from tidepost.operators.state import Registry
 from tidepost.session import written
 
 LINK = ["user_id", "job_id", "source_id"]
 
 
-def first_run_after(points: DataFrame, runs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def first_run_after(points: DataFrame, runs: DataFrame) -> DataFrame:
     """Per (source, time) the start of the first successful run later than that time."""
     starts = runs.where("status = 'success'").select(
         "user_id", "source_id", F.col("started_at").alias("at"), F.col("started_at").alias("start"),
@@ -24,18 +24,18 @@ def first_run_after(points: DataFrame, runs: DataFrame, limit: int = GROUP_LIMIT
     )
     # Latest first; at equal times the point comes before the start, so only later starts count.
     line = line.withColumn("back", -F.unix_micros(F.col("at").cast("timestamp")))
-    line = carried(line, ["user_id", "source_id"], ["back", "kind"], {"next_start": "start"}, limit)
+    line = carried(line, ["user_id", "source_id"], ["back", "kind"], {"next_start": "start"})
     return line.where("kind = 0").select("user_id", "source_id", F.col("at").alias("last_seen_at"), "next_start")
 
 
-def stale_links(links: DataFrame, runs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def stale_links(links: DataFrame, runs: DataFrame) -> DataFrame:
     """M5: active links a later successful run of their source did not see, with that run's start."""
     last = runs.where("status = 'success'").groupBy("user_id", "source_id").agg(
         F.max("started_at").alias("last_start")
     )
     stale = links.where("is_active").join(last, ["user_id", "source_id"]).where("last_seen_at < last_start")
     stale = written(stale.select(*LINK, "last_seen_at"), "stale")
-    after = first_run_after(stale, runs, limit)
+    after = first_run_after(stale, runs)
     return stale.join(after, ["user_id", "source_id", "last_seen_at"]).select(
         *LINK, F.col("next_start").alias("gone_at")
     )
@@ -107,13 +107,13 @@ def dismissal_events(candidates: DataFrame, stranded: DataFrame) -> DataFrame:
     )
 
 
-def sweep(registry: Registry, runs: DataFrame, limit: int = GROUP_LIMIT) -> Registry:
+def sweep(registry: Registry, runs: DataFrame) -> Registry:
     """M5-M7: the registry after the sweeps of a batch of runs.
 
     Failed runs (M6) remove nothing: they never count as a run that omitted a job. States
     between two runs of the batch are not kept, only the state after the last one.
     """
-    stale = written(stale_links(registry.links, runs, limit), "stale")
+    stale = written(stale_links(registry.links, runs), "stale")
     links = swept_links(registry.links, stale)
     removed = written(removed_jobs(registry.jobs, links, stale), "removed")
     stranded = written(stranded_candidates(registry.candidates, removed), "stranded")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidepost.functions.hashing import SNAPSHOT_FIELDS, content_hash, fingerprint, with_material_hash
 from tidepost.functions.text import company_or_source, filled, plain_name
 from tidepost.functions.urls import canonical_url
-from tidepost.operators.ordered import GROUP_LIMIT, lagged
+from tidepost.operators.ordered import lagged
 from tidepost.operators.state import Registry
 from tidepost.operators.tombstones import survivors
 from tidepost.session import written
@@ -164,7 +164,7 @@ def matched_keys(items: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def sequenced(items: DataFrame, registry: Registry, limit: int = GROUP_LIMIT) -> DataFrame:
+def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
     """Items with job, and against the job's content right before: created, updated, material.
 
     Only keys, hashes and times take part; texts and payloads stay where they were written.
@@ -181,7 +181,6 @@ def sequenced(items: DataFrame, registry: Registry, limit: int = GROUP_LIMIT) ->
         ["job_id"],
         ORDER,
         {"previous_content": "content_hash", "previous_material": "material_hash"},
-        limit,
     )
     stored = registry.jobs.select("job_id", F.col("content_hash").alias("stored_content")).join(
         registry.versions.select(
@@ -338,12 +337,12 @@ class Upserted:
     new_jobs: DataFrame
 
 
-def apply_postings(registry: Registry, postings: DataFrame, limit: int = GROUP_LIMIT) -> Upserted:
+def apply_postings(registry: Registry, postings: DataFrame) -> Upserted:
     """Postings of successful runs into the registry."""
     if "seen_at" not in postings.columns:
         postings = postings.withColumn("seen_at", F.col("started_at"))
     items = written(keyed(postings), "items")
-    rows = written(sequenced(items, registry, limit), "sequence")
+    rows = written(sequenced(items, registry), "sequence")
     companies = company_upsert(registry.companies, rows)
     touched = written(_touched(rows), "touched")
     versions = written(new_versions(registry.versions, rows), "versions")

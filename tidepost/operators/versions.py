@@ -5,30 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.operators.ordered import GROUP_LIMIT, lagged
+from tidepost.operators.ordered import lagged
 
 
-def with_previous(
-    sightings: DataFrame, order: list[str], limit: int = GROUP_LIMIT
-) -> DataFrame:
+def with_previous(sightings: DataFrame, order: list[str]) -> DataFrame:
     """Sightings of jobs with the content and material hash of the sighting before."""
     return lagged(
         sightings,
         ["job_id"],
         order,
         {"previous_content": "content_hash", "previous_material": "material_hash"},
-        limit,
     )
 
 
-def version_history(sightings: DataFrame, order: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
+def version_history(sightings: DataFrame, order: list[str]) -> DataFrame:
     """One version per job and content, at its first sighting.
 
     A version is material when its material hash differs from the sighting right before,
     whatever older versions said; the first version of a job never is. A return to an old
     content adds no version.
     """
-    rows = with_previous(sightings, order, limit)
+    rows = with_previous(sightings, order)
     rows = rows.where(
         F.col("previous_content").isNull() | (F.col("previous_content") != F.col("content_hash"))
     )

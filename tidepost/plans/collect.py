@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidepost.functions.redact import stored_error
 from tidepost.functions.similarity import MatchRule
-from tidepost.operators.ordered import GROUP_LIMIT
 from tidepost.operators.review import new_candidates, resembling, with_candidates, with_reposts
 from tidepost.operators.state import Registry
 from tidepost.operators.sweep import sweep
@@ -52,7 +51,6 @@ def collect_batch(
     failures: DataFrame,
     rejects: DataFrame | None = None,
     rule: MatchRule | None = MatchRule(),
-    limit: int = GROUP_LIMIT,
 ) -> Registry:
     """The registry after a batch of runs: upsert, duplicates, reposts, sweep, run rows.
 
@@ -61,7 +59,7 @@ def collect_batch(
     """
     closed = written(finished_runs(runs, failures, postings, rejects), "runs")
     good = postings.join(closed.where("status = 'success'").select("run_id"), "run_id", "left_semi")
-    step = apply_postings(registry, good, limit)
+    step = apply_postings(registry, good)
     after = step.registry
     if rule is not None:
         new_jobs = written(step.new_jobs, "new-jobs")
@@ -75,7 +73,7 @@ def collect_batch(
         jobs=written(after.jobs, "jobs"), links=written(after.links, "links"),
         candidates=written(after.candidates, "candidates"),
     )
-    after = sweep(after, registry.runs.unionByName(closed, allowMissingColumns=True), limit)
+    after = sweep(after, registry.runs.unionByName(closed, allowMissingColumns=True))
     counted = closed.join(step.counters, "run_id", "left")
     counted = counted.na.fill(0, ["jobs_found", "jobs_created", "jobs_updated"])
     return after.changed(runs=registry.runs.unionByName(counted, allowMissingColumns=True))
