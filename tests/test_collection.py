@@ -175,3 +175,93 @@ def test_new_checkpoint_goes_on_from_the_newest_version(spark, tmp_path):
     go("b", "two")
     marks = committed(spark, f"{tmp_path}/state")
     assert marks.count() == 2 and marks.select("stream").distinct().count() == 2
+
+
+def test_a_run_in_two_micro_batches_takes_effect_as_a_whole(spark, tmp_path):
+    from tidepost.sources.landed import LANDED_PARTS
+    from tidepost.streaming.collection import collect_continuously, landed_stream, newest_registry
+
+    def land(run_id, day, part, pages, *keys):
+        found = ", ".join('{"id": "%s", "title": "Cook %s", "jobUrl": "https://e.example.com/%s"}' % ((k,) * 3) for k in keys)
+        row = (
+            "u", "s", "Src", "https://jobs.ashbyhq.com/s", "auto", run_id, START + timedelta(days=day), part, 200,
+            '{"jobs": [%s]}' % found, pages,
+        )
+        spark.createDataFrame([row], LANDED_PARTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+        stream = landed_stream(spark, f"{tmp_path}/landed")
+        collect_continuously(stream, f"{tmp_path}/state", f"{tmp_path}/progress", rule=None).awaitTermination()
+        after = newest_registry(spark, f"{tmp_path}/state")
+        runs = {r["run_id"]: (r["status"], r["jobs_found"]) for r in after.runs.collect()}
+        return {k: j["status"] for k, j in jobs(after).items()}, runs
+
+    both = {"1": "active", "2": "active"}
+    assert land("r1", 0, 0, None, "1", "2") == (both, {"r1": ("success", 2)})
+    assert land("r2", 1, 0, 2, "1") == (both, {"r1": ("success", 2)})
+    assert land("r2", 1, 1, 2, "2") == (both, {"r1": ("success", 2), "r2": ("success", 2)})
+    gone = {"1": "removed", "2": "active"}
+    assert land("r3", 2, 0, 1, "2") == (gone, {"r1": ("success", 2), "r2": ("success", 2), "r3": ("success", 1)})
+
+
+def test_missing_pages_are_noticed_and_such_a_run_removes_nothing(spark):
+    from tidepost.operators.sweep import sweeping_runs
+    from tidepost.sources.adapters import with_completeness
+
+    item_of = '{"id": "%s", "text": "Cook", "hostedUrl": "https://jobs.lever.co/x/%s"}'
+    full = "[" + ", ".join(item_of % (k, k) for k in range(100)) + "]"
+
+    def page(run_id, skip, body):
+        return ("u", "s", "Src", "https://jobs.lever.co/x", "auto", run_id, START, skip, 200, body)
+
+    landed = spark.createDataFrame(
+        [
+            page("whole", 0, full), page("whole", 100, "[]"), page("gap", 0, full), page("gap", 200, "[]"),
+            page("open", 0, full), page("short", 0, "[" + item_of % (1, 1) + "]"),
+        ],
+        LANDED,
+    )
+    runs = spark.createDataFrame([(r, "success") for r in ("whole", "gap", "open", "short", "other")], "run_id string, status string")
+    marked = with_completeness(runs, collect(landed).pages)
+    found = {r["run_id"]: r["complete"] for r in marked.collect()}
+    assert found == {"whole": True, "gap": False, "open": False, "short": True, "other": None}
+    assert {r["run_id"] for r in sweeping_runs(marked).collect()} == {"whole", "short", "other"}
+
+
+def test_a_late_run_changes_neither_content_nor_times(spark):
+    first = run(spark, empty_registry(spark), [item("a", "r1", 1, 0, "Cook", "1", 10)], [("a", "r1", 1)])
+    second = run(spark, first, [item("a", "r3", 3, 0, "Cook", "1", 30)], [("a", "r3", 3)])
+    late = run(spark, second, [item("a", "r2", 2, 0, "Cook", "1", 20), item("a", "r2", 2, 1, "Pilot", "2")], [("a", "r2", 2)])
+    found = jobs(late)
+    assert found["1"]["compensation_min"] == 30 and found["1"]["last_seen_at"] == START + timedelta(days=3)
+    assert found["1"]["first_seen_at"] == START + timedelta(days=1)
+    # The newer run did not see it.
+    assert found["2"]["status"] == "removed" and found["2"]["removed_at"] == START + timedelta(days=3)
+    assert {r["run_id"]: r["jobs_updated"] for r in late.runs.collect()} == {"r1": 0, "r2": 0, "r3": 1}
+    assert late.versions.where(F.col("job_id") == found["1"]["job_id"]).count() == 3
+
+
+def test_source_health_follows_the_runs_in_order_of_time(spark):
+    from tidepost.operators.state import SCHEMAS
+
+    blank = empty_registry(spark)
+    names = [f.name for f in blank.sources.schema]
+    row = {"user_id": "u", "name": "S", "last_error": "old"}
+    made = [tuple({**row, "source_id": s}.get(n) for n in names) for s in ("a", "idle")]
+    registry = blank.changed(sources=spark.createDataFrame(made, SCHEMAS["sources"]))
+
+    def health(registry):
+        rows = {r["source_id"]: r for r in registry.sources.collect()}
+        assert (rows["idle"]["last_error"], rows["idle"]["last_attempt_at"]) == ("old", None)
+        r = rows["a"]
+        return r["last_error"], r["last_attempt_at"], r["last_success_at"], r["last_job_count"], r["consecutive_failures"]
+
+    day = lambda n: START + timedelta(days=n)
+    end = lambda n: day(n) + timedelta(minutes=1)
+    error = "CollectorError: GET https://x/?token=[redacted] failed"
+    after = run(spark, registry, [item("a", "r1", 1, 0, "Cook", "1")], [("a", "r1", 1)])
+    assert health(after) == (None, day(1), end(1), 1, 0)
+    after = run(spark, after, [], [("a", "r2", 2), ("a", "r3", 3)], failed=["r2", "r3"])
+    assert health(after) == (error, day(3), end(1), 1, 2)
+    # A failure that arrives after a newer success is history.
+    after = run(spark, after, [item("a", "r5", 5, 0, "Cook", "1")], [("a", "r5", 5)])
+    after = run(spark, after, [], [("a", "r4", 4)], failed=["r4"])
+    assert health(after) == (None, day(5), end(5), 1, 0)

@@ -35,19 +35,19 @@ def run_history(runs: DataFrame) -> DataFrame:
     )
 
 
-def consecutive_failures(runs: DataFrame) -> DataFrame:
+def consecutive_failures(runs: DataFrame, key: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """Failed runs of a source since its last success.
 
     Takes final attempts only. Failures are first counted per source and start time, so the
     comparison with the last success meets small groups.
     """
     finished = runs.where(F.col("status").isin("success", "failed"))
-    last_success = finished.where("status = 'success'").groupBy("source_id").agg(
+    last_success = finished.where("status = 'success'").groupBy(*key).agg(
         F.max("started_at").alias("last_success")
     )
     counted = (
-        finished.join(last_success, "source_id", "left")
-        .groupBy("source_id")
+        finished.join(last_success, list(key), "left")
+        .groupBy(*key)
         .agg(
             F.count_if(
                 (F.col("status") == "failed")
@@ -58,12 +58,12 @@ def consecutive_failures(runs: DataFrame) -> DataFrame:
     return counted.withColumn("alert", F.col("consecutive_failures") >= 2)
 
 
-def source_health(runs: DataFrame) -> DataFrame:
+def source_health(runs: DataFrame, key: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """Last attempt, last success with its job count, and the error still standing."""
     success, failed = F.col("status") == "success", F.col("status") == "failed"
     end = F.when(success | failed, F.struct("completed_at", "run_id"))
     found = F.max_by("jobs_found", F.when(success, F.struct("completed_at", "run_id")))
-    return runs.groupBy("source_id").agg(
+    return runs.groupBy(*key).agg(
         F.max("started_at").alias("last_attempt_at"),
         F.max(F.when(success, F.col("completed_at"))).alias("last_success_at"),
         F.when(F.max(success), found).alias("last_job_count"),
@@ -71,6 +71,26 @@ def source_health(runs: DataFrame) -> DataFrame:
     )
 
 
+HEALTH = ("last_attempt_at", "last_success_at", "last_job_count", "last_error", "consecutive_failures")
+
+
+def with_health(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Sources with the health all their runs give; a source without a run among ``runs`` stays as it is.
+
+    It follows from the runs in order of time, so a run that arrives late changes nothing that
+    newer ones settled.
+    """
+    key = ("user_id", "source_id")
+    counts = consecutive_failures(runs, key).drop("alert")
+    found = source_health(runs, key).join(counts, list(key), "left")
+    found = found.select(*key, F.struct(*HEALTH).alias("found"))
+    hit = F.col("found").isNotNull()
+    rows = sources.join(found, list(key), "left")
+    return rows.withColumns(
+        {c: F.when(hit, F.col(f"found.{c}")).otherwise(F.col(c)).cast(sources.schema[c].dataType) for c in HEALTH}
+    ).select(*sources.columns)
+
+
 def with_state(sources: DataFrame) -> DataFrame:
     """F18."""
     return sources.withColumn("state", source_state(F.col("enabled"), F.col("last_error")))

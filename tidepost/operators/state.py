@@ -6,6 +6,8 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidepost.sources.landed import LANDED_PARTS
+
 SNAPSHOT = (
     "struct<application_url:string,ats_type:string,company_name:string,compensation_max:int,"
     "compensation_min:int,currency:string,department:string,description_html:string,"
@@ -15,11 +17,12 @@ SNAPSHOT = (
 SCHEMAS = {
     "sources": "user_id string, source_id string, name string, url string, category string, "
     "portfolio_firm string, adapter string, enabled boolean, priority int, frequency string, notes string, "
-    "last_error string, detected_platform string, detected_application_url string, "
+    "last_error string, last_attempt_at timestamp, last_success_at timestamp, last_job_count bigint, "
+    "consecutive_failures bigint, detected_platform string, detected_application_url string, "
     "detection_status string, detected_at timestamp",
     "runs": "user_id string, source_id string, run_id string, status string, started_at timestamp, "
     "completed_at timestamp, jobs_found bigint, jobs_created bigint, jobs_updated bigint, "
-    "jobs_rejected bigint, error_type string, error_message string",
+    "jobs_rejected bigint, error_type string, error_message string, complete boolean",
     "companies": "user_id string, company_id string, company_name string, normalized_name string",
     "jobs": "user_id string, job_id string, company_id string, title string, normalized_title string, "
     "description_text string, description_html string, department string, location string, "
@@ -66,15 +69,19 @@ def empty_registry(spark: SparkSession) -> Registry:
 MARK = "version int, stream string, batch bigint"
 
 
-def write_registry(registry: Registry, folder: str, version: int, stream: str = "", batch: int = -1) -> None:
+def write_registry(
+    registry: Registry, folder: str, version: int, stream: str = "", batch: int = -1, held: DataFrame | None = None
+) -> None:
     """Write one version; a version counts once every table of it has its success mark.
 
     Its mark names the stream and the batch that made it. An attempt that failed left no mark,
-    so the next one overwrites what it wrote.
+    so the next one overwrites what it wrote. ``held`` are landed rows of runs that go on.
     """
-    for part in fields(registry):
-        table = getattr(registry, part.name)
-        table.write.mode("overwrite").parquet(f"{folder}/v{version}/{part.name}")
+    tables = {part.name: getattr(registry, part.name) for part in fields(registry)}
+    if held is not None:
+        tables["held"] = held
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")
     registry.jobs.sparkSession.createDataFrame([(version, stream, batch)], MARK).coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{folder}/committed/v{version}")
@@ -86,11 +93,22 @@ def read_registry(spark: SparkSession, folder: str, version: int) -> Registry:
     )
 
 
+def _there(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def read_held(spark: SparkSession, folder: str, version: int | None) -> DataFrame:
+    """Landed rows a version holds back until their runs are whole."""
+    path = f"{folder}/v{version}/held"
+    if version is None or not _there(spark, path):
+        return spark.createDataFrame([], LANDED_PARTS)
+    return spark.read.schema(LANDED_PARTS).parquet(path)
+
+
 def committed(spark: SparkSession, folder: str) -> DataFrame:
     """The marks of complete versions."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/committed")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
+    if not _there(spark, f"{folder}/committed"):
         return spark.createDataFrame([], MARK)
     return spark.read.schema(MARK).parquet(f"{folder}/committed/*")
 

@@ -12,9 +12,14 @@ from tidepost.session import written
 LINK = ["user_id", "job_id", "source_id"]
 
 
+def sweeping_runs(runs: DataFrame) -> DataFrame:
+    """Runs whose silence about a posting removes it: successful, and not known to lack pages."""
+    return runs.where("status = 'success' AND coalesce(complete, true)")
+
+
 def first_run_after(points: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per (source, time) the start of the first successful run later than that time."""
-    starts = runs.where("status = 'success'").select(
+    """Per (source, time) the start of the first of these runs later than that time."""
+    starts = runs.select(
         "user_id", "source_id", F.col("started_at").alias("at"), F.col("started_at").alias("start"),
         F.lit(1).alias("kind"),
     )
@@ -29,8 +34,9 @@ def first_run_after(points: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def stale_links(links: DataFrame, runs: DataFrame) -> DataFrame:
-    """M5: active links a later successful run of their source did not see, with that run's start."""
-    last = runs.where("status = 'success'").groupBy("user_id", "source_id").agg(
+    """M5: active links a later sweeping run of their source did not see, with that run's start."""
+    runs = sweeping_runs(runs)
+    last = runs.groupBy("user_id", "source_id").agg(
         F.max("started_at").alias("last_start")
     )
     stale = links.where("is_active").join(last, ["user_id", "source_id"]).where("last_seen_at < last_start")

@@ -167,6 +167,7 @@ def matched_keys(items: DataFrame, jobs: DataFrame) -> DataFrame:
 def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
     """Items with job, and against the job's content right before: created, updated, material.
 
+    An item older than the last sighting of its job is late: it leaves the content as it is.
     Only keys, hashes and times take part; texts and payloads stay where they were written.
     """
     matches = matched_keys(items, registry.jobs)
@@ -175,14 +176,12 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
         "company_name", "normalized_company", "normalized_title", "location",
         F.coalesce(filled(F.col("source_job_url")), F.col("application_url")).alias("link_url"),
     )
-    rows = slim.join(matches, KEYS)
-    rows = lagged(
-        rows,
-        ["job_id"],
-        ORDER,
-        {"previous_content": "content_hash", "previous_material": "material_hash"},
-    )
-    stored = registry.jobs.select("job_id", F.col("content_hash").alias("stored_content")).join(
+    rows = written(slim.join(matches, KEYS), "matched-items")
+    # Jobs of the batch come first, so the versions of all others are scanned but never shuffled.
+    named = registry.jobs.join(rows.select("job_id").distinct(), "job_id", "left_semi")
+    stored = named.select(
+        "job_id", F.col("content_hash").alias("stored_content"), F.col("last_seen_at").alias("stored_seen")
+    ).join(
         registry.versions.select(
             "job_id",
             F.col("content_hash").alias("stored_content"),
@@ -191,7 +190,15 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
         ["job_id", "stored_content"],
         "left",
     )
-    rows = rows.join(stored, "job_id", "left")
+    rows = rows.join(stored, "job_id", "left").withColumn(
+        "late", F.coalesce(F.col("seen_at") < F.col("stored_seen"), F.lit(False))
+    )
+    rows = lagged(
+        rows,
+        ["job_id", "late"],
+        ORDER,
+        {"previous_content": "content_hash", "previous_material": "material_hash"},
+    )
     first = F.col("previous_content").isNull()
     before = F.coalesce("previous_content", "stored_content")
     material_before = F.when(first, F.col("stored_material")).otherwise(F.col("previous_material"))
@@ -199,7 +206,7 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
     return rows.withColumns(
         {
             "created": F.col("is_new") & F.col("is_first"),
-            "updated": F.col("before").isNotNull() & (F.col("before") != F.col("content_hash")),
+            "updated": F.col("before").isNotNull() & (F.col("before") != F.col("content_hash")) & ~F.col("late"),
         }
     ).withColumn(
         "is_material",
@@ -260,6 +267,7 @@ def job_upsert(jobs: DataFrame, touched: DataFrame) -> DataFrame:
     over = {
         "company_id": F.coalesce("new_company", "company_id"),
         "fingerprint": F.coalesce("new_print", "fingerprint"),
+        "first_seen_at": F.least("first_time", "first_seen_at"),
         "last_seen_at": F.greatest("last_time", "last_seen_at"),
         "status": F.when(hit, "active").otherwise(F.col("status")),
         "removed_at": F.when(~hit, F.col("removed_at")),
@@ -291,8 +299,9 @@ def link_upsert(links: DataFrame, sightings: DataFrame) -> DataFrame:
     return rows.select(
         "user_id", "job_id", "source_id",
         F.coalesce("origin_job_id", "job_id").alias("origin_job_id"),
-        F.coalesce("url", "source_job_url").alias("source_job_url"),
-        F.coalesce("first_seen_at", "first_time").alias("first_seen_at"),
+        F.when(F.col("last_time") < F.col("last_seen_at"), F.col("source_job_url"))
+        .otherwise(F.coalesce("url", "source_job_url")).alias("source_job_url"),
+        F.least("first_seen_at", "first_time").alias("first_seen_at"),
         F.greatest("last_time", "last_seen_at").alias("last_seen_at"),
         F.when(hit, F.lit(True)).otherwise(F.col("is_active")).alias("is_active"),
         F.when(~hit, F.col("removed_at")).alias("removed_at"),
@@ -301,7 +310,7 @@ def link_upsert(links: DataFrame, sightings: DataFrame) -> DataFrame:
 
 def new_versions(versions: DataFrame, rows: DataFrame) -> DataFrame:
     """M3: first items of the (job, content) pairs the table does not hold yet."""
-    first = rows.where("is_first OR updated").groupBy("user_id", "job_id", "content_hash").agg(
+    first = rows.where("is_first OR updated OR late").groupBy("user_id", "job_id", "content_hash").agg(
         F.min_by(F.struct("material_hash", "seen_at", "is_material", *ITEM), "ord").alias("v")
     )
     fresh = first.join(versions.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepost.functions.redact import stored_error
 from tidepost.functions.similarity import MatchRule
+from tidepost.operators.health import with_health
 from tidepost.operators.review import new_candidates, resembling, with_candidates, with_reposts
 from tidepost.operators.state import Registry
 from tidepost.operators.sweep import sweep
@@ -52,10 +53,11 @@ def collect_batch(
     rejects: DataFrame | None = None,
     rule: MatchRule | None = MatchRule(),
 ) -> Registry:
-    """The registry after a batch of runs: upsert, duplicates, reposts, sweep, run rows.
+    """The registry after a batch of runs: upsert, duplicates, reposts, sweep, run rows, source health.
 
-    ``runs`` holds ``user_id, source_id, run_id, started_at, completed_at``. Without a match
-    rule no duplicates and reposts are looked for.
+    ``runs`` holds ``user_id, source_id, run_id, started_at, completed_at``, and ``complete``
+    where pages are known to be missing. Without a match rule no duplicates and reposts are
+    looked for.
     """
     closed = written(finished_runs(runs, failures, postings, rejects), "runs")
     good = postings.join(closed.where("status = 'success'").select("run_id"), "run_id", "left_semi")
@@ -76,4 +78,8 @@ def collect_batch(
     after = sweep(after, registry.runs.unionByName(closed, allowMissingColumns=True))
     counted = closed.join(step.counters, "run_id", "left")
     counted = counted.na.fill(0, ["jobs_found", "jobs_created", "jobs_updated"])
-    return after.changed(runs=registry.runs.unionByName(counted, allowMissingColumns=True))
+    counted = written(counted, "closed-runs")
+    runs = registry.runs.unionByName(counted, allowMissingColumns=True)
+    touched = counted.select("user_id", "source_id").distinct()
+    theirs = runs.join(touched, ["user_id", "source_id"], "left_semi")
+    return after.changed(runs=runs, sources=with_health(registry.sources, theirs))

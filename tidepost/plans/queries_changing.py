@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from tidepost.operators import sweep as sweeping
 from tidepost.operators import upsert
+from tidepost.operators.health import HEALTH
 from tidepost.operators.state import empty_registry
 from tidepost.operators.tombstones import survivors
 from tidepost.plans.book import query
 from tidepost.plans.collect import collect_batch
 from tidepost.plans.views import sql, view
+from tidepost.session import written
 
 # Every sighting is one item of the run of its source and day. Items named by the posting
 # number carry an ATS id, those seen by 'view' carry none, so both exact tiers take part.
@@ -114,8 +116,6 @@ def _(spark, folder):
     middle = F.lit("2024-01-16").cast("timestamp")
     good = postings.join(failures.select("run_id"), "run_id", "left_anti")
     first = upsert.apply_postings(empty_registry(spark), good.where(F.col("started_at") < middle)).registry
-    from tidepost.session import written
-
     stored = first.changed(**{f.name: written(getattr(first, f.name), f.name) for f in fields(first)})
     second = upsert.apply_postings(stored, good.where(F.col("started_at") >= middle)).registry
     return _plain(second.jobs.select(*JOBS_OUT))
@@ -258,3 +258,50 @@ def _(spark, folder):
 @query("J9_survivors_of_one_user", CHAIN.format(user="0", same="true", alive="true"))
 def _(spark, folder):
     return survivors(view(spark, folder, "d1_jobs").withColumn("user_id", F.lit(0)))
+
+
+@query(
+    "M5_late_runs",
+    f"""WITH {STEPS_SQL} SELECT e.user_id, e.source_id, j.title, j.location, j.compensation_min, j.first_seen_at, j.last_seen_at, e.first_seen_at AS link_first_seen_at,
+     e.last_seen_at AS link_last_seen_at, e.removed_at IS NULL AS is_active, e.removed_at, CASE WHEN g.removed_at IS NOT NULL THEN 'removed' ELSE 'active' END AS status
+    FROM ends e JOIN jobs j USING (job_id) JOIN gone g USING (job_id)""",
+)
+def _(spark, folder):
+    """The first half of the month lands after the second: the registry is what it is in order."""
+    postings, runs, failures = batch(spark, folder)
+    late = F.col("started_at") < F.lit("2024-01-16").cast("timestamp")
+    registry = empty_registry(spark)
+    for part in (~late, late):
+        registry = collect_batch(registry, postings.where(part), runs.where(part), failures.where(part), rule=None)
+        registry = registry.changed(**{f.name: written(getattr(registry, f.name), f.name) for f in fields(registry)})
+    links = registry.links.withColumnsRenamed({"first_seen_at": "link_first_seen_at", "last_seen_at": "link_last_seen_at"})
+    rows = links.join(registry.jobs.drop("removed_at"), ["user_id", "job_id"])
+    return _plain(
+        rows.select(
+            "user_id", "source_id", "title", "location", "compensation_min", "first_seen_at", "last_seen_at", "link_first_seen_at",
+            "link_last_seen_at", "is_active", "removed_at", "status",
+        )
+    )
+
+
+@query(
+    "G7_sources_after_batch",
+    f"""WITH {STEPS_SQL}, c AS ({COUNTERS}), ok AS (SELECT source_id, max(started_at) AS ok FROM runs WHERE status = 'success' GROUP BY source_id),
+    h AS (SELECT r.source_id, max(started_at) AS last_attempt_at, max(completed_at) FILTER (status = 'success') AS last_success_at,
+      arg_max(coalesce(jobs_found, 0), completed_at) FILTER (status = 'success') AS last_job_count,
+      CASE WHEN arg_max(status, completed_at) = 'failed' THEN 'CollectorError: GET https://x.example.com/?token=[redacted] failed with status 503' END AS last_error,
+      count(*) FILTER (status = 'failed' AND (ok IS NULL OR started_at > ok)) AS consecutive_failures
+     FROM runs r LEFT JOIN c USING (run_id) LEFT JOIN ok ON ok.source_id = r.source_id GROUP BY r.source_id)
+    SELECT CAST(s.user_id AS STRING) AS user_id, CAST(s.source_id AS STRING) AS source_id, last_attempt_at, last_success_at, last_job_count,
+     CASE WHEN h.source_id IS NULL THEN s.last_error ELSE h.last_error END AS last_error, consecutive_failures
+    FROM d2_sources s LEFT JOIN h ON h.source_id = CAST(s.source_id AS STRING)""",
+)
+def _(spark, folder):
+    """Sources with the health of the batch; those without a run keep their error."""
+    known = view(spark, folder, "d2_sources").select(
+        F.col("user_id").cast("string"), F.col("source_id").cast("string"), "last_error"
+    )
+    registry = empty_registry(spark)
+    registry = registry.changed(sources=registry.sources.unionByName(known, allowMissingColumns=True))
+    rows = collect_batch(registry, *batch(spark, folder), rule=None).sources
+    return _plain(rows.select("user_id", "source_id", *HEALTH))

@@ -234,13 +234,18 @@ def _posting_struct(adapter: Adapter, name: str) -> Column:
     return F.struct(*columns, F.coalesce(wrong, F.lit(False)).alias("invalid"))
 
 
+#: Boards that answer in pages.
+PAGED = ("lever",)
+
+
 @dataclass(frozen=True)
 class Collected:
-    """What landed responses hold: postings, counted rejects, and runs that failed."""
+    """What landed responses hold: postings, counted rejects, runs that failed, and pages of paged boards."""
 
     postings: DataFrame
     rejects: DataFrame
     failures: DataFrame
+    pages: DataFrame
 
 
 def parsed(landed: DataFrame, adapters: dict[str, Adapter], max_bytes: int | None) -> DataFrame:
@@ -336,7 +341,15 @@ def collect(
     failures = rows.where("error_message IS NOT NULL").select(
         "user_id", "source_id", "run_id", "started_at", "error_type", "error_message"
     )
-    return Collected(postings, rejects, failures)
+    paged = rows.where(F.col("adapter").isin(*PAGED) & F.col("skip").isNotNull())
+    pages = paged.select("run_id", "skip", F.coalesce(F.size("items"), F.lit(0)).alias("page_items"))
+    return Collected(postings, rejects, failures, pages)
+
+
+def with_completeness(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """A4: runs with ``complete``, false where pages of a paged board are missing, null where nothing is paged."""
+    summary = page_summary(pages).select("run_id", (~F.col("truncated")).alias("complete"))
+    return runs.join(summary, "run_id", "left")
 
 
 def page_summary(

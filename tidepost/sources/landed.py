@@ -1,12 +1,13 @@
 """Landed responses: fetch outcome, adapter routing and the address that was asked.
 
 A landed row is one response of one run: ``user_id, source_id, source_name, source_url,
-adapter, run_id, started_at, skip, http_status, body``.
+adapter, run_id, started_at, skip, http_status, body``. A stream may add ``pages``, the number
+of responses the run has in all; without it what lands together is the whole run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.fixed import ADAPTERS
@@ -17,6 +18,18 @@ LANDED = (
     "user_id string, source_id string, source_name string, source_url string, adapter string, "
     "run_id string, started_at timestamp, skip int, http_status int, body string"
 )
+LANDED_PARTS = f"{LANDED}, pages int"
+
+
+def whole_runs(landed: DataFrame) -> DataFrame:
+    """Ids of the runs of which as many different responses are there as they have in all."""
+    response = F.struct("source_url", "skip")
+    return (
+        landed.groupBy("user_id", "source_id", "run_id")
+        .agg(F.count_distinct(response).alias("there"), F.coalesce(F.max("pages"), F.lit(0)).alias("pages"))
+        .where("there >= pages")
+        .select("user_id", "source_id", "run_id")
+    )
 
 
 def _too_large(body_bytes: Column, max_bytes: int | None) -> Column:
