@@ -68,9 +68,9 @@ def _(spark, folder):
 )
 def _(spark, folder):
     out = fresh(spark, "activity")
-    stream = activity.rolling_activity(sightings_stream(spark, folder))
+    stream = activity.hourly_activity(sightings_stream(spark, folder))
     activity.kept_updates(stream, out, fresh(spark, "progress")).awaitTermination()
-    rows = activity.latest_updates(spark.read.parquet(out), ["user_id", "window_start", "window_end"])
+    rows = activity.rolling_activity(activity.latest_updates(spark.read.parquet(out), ["user_id", "hour"]))
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 

@@ -17,20 +17,33 @@ def first_sightings(sightings: DataFrame, delay: str) -> DataFrame:
     return sightings.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["source_id", "item"])
 
 
-def rolling_activity(sightings: DataFrame, delay: str = "1 hour", keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """S3: sightings and failures of the last 24 hours, per hour and user.
+def hourly_activity(sightings: DataFrame, delay: str = "1 day", keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """S3: sightings and failures per hour and user, updated as they arrive.
 
-    Rows older than the watermark are dropped.
+    Every row goes into one hour. Rows of hours that ended before the watermark are dropped.
     """
-    window = F.window("seen_at", "24 hours", "1 hour")
     return (
         sightings.withWatermark("seen_at", delay)
-        .groupBy(window, *keys)
+        .groupBy(F.window("seen_at", "1 hour"), *keys)
         .agg(
             F.count(F.lit(1)).alias("sightings"),
             F.count_if(F.col("event_type") == "error").alias("failures"),
         )
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "sightings", "failures")
+        .select(F.col("window.start").alias("hour"), *keys, "sightings", "failures")
+    )
+
+
+def rolling_activity(hours: DataFrame, span: int = 24, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """S3: sightings and failures of ``span`` hours up to every hour, added up from counts of hours."""
+    shifts = F.array(*[F.make_interval(hours=F.lit(h)) for h in range(span)])
+    starts = hours.withColumn("back", F.explode(shifts)).withColumn("window_start", F.col("hour") - F.col("back"))
+    return (
+        starts.groupBy("window_start", *keys)
+        .agg(F.sum("sightings").alias("sightings"), F.sum("failures").alias("failures"))
+        .select(
+            "window_start", (F.col("window_start") + F.make_interval(hours=F.lit(span))).alias("window_end"),
+            *keys, "sightings", "failures",
+        )
     )
 
 
