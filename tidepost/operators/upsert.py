@@ -177,12 +177,13 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
         F.coalesce(filled(F.col("source_job_url")), F.col("application_url")).alias("link_url"),
     )
     rows = written(slim.join(matches, KEYS), "matched-items")
-    # Jobs of the batch come first, so the versions of all others are scanned but never shuffled.
-    named = registry.jobs.join(rows.select("job_id").distinct(), "job_id", "left_semi")
+    # Jobs and versions shrink to those of the batch first; Spark may broadcast the ids if they are few.
+    ids = rows.select("job_id").distinct()
+    named = registry.jobs.join(ids, "job_id", "left_semi")
     stored = named.select(
         "job_id", F.col("content_hash").alias("stored_content"), F.col("last_seen_at").alias("stored_seen")
     ).join(
-        registry.versions.select(
+        registry.versions.join(ids, "job_id", "left_semi").select(
             "job_id",
             F.col("content_hash").alias("stored_content"),
             F.col("material_hash").alias("stored_material"),
