@@ -41,6 +41,18 @@ def test_bpe_of_odd_texts(make):
     assert bpe.encode(make([]), queries.VOCABULARY).count() == 0
 
 
+@pytest.mark.parametrize("letters", [40_000, 100_000, 1_000_000])
+def test_bpe_of_long_words(letters):
+    plain = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
+    random = np.random.default_rng(letters)
+    words = bpe.vocabulary(queries.VOCABULARY)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "漢字語文書日本人") if letters < 1_000_000 else ("abcdefghijklmnopqrstuvwxyz",):
+        text = "".join(random.choice(list(alphabet), letters))
+        packed = words.encode_texts([text])[0]
+        assert np.frombuffer(packed, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert words.decode_ids(packed) == text
+
+
 def plain_spans(text):
     out = []
     for kind, pattern, fits in (

@@ -150,7 +150,8 @@ class Vocabulary:
         count, size = len(symbol), 1
         while size < count:
             size *= 2
-        none, width, rank_of = int(NO_PAIR), self.width, self.rank_of
+        # "No pair" lies above every leaf, so that words of any length keep all their merges.
+        none, width, rank_of = len(self.merged) * size, self.width, self.rank_of
         tree = [none] * (2 * size)
         for i in range(count - 1):
             rank = rank_of.get(symbol[i] * width + symbol[i + 1])
