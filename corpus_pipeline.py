@@ -20,13 +20,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that too many documents of their source share; ``n_chars`` follows the text."""
-    cleaned = lines.drop_lines(docs)
+    """Documents without the lines that too many different documents of their source share; ``n_chars`` follows the text.
+
+    Copies count once: they are still there at this stage, and one of them is to reach the end with its text."""
+    cleaned = lines.drop_lines(docs, copies_once=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, and one of each text without words."""
     return jaccard.keep_one(docs)
 
 

@@ -195,6 +195,17 @@ def test_lines_of_odd_rows(make):
     assert lines.drop_lines(make([])).count() == 0
 
 
+def test_copies_of_a_page_are_no_boilerplate(make):
+    own = [(i, f"Site line\nfirst of {i}\nsecond of {i}", "h", "") for i in range(100)]
+    copies = [(1000 + i, "Site line\ncopied one\ncopied two", "h", "") for i in range(50)]
+    docs = make(own + copies)
+    found = {r.doc_id: r.text for r in lines.drop_lines(docs, copies_once=True).collect()}
+    assert found[7] == "first of 7\nsecond of 7" and len(found) == 150
+    assert {found[1000 + i] for i in range(50)} == {"copied one\ncopied two"}
+    by_rows = {r.doc_id: r.text for r in lines.drop_lines(docs).collect()}
+    assert by_rows[1000] == "" and by_rows[7] == found[7]
+
+
 def test_shards_are_even(spark, folder, tables):
     rows = queries.op1_ring_shards(spark, folder).collect()
     texts = {r[0]: r[1] for r in tables("documents")}

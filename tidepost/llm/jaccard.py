@@ -276,15 +276,20 @@ def join(docs: DataFrame, how: Join | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, how: Join | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies: that of the smallest doc_id. Texts without words stay."""
+    """``docs`` with one document of each group of near copies: that of the smallest doc_id. Texts without words are near
+    copies of equal texts only (null is a text of its own)."""
     key = free_name(docs, "jaccard_key")
     members, groups = similar(docs, how, doc_id, text)
     rows = members.filter("group is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     best = groups.select("key").join(rows, "key")
     wordless = members.filter("group is null").select("key").distinct()
     keyed = docs.withColumn(key, F.xxhash64(docs[f"`{doc_id}`"].cast("long"), docs[f"`{text}`"]))
-    once = best.filter("n = 1").select("key").union(wordless).withColumnRenamed("key", key)
+    bare = keyed.join(wordless.withColumnRenamed("key", key), key, "left_semi")
+    first = F.min(F.struct(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`").alias("id"), F.col(key).alias("key")))
+    first_bare = bare.groupBy(F.col(f"`{text}`").alias("bare")).agg(first.alias("best")).select(F.col("best.key").alias(key))
+    once = best.filter("n = 1").select(F.col("key").alias(key))
     kept = keyed.join(once, key, "left_semi")
     # A row that the table holds several times stays once.
-    copies = keyed.join(best.filter("n > 1").select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])
+    several = best.filter("n > 1").select(F.col("key").alias(key)).union(first_bare)
+    copies = keyed.join(several, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(copies).drop(key)

@@ -27,16 +27,23 @@ def _marks(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(
+    docs: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False
+) -> DataFrame:
     """(host, marks): hashes of each host's boilerplate lines. A host has at most (lines a page on average) / ratio.
 
     Pages are counted by (host, line) and by host; both sums are taken inside the partitions first, so a host with a
-    third of all pages sends one row a line and partition.
+    third of all pages sends one row a line and partition. With ``copies_once`` the pages of a host that have one text
+    count as one page, told apart by two 64-bit hashes; they too are merged inside the partitions first.
     """
-    pages = only(docs, host=host, text=text)
+    pages = only(docs, host=host, text=text).select("host", "text", _marks(F.col("text")).alias("marks"))
+    if copies_once:
+        hashes = [F.xxhash64(F.lit(seed), whole(F.col("text"))).alias(name) for seed, name in ((1, "one"), (2, "two"))]
+        pages = pages.select("host", *hashes, "marks").groupBy("host", "one", "two").agg(F.first("marks").alias("marks"))
+        pages = written(pages, "pages")
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     shares = (
-        pages.select("host", F.explode(_marks(F.col("text"))).alias("mark"))
+        pages.select("host", F.explode("marks").alias("mark"))
         .groupBy("host", "mark")
         .agg(F.count(F.lit(1)).alias("seen"))
         .filter(F.col("seen") >= least_pages)
@@ -56,15 +63,17 @@ def drop_lines(
     ratio: float = RATIO,
     least_pages: int = LEAST_PAGES,
     dropped: str | None = None,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; with ``dropped``, also the number of lines taken out.
 
     A page counts once for a line however often it has it. Pages without host form a group of their own. Blank lines are
     never boilerplate. A null text stays null, a text that loses all its lines becomes empty; no row is dropped.
+    With ``copies_once`` exact copies on a host count as one page, so that no number of them makes lines boilerplate.
     """
     marks = free_name(docs, "line_marks")
     theirs = free_name(docs, "line_host")
-    found = written(boilerplate(docs, host, text, ratio, least_pages), "lines")
+    found = written(boilerplate(docs, host, text, ratio, least_pages, copies_once), "lines")
     found = found.select(F.col("host").alias(theirs), F.col("marks").alias(marks))
     joined = docs.join(found, docs[f"`{host}`"].eqNullSafe(F.col(theirs)), "left")
     lines = split_lines(F.col(f"`{text}`"))
