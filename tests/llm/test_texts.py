@@ -99,6 +99,27 @@ def test_secrets_of_odd_texts(make):
     assert secrets.scan(make([])).count() == 0
 
 
+def test_planted_secrets_with_production_models(spark, folder, make):
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    upper = lower.upper()
+    alphabets = {
+        "upper hex": digits + "ABCDEF", "upper + digits": upper + digits, "lower + digits": lower + digits, "lower": lower,
+        "upper": upper, "letters": lower + upper, "base62": lower + upper + digits,
+    }
+    random = np.random.default_rng(11)
+    planted = {(name, n): ["".join(random.choice(list(chars), n)) for _ in range(100)] for name, chars in alphabets.items() for n in (12, 20, 40)}
+    planted["uuid", 36] = ["-".join("".join(random.choice(list(digits + "abcdef"), n)) for n in (8, 4, 4, 4, 12)) for _ in range(100)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = {-1 - i: values for i, values in enumerate(planted.values())}
+    plants = make([(i, " and ".join(values), "a", "") for i, values in rows.items()]).select("doc_id", "text")
+    found = {r.doc_id: [s.value for s in r.secrets if s.kind == 3] for r in secrets.scan(docs.union(plants)).collect()}
+    base = {i: {" and ".join(v)[a:b] for a, _, b in plain_spans(" and ".join(v))} for i, v in rows.items()}
+    shares = {k: sum(v in found[i] or v in base[i] for v in values) / len(values) for (k, values), i in zip(planted.items(), rows, strict=True)}
+    assert min(shares.values()) >= 0.95, shares
+    # The documents themselves are invented words and base finds.
+    assert sum(len(v) for i, v in found.items() if i >= 0) <= 2
+
+
 def test_articles_of_all_pages(spark, folder, tables):
     import html
 
