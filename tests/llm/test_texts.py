@@ -148,6 +148,27 @@ def test_page_parts():
     assert mainpage.extract("a < b &am", mainpage.Weights()) == "a < b &am"
 
 
+@pytest.mark.parametrize("name", ["site-container has-sidebar", "layout-no-sidebar", "page-with-menu", "comments-open single-post", "elementor-widget-theme-post-content", "widget-area"])
+def test_wrappers_named_like_boilerplate(name):
+    page = f"""<body><nav><a>Home</a></nav><div class="{name}"><div class="post-header"><h1>The title here</h1></div>
+    <p>First paragraph with quite a few words in it, as pages have.</p><div class="related-posts">See more</div>
+    <section id="related-work"><p>Others have written about this before, at length.</p></section></div><div class="footer">Rights</div></body>"""
+    expected = "The title here\nFirst paragraph with quite a few words in it, as pages have.\nOthers have written about this before, at length."
+    assert mainpage.extract(page, mainpage.Weights()) == expected
+
+
+def test_articles_in_comments_stay_muted():
+    comments = "<section id='comments'><article class='comment'><p>Great post I agree</p></article></section>"
+    post = "<p>The post itself has many more words than what readers say below it.</p>"
+    extract = lambda page: mainpage.extract(page, mainpage.Weights())
+    said = "The post itself has many more words than what readers say below it."
+    assert extract(f"<body><div>{post}</div>{comments}</body>") == said
+    assert extract(f"<body><article>{post}</article>{comments}</body>") == said
+    assert extract(f"<form>{'<div>' * 3}<article>{post}</article></div></div></div></form>") == said
+    assert extract(f"<body><nav><a>Home</a><article>{post}</article></body>").endswith(said)
+    assert extract(f"<div><div class='menu'><a>Home</a><article>{post}</article></div></body>").endswith(said)
+
+
 def test_pages_with_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (2, "u", "", "t"), (None, "u", "<p>Hi there</p>", "t")], "page_id long, url string, html string, text string")
     found = {r.page_id: r for r in mainpage.main_text(pages).collect()}

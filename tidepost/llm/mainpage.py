@@ -50,6 +50,13 @@ NAMES = frozenset(
     "discussion pagination pager toolbar skip tracking".split()
 )
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words that make a class a state or layout of the page ("has-sidebar", "comments-open"), and what the content is called:
+#: "post-header" and "theme-post-content" are parts of it, "related-work" is a section.
+STATES = frozenset("has no with without open closed enabled disabled".split())
+CONTENT_NAMES = frozenset("post entry article story page content".split())
+CONTENT_PARTS = frozenset("header content body text title".split())
+#: Boilerplate elements that may wrap a whole page.
+WRAPPERS = frozenset("form fieldset".split())
 
 
 @dataclass
@@ -66,42 +73,106 @@ class Weights:
 BOILERPLATE_SCORE, LEAST, MOST = -4.0, 0.02, 3.0
 
 
-def is_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
-    if name in BOILERPLATE or (name == "header" and not in_content):
+def names_boilerplate(value: str) -> bool:
+    """Whether a class, id or role names boilerplate, by one of its blank-separated names."""
+    for name in value.split():
+        parts = [p.lower() for p in NAME_PARTS.findall(name)]
+        if NAMES.isdisjoint(parts) or not STATES.isdisjoint(parts):
+            continue
+        if len(parts) > 1 and (parts[-2] in CONTENT_NAMES and parts[-1] in CONTENT_PARTS or parts[-2] == "related" and parts[-1] == "work"):
+            continue
         return True
+    return False
+
+
+def is_boilerplate(name: str, attrs: str, in_content: bool) -> str:
+    """"skip" for boilerplate, "wrap" for what is none if it holds most of the page, else nothing."""
+    if name in BOILERPLATE or (name == "header" and not in_content):
+        return "wrap" if name in WRAPPERS and "hidden" not in attrs else "skip"
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return ""
+    named = ""
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key in ("class", "id", "role") and name not in ("body", "html", "article", "main"):
-            if any(part.lower() in NAMES for part in NAME_PARTS.findall(value)):
-                return True
-    return False
+            return "skip"
+        if key in ("class", "id", "role") and name not in ("body", "html", "article", "main") and names_boilerplate(value):
+            named = "wrap"
+    return named
 
 
-def events(page: str) -> Iterator[tuple[str, str, str, bool]]:
+class Shape:
+    """What a reading of a page finds of its muting elements, by their place: how many words and content elements each
+    holds, which have an end tag of their own, and which a content element inside has ended."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, tuple[int, int]] = {}
+        self.closed: dict[int, str] = {}
+        self.unclosed: dict[str, int] = {}  # the first place of each name without an end tag
+        self.wraps: set[int] = set()
+        self.ended: set[int] = set()
+        self.words = self.contents = 0
+
+    def freed(self) -> set[int]:
+        """Elements that boilerplate names or a form would mute although they hold more than half of the page's words, and
+        all of its article and main elements."""
+        return {at for at in self.wraps if 2 * self.held[at][0] > self.words and self.held[at][1] == self.contents}
+
+    def really_closed(self) -> set[int]:
+        """Elements with an end tag that cannot be that of an unclosed element around them."""
+        return {at for at, name in self.closed.items() if at < self.unclosed.get(name, at + 1)}
+
+
+def events(page: str) -> list[tuple[str, str, str, bool]]:
+    """The parts of a page, as ``scan`` gives them, once it is known what its muting elements hold and where they end."""
+    shape = Shape()
+    parts = list(scan(page, shape))
+    freed, closed = shape.freed(), shape.really_closed()
+    return list(scan(page, Shape(), freed, closed)) if freed or closed & shape.ended else parts
+
+
+def scan(
+    page: str, shape: Shape, freed: set[int] | frozenset[int] = frozenset(), closed: set[int] | frozenset[int] = frozenset()
+) -> Iterator[tuple[str, str, str, bool]]:
     """(kind, key, text, inside) for the page's parts in order: ``tag`` with its name, ``text`` with the innermost block's
     name and the decoded text, ``cut`` at a block's edge, ``skip`` for a boilerplate element. ``inside`` is whether the
-    place is in an article or main element."""
-    open_: list[tuple[str, str]] = []  # (name, "" or "silent" or "skip")
+    place is in an article or main element. Elements at places ``freed`` do not mute; of those that do, only the ones not
+    in ``closed`` end where an article or main element opens."""
+    open_: list[tuple[str, str, int, int, int]] = []  # (name, "" or "silent" or "skip", place, or -1 - place of what does not mute, words and contents before it)
+    silent = 0
     content = 0
     muted = 0
     at = 0
 
     def inner() -> str:
-        return next((n for n, _ in reversed(open_) if n not in INLINE), "body")
+        return next((n for n, *_ in reversed(open_) if n not in INLINE), "body")
 
     def said(raw: str) -> Iterator[tuple[str, str, str, bool]]:
+        if raw and not silent:
+            shape.words += len(raw.split())
         if raw and not muted:
             yield "text", inner(), html.unescape(raw), content > 0
 
+    def leave(own: bool) -> str:
+        nonlocal muted, silent, content
+        last, how, place, words, contents = open_.pop()
+        start = abs(place) - (place < 0)
+        muted -= bool(how)
+        silent -= how == "silent"
+        content -= last in CONTENT
+        if place >= 0:
+            shape.held[place] = shape.words - words, shape.contents - contents
+            if own:
+                shape.closed[place] = last
+        if not own:
+            shape.unclosed[last] = min(start, shape.unclosed.get(last, start))
+        return last
+
     while at < len(page):
         begin = page.find("<", at)
         if begin < 0:
             yield from said(page[at:])
-            return
+            break
         match = TOKEN.match(page, begin)
         if match is None:  # a "<" that opens nothing is text
             end = page.find("<", begin + 1)
@@ -118,13 +189,9 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool]]:
         if not name:
             continue
         if match["end"] or match["end2"]:
-            if any(n == name for n, _ in open_):
-                while True:
-                    last, how = open_.pop()
-                    muted -= bool(how)
-                    content -= last in CONTENT
-                    if last == name:
-                        break
+            if any(n == name for n, *_ in open_):
+                while leave(open_[-1][0] == name) != name:
+                    pass
             if not muted:
                 yield "tag", "/" + name, "", content > 0
                 if name not in INLINE:
@@ -139,11 +206,16 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool]]:
             continue
         if name in CONTENT and content == 0:
             # Content that opens inside unclosed boilerplate ends that.
-            open_ = [(n, "") for n, _ in open_]
-            muted = 0
-        how = "silent" if name in SILENT else "skip" if is_boilerplate(name, attrs, content > 0) else ""
+            for i, (n, how, place, *before) in enumerate(open_):
+                if how and place not in closed:
+                    open_[i] = (n, "", place, *before)
+                    shape.ended.add(place)
+                    muted -= 1
+                    silent -= how == "silent"
+        kind = "silent" if name in SILENT else is_boilerplate(name, attrs, content > 0)
+        how = "skip" if kind == "wrap" and begin not in freed else "" if kind == "wrap" else kind
         if name == "p" and open_ and open_[-1][0] == "p":
-            muted -= bool(open_.pop()[1])
+            leave(False)
         if not muted:
             if name not in INLINE:
                 yield "cut", name, "", content > 0
@@ -151,9 +223,15 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool]]:
                 yield "text", inner(), "\n", content > 0
             yield ("skip" if how == "skip" and name not in VOID else "tag"), name, "", content > 0
         if name not in VOID and not attrs.rstrip().endswith("/"):
-            open_.append((name, how))
+            open_.append((name, how, begin if how else -1 - begin, shape.words, shape.contents))
+            if kind == "wrap":
+                shape.wraps.add(begin)
             muted += bool(how)
+            silent += how == "silent"
             content += name in CONTENT
+            shape.contents += name in CONTENT
+    while open_:
+        leave(False)
 
 
 def known(key: str) -> str:
