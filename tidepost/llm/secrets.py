@@ -45,8 +45,8 @@ CAPITALS, JOINTS = 0.2, 0.1
 @dataclass(frozen=True)
 class Models:
     """``length`` is the least length of a token that the models judge, ``per_char`` and ``total`` the log-likelihood ratios
-    (in nats) that it must reach. Of held-out strings of 12 characters, random ones of ten alphabets score 13 and more in
-    19 of 20 cases, words of the corpus at most about 3. ``sample`` bounds the documents whose words train the model of
+    (in nats) that it must reach. Of held-out random strings of 12 to
+    40 characters in seven alphabets and of UUIDs, at least 95 in 100 of each kind pass at sf0.01. ``sample`` bounds the documents whose words train the model of
     identifiers (about so many, chosen by a hash)."""
 
     length: int = ASSIGN_CHARS
