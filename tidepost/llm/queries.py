@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepost.llm import bpe, exact, jaccard, lines, mainpage, mixing, nearest, quality, secrets, sharding
+from tidepost.llm import bpe, divergence, exact, interaction, jaccard, lines, mainpage, mixing, nearest, quality, secrets, sharding, warc
 from tidepost.llm.frames import table
 
 #: The vocabulary file, as the workers see it.
@@ -65,6 +65,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.drop_lines(docs, dropped="n_dropped")
 
 
+def op11_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    return interaction.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +90,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixture,
         op9_quality,
         op10_line_dedup,
+        op11_warc_revisits,
+        op12_source_divergence,
+        op13_filter_interaction,
     )
 }
-COUNTERPARTS = {"op4_quotient_dedup": exact.DEDUP_SQL, "op10_line_dedup": lines.LINES_SQL}
+COUNTERPARTS = {
+    "op4_quotient_dedup": exact.DEDUP_SQL,
+    "op10_line_dedup": lines.LINES_SQL,
+    "op11_warc_revisits": warc.ARCHIVED_SQL,
+    "op12_source_divergence": divergence.AUDIT_SQL,
+    "op13_filter_interaction": interaction.AUDIT_SQL,
+}
