@@ -11,6 +11,7 @@ from tidepost.plans.collect import collect_batch
 from tidepost.sources.adapters import collect
 from tidepost.sources.landed import LANDED
 
+pytestmark = pytest.mark.usefixtures("interpreted")
 START = datetime(2031, 1, 1)
 FIELDS = (
     "user_id string, source_id string, source_name string, run_id string, started_at timestamp, position bigint, "

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.functions.similarity import MatchRule, composite, gates_pass, ratio
+from tidepost.operators.ordered import lowest_before
 from tidepost.session import written
 
 #: Ratio of the lengths a class of names spans.
@@ -162,7 +163,7 @@ def name_pairs(new: DataFrame, existing: DataFrame, titles: DataFrame, rule: Mat
     left = new.select("user_id", F.col("title").alias("new_title"), F.col("company").alias("new_company")).distinct()
     right = existing.groupBy(
         "user_id", F.col("title").alias("old_title"), F.col("company").alias("old_company")
-    ).agg(F.bool_or(F.col("since").isNull()).alias("stored"))
+    ).agg(F.bool_or(_throughout()).alias("stored"))
     asked = left.join(titles, ["user_id", "new_title"])
     asked, right = written(asked, "asked"), written(right, "right")
     close = close_companies(asked, right, rule)
@@ -196,7 +197,7 @@ def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: b
     """
     right = existing.select(
         "user_id", F.col("title").alias("old_title"), F.col("company").alias("old_company"),
-        F.col("location").alias("old_location"), "match_id", "since",
+        F.col("location").alias("old_location"), "match_id", "since", "until",
     )
     if same_place:
         pairs = rows.join(
@@ -216,7 +217,7 @@ def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: b
     company, title, place = F.col("company_score"), F.col("title_score"), F.col("location_score")
     pairs = pairs.withColumn("score", composite(company, title, place, rule))
     return pairs.where(gates_pass(company, title, F.col("score"), rule)).select(
-        *TRIPLE, "match_id", "since", *SCORES
+        *TRIPLE, "match_id", "since", "until", *SCORES
     )
 
 
@@ -232,14 +233,14 @@ def _still_open(rows: DataFrame, reached: DataFrame, rule: MatchRule) -> DataFra
 def triple_matches(new: DataFrame, existing: DataFrame, names: DataFrame, rule: MatchRule) -> DataFrame:
     """Existing triples a job of a new triple may match best.
 
-    First the best stored triple at the same place; then triples elsewhere, only under names
-    that could beat it; then triples that arrived with the batch, where they may beat that.
-    ``existing`` carries one representative job per triple.
+    First the best triple at the same place among those that hold throughout; then triples
+    elsewhere, only under names that could beat it; then triples that hold for a part of the
+    batch, where they may beat that. ``existing`` carries the jobs that may stand for a triple.
     """
     rows = new.withColumns({"new_title": F.col("title"), "new_company": F.col("company")}).join(
         names, ["user_id", "new_title", "new_company"]
     ).drop("new_title", "new_company")
-    stored, arrived = existing.where("since IS NULL"), existing.where("since IS NOT NULL")
+    stored, arrived = existing.where(_throughout()), existing.where(~_throughout())
     here = written(_best(_offers(rows, stored, rule, True), TRIPLE), "here")
     elsewhere = _offers(_still_open(rows, here, rule), stored, rule, False)
     best = _best(here.unionByName(elsewhere), TRIPLE)
@@ -254,40 +255,64 @@ def triple_matches(new: DataFrame, existing: DataFrame, names: DataFrame, rule:
 
 def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The highest score per key, equal scores by the lowest match id."""
-    fields = ["match_id", "since", *SCORES]
+    fields = ["match_id", "since", "until", *SCORES]
     best = F.min_by(F.struct(*fields), F.struct(-F.col("score"), F.col("match_id"))).alias("best")
     return rows.groupBy(*keys).agg(best).select(*keys, "best.*")
 
 
-def _earlier(mine: str = "ord") -> Column:
-    return F.col("since").isNull() | (F.col("since") < F.col(mine))
+def _throughout() -> Column:
+    return F.col("since").isNull() & F.col("until").isNull()
+
+
+def _there(mine: str = "ord") -> Column:
+    """The existing posting holds at the place of the new one."""
+    begun = F.col("since").isNull() | (F.col("since") < F.col(mine))
+    return begun & (F.col("until").isNull() | (F.col(mine) < F.col("until")))
+
+
+def standing(existing: DataFrame) -> DataFrame:
+    """(triple, match_id, since, until): the jobs that may stand for equal postings, the lowest id at any place.
+
+    Of those that hold throughout that is one; of those that end at one place, the ones with a lower id than all that began
+    before them.
+    """
+    throughout = existing.where(_throughout()).groupBy(*TRIPLE).agg(F.min("job_id").alias("match_id"))
+    out = [*TRIPLE, "match_id", "since", "until"]
+    none = F.lit(None).cast(existing.schema["since"].dataType)
+    throughout = throughout.withColumns({"since": none, "until": none}).select(*out)
+    parts = existing.where(~_throughout()).select(*TRIPLE, F.col("job_id").alias("match_id"), "since", "until")
+    if parts.isEmpty():
+        return throughout
+    parts = lowest_before(parts, [*TRIPLE, "until"], ["since", "match_id"], "match_id", "lower")
+    parts = parts.where(F.col("lower").isNull() | (F.col("match_id") < F.col("lower")))
+    return throughout.unionByName(parts.select(*out))
 
 
 def best_matches(new: DataFrame, existing: DataFrame, rule: MatchRule = MatchRule()) -> DataFrame:
     """Per new job the existing job with the best composite, if any passes.
 
-    Both sides hold ``user_id, job_id, company, title, location`` in normalised form and a
-    time of arrival, ``ord`` and ``since``; a null ``since`` is earlier than everything, and
-    only earlier jobs can match. Equal scores go to the lowest job id; among existing jobs
-    of equal company, title and place the first arrived stands for all.
+    Both sides hold ``user_id, job_id, company, title, location`` in normalised form, new jobs
+    their place ``ord``, and existing ones ``since`` and, where they end, ``until``: only those
+    that hold at the new job's place can match. Null is before and after all. Equal scores,
+    and so equal postings, go to the lowest job id.
     """
-    triples = existing.groupBy(*TRIPLE).agg(
-        F.min_by(F.struct("job_id", "since"), F.struct("since", "job_id")).alias("first")
-    )
-    triples = written(triples.select(*TRIPLE, F.col("first.job_id").alias("match_id"), "first.since"), "triples")
+    if "until" not in existing.columns:
+        existing = existing.withColumn("until", F.lit(None).cast(existing.schema["since"].dataType))
+    triples = written(standing(existing), "triples")
     # Equal triples score 1, which nothing beats.
     one = F.lit(1.0)
-    equal = new.join(triples, TRIPLE).where(_earlier()).select(
+    equal = new.join(triples, TRIPLE).where(_there()).groupBy("user_id", "job_id").agg(F.min("match_id").alias("match_id")).select(
         "user_id", "job_id", "match_id", one.alias("company_score"), one.alias("title_score"),
         one.alias("location_score"), composite(one, one, one, rule).alias("score"),
     )
+    equal = written(equal, "equal")
     rest = written(new.join(equal.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti"), "rest")
     asked = rest.select(*TRIPLE).distinct()
     titles = written(title_pairs(asked, triples, rule), "titles")
     names = written(name_pairs(asked, triples, titles, rule), "names")
     offered = triple_matches(asked, triples, names, rule)
-    found = rest.join(offered, TRIPLE).where(_earlier())
-    best = _best(found, ["user_id", "job_id"]).drop("since")
+    found = rest.join(offered, TRIPLE).where(_there())
+    best = _best(found, ["user_id", "job_id"]).drop("since", "until")
     return equal.unionByName(best)
 
 

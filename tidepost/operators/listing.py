@@ -156,6 +156,8 @@ def job_detail(
     Kind ``job`` (n = 0) carries the header, ``source`` the links (oldest first), ``version``
     the versions (newest first). The shape is the same for every number of entries.
     """
+    known = jobs.select("job_id")
+    links, versions = (rows.join(known, "job_id", "left_semi") for rows in (links, versions))
     header = with_company(jobs, companies).withColumns({"kind": F.lit("job"), "n": F.lit(0).cast("bigint")})
     seen = lineage(links, sources).select(
         "job_id", "source_id", "source_name", "source_category", "is_active", "first_seen_at", "last_seen_at"
@@ -166,11 +168,10 @@ def job_detail(
         (-F.unix_micros(F.col("seen_at").cast("timestamp"))).alias("age"),
     )
     newest = numbered(newest, ["job_id"], ["age", "content_hash"], "n").withColumn("kind", F.lit("version"))
-    known = jobs.select("job_id")
     return (
         header.select("job_id", "kind", "n", "title", "company_name", "status")
-        .unionByName(seen.join(known, "job_id", "left_semi"), allowMissingColumns=True)
-        .unionByName(newest.drop("age").join(known, "job_id", "left_semi"), allowMissingColumns=True)
+        .unionByName(seen, allowMissingColumns=True)
+        .unionByName(newest.drop("age"), allowMissingColumns=True)
     )
 
 

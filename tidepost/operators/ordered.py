@@ -73,6 +73,18 @@ def carried(df: DataFrame, keys: list[str], order: list[str], columns: dict[str,
     )
 
 
+def lowest_before(df: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """Adds the least value of ``column`` among the rows of the key before the row itself."""
+    rows = _sliced(df, keys, order)
+    inside = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "slice").agg(F.min(column).alias("least"))
+    ends = ends.withColumn("before", F.min("least").over(across))
+    local = rows.withColumn("local", F.min(column).over(inside))
+    joined = local.alias("l").join(ends.alias("e"), _same("l", "e", keys), "left")
+    return joined.select(*[f"l.{c}" for c in df.columns], F.least("l.local", "e.before").alias(name))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Adds the 1-based position of the row within its key."""
     rows = _sliced(df, keys, order)

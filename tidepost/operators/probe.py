@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepost.fixed import AGGREGATORS
 from tidepost.functions.redact import redacted
 from tidepost.functions.urls import authority, board_for_host
-from tidepost.sources.page_postings import page_postings
+from tidepost.sources.page_postings import has_posting
 
 
 def aggregator(host: Column, page: Column, signatures: dict[str, str] = AGGREGATORS) -> Column:
@@ -27,7 +27,7 @@ def probe(fetched: DataFrame, signatures: dict[str, str] = AGGREGATORS) -> DataF
     failed = F.col("error").isNotNull()
     out = fetched.withColumn("board", board_for_host(F.col("final_url")))
     searched = F.when(~failed & F.col("board").isNull(), F.col("html"))
-    out = out.withColumn("has_posting", F.coalesce(F.size(page_postings(searched)) > 0, F.lit(False)))
+    out = out.withColumn("has_posting", F.coalesce(has_posting(searched), F.lit(False)))
     out = out.withColumn("aggregator", aggregator(authority(F.col("final_url")), F.col("html"), signatures))
     readable = F.coalesce("board", F.when(F.col("has_posting"), "jsonld"))
     return (

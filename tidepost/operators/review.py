@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.operators.fuzzy import best_matches
+from tidepost.operators.lifespans import Lifespans
 from tidepost.operators.state import Registry
 from tidepost.functions.similarity import MatchRule
 from tidepost.functions.text import plain_name
@@ -23,33 +24,34 @@ def unreviewed(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return keyed.join(seen, ["user_id", "low", "high"], "left_anti").drop("low", "high")
 
 
-def comparable(jobs: DataFrame, companies: DataFrame, status: str) -> DataFrame:
-    """Stored jobs of a status in the normalised form the match takes."""
+def comparable(jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Stored jobs in the normalised form the match takes."""
     names = companies.select("user_id", "company_id", F.col("company_name").alias("name"))
-    rows = jobs.where(F.col("status") == status).join(names, ["user_id", "company_id"])
-    return rows.select(
+    return jobs.join(names, ["user_id", "company_id"]).select(
         "user_id", "job_id", plain_name(F.col("name")).alias("company"),
         plain_name(F.col("title")).alias("title"), plain_name(F.col("location")).alias("location"),
     )
 
 
 def resembling(
-    new_jobs: DataFrame, before: Registry, rule: MatchRule = MatchRule()
+    new_jobs: DataFrame, before: Registry, times: Lifespans, rule: MatchRule = MatchRule()
 ) -> tuple[DataFrame, DataFrame]:
     """Matches of new jobs with active ones, and of the rest with removed ones.
 
-    Active are the stored jobs and the new jobs that arrived earlier in the batch.
+    What is active or removed, and under which names, is what it is when a new job's turn comes:
+    stored jobs that the batch does not move count throughout, the others in their spans.
     """
-    arrived = new_jobs.select("user_id", "job_id", "company", "title", "location", F.col("ord").alias("since"))
-    stored = comparable(before.jobs, before.companies, "active").withColumn(
-        "since", F.lit(None).cast(new_jobs.schema["ord"].dataType)
-    )
-    active = written(best_matches(new_jobs, stored.unionByName(arrived), rule), "active")
+
+    def existing(status: str) -> DataFrame:
+        kind = new_jobs.schema["ord"].dataType
+        rest = before.jobs.where(F.col("status") == status).join(times.moving, ["user_id", "job_id"], "left_anti")
+        none = F.lit(None).cast(kind)
+        rest = comparable(rest, before.companies).withColumns({"since": none, "until": none})
+        return rest.unionByName(times.spans.where(F.col("status") == status).select(*rest.columns))
+
+    active = written(best_matches(new_jobs, existing("active"), rule), "active")
     rest = new_jobs.join(active.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
-    gone = comparable(before.jobs, before.companies, "removed").withColumn(
-        "since", F.lit(None).cast(new_jobs.schema["ord"].dataType)
-    )
-    return active, best_matches(rest, gone, rule)
+    return active, best_matches(rest, existing("removed"), rule)
 
 
 def new_candidates(matches: DataFrame, new_jobs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -66,10 +68,6 @@ def new_candidates(matches: DataFrame, new_jobs: DataFrame, candidates: DataFram
     )
 
 
-def with_candidates(candidates: DataFrame, new: DataFrame) -> DataFrame:
-    return candidates.unionByName(new, allowMissingColumns=True)
-
-
 def with_reposts(jobs: DataFrame, reposts: DataFrame) -> DataFrame:
     """New jobs point to the removed job they repeat."""
     found = reposts.select("user_id", "job_id", F.col("match_id").alias("repost_of"))

@@ -1,11 +1,18 @@
-"""The registry: its tables, their columns, and versions of them on disk."""
+"""The registry: its tables, their columns, and versions of them on disk.
+
+On disk a table is cut into buckets by a hash of the column its rows are looked up by. A version writes the buckets that a
+batch touches and nothing else: files are never changed, and a version's list of parts says which of them are its own.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidepost.session import exists, names_in, removed, written
 from tidepost.sources.landed import LANDED_PARTS
 
 SNAPSHOT = (
@@ -44,6 +51,22 @@ SCHEMAS = {
 }
 
 
+#: What tells the rows of a table apart that a batch may replace; the other tables only grow.
+ROW_KEYS = {
+    "sources": ["user_id", "source_id"],
+    "jobs": ["user_id", "job_id"],
+    "links": ["user_id", "job_id", "source_id"],
+    "candidates": ["user_id", "candidate_id"],
+}
+#: The column whose hash is a row's bucket.
+BUCKETED_BY = {
+    "sources": "source_id", "runs": "run_id", "companies": "normalized_name", "jobs": "job_id", "links": "job_id",
+    "versions": "job_id", "candidates": "candidate_id", "moves": "candidate_id", "events": "entity_id",
+}
+#: Buckets of a new folder, and parts of a bucket of a growing table from which they are written as one.
+BUCKETS, CROWDED = 32, 8
+
+
 @dataclass(frozen=True)
 class Registry:
     """All tables of the registry; operators take one and return the next."""
@@ -59,56 +82,162 @@ class Registry:
     events: DataFrame
 
     def changed(self, **tables: DataFrame) -> Registry:
-        return replace(self, **tables)
+        return Registry(**{name: tables.get(name, getattr(self, name)) for name in SCHEMAS})
+
+    def near(self, table: str, ids: DataFrame) -> DataFrame:
+        """The rows of a table that belong to ``ids``, a frame of the column its buckets go by."""
+        return getattr(self, table).join(ids, BUCKETED_BY[table], "left_semi")
+
+
+@dataclass(frozen=True)
+class StoredRegistry(Registry):
+    """A version on disk: what is near some ids is looked for in their buckets alone."""
+
+    store: Store
+
+    def near(self, table: str, ids: DataFrame) -> DataFrame:
+        touched = buckets_of(ids, BUCKETED_BY[table], self.store.buckets)
+        return self.store.read(ids.sparkSession, table, touched).join(ids, BUCKETED_BY[table], "left_semi")
+
+
+@dataclass(frozen=True)
+class Changes:
+    """What a batch does to the registry: rows that take the place of those with their key, and rows that are added."""
+
+    replaced: dict[str, DataFrame] = field(default_factory=dict)
+    added: dict[str, DataFrame] = field(default_factory=dict)
+
+    def applied(self, registry: Registry) -> Registry:
+        after = {}
+        for name, rows in self.replaced.items():
+            keys = ROW_KEYS[name]
+            left = getattr(registry, name).join(rows.select(*keys), keys, "left_anti")
+            after[name] = left.unionByName(rows)
+        for name, rows in self.added.items():
+            after[name] = getattr(registry, name).unionByName(rows)
+        return registry.changed(**after)
 
 
 def empty_registry(spark: SparkSession) -> Registry:
     return Registry(**{name: spark.createDataFrame([], ddl) for name, ddl in SCHEMAS.items()})
 
 
-MARK = "version int, stream string, batch bigint"
+def bucket(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(buckets)).cast("int")
 
 
-def write_registry(
-    registry: Registry, folder: str, version: int, stream: str = "", batch: int = -1, held: DataFrame | None = None
-) -> None:
-    """Write one version; a version counts once every table of it has its success mark.
+def buckets_of(rows: DataFrame, column: str, buckets: int) -> list[int]:
+    """The buckets that hold these rows: no more numbers than there are buckets."""
+    return sorted(r[0] for r in rows.select(bucket(column, buckets)).distinct().collect())
 
-    Its mark names the stream and the batch that made it. An attempt that failed left no mark,
-    so the next one overwrites what it wrote. ``held`` are landed rows of runs that go on.
-    """
-    tables = {part.name: getattr(registry, part.name) for part in fields(registry)}
-    if held is not None:
-        tables["held"] = held
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")
-    registry.jobs.sparkSession.createDataFrame([(version, stream, batch)], MARK).coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{folder}/committed/v{version}")
+
+MARK = "version int, stream string, batch bigint, buckets int"
+PARTS = "table string, bucket int, version int"
 
 
-def read_registry(spark: SparkSession, folder: str, version: int) -> Registry:
-    return Registry(
-        **{n: spark.read.schema(d).parquet(f"{folder}/v{version}/{n}") for n, d in SCHEMAS.items()}
+@dataclass(frozen=True)
+class Store:
+    """The live parts of one version: for each table the (bucket, version) folders that hold its rows."""
+
+    folder: str
+    buckets: int
+    parts: dict[str, list[tuple[int, int]]]
+
+    def paths(self, table: str, among: Iterable[int] | None = None) -> list[str]:
+        wanted = None if among is None else set(among)
+        return [
+            f"{self.folder}/{table}/v={version}/bucket={number}"
+            for number, version in self.parts.get(table, [])
+            if wanted is None or number in wanted
+        ]
+
+    def read(self, spark: SparkSession, table: str, among: Iterable[int] | None = None) -> DataFrame:
+        paths = self.paths(table, among)
+        if not paths:
+            return spark.createDataFrame([], SCHEMAS[table])
+        return spark.read.schema(SCHEMAS[table]).parquet(*paths)
+
+    def _put(self, rows: DataFrame, table: str, version: int) -> list[tuple[int, int]]:
+        """Writes rows to this version's folder of a table, which an attempt that failed may have left; the parts made."""
+        path = f"{self.folder}/{table}/v={version}"
+        rows = rows.withColumn("bucket", bucket(BUCKETED_BY[table], self.buckets))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        found = [n for n in names_in(rows.sparkSession, path) if n.startswith("bucket=")]
+        return sorted((int(n.removeprefix("bucket=")), version) for n in found)
+
+    def with_changes(self, spark: SparkSession, changes: Changes, version: int) -> Store:
+        """Writes what changes, and whole only the buckets with rows that are replaced, or with many small parts."""
+        parts = dict(self.parts)
+        for table, rows in changes.replaced.items():
+            rows = written(rows, table)
+            touched = buckets_of(rows, BUCKETED_BY[table], self.buckets)
+            keys = ROW_KEYS[table]
+            left = self.read(spark, table, touched).join(rows.select(*keys), keys, "left_anti")
+            made = self._put(left.unionByName(rows), table, version)
+            parts[table] = [p for p in parts.get(table, []) if p[0] not in touched] + made
+        for table, rows in changes.added.items():
+            numbers = [p[0] for p in parts.get(table, [])]
+            full = {n for n in numbers if numbers.count(n) >= CROWDED}
+            made = self._put(rows.unionByName(self.read(spark, table, full)), table, version)
+            parts[table] = [p for p in parts.get(table, []) if p[0] not in full] + made
+        return Store(self.folder, self.buckets, parts)
+
+
+def _commit(
+    spark: SparkSession, store: Store, version: int, stream: str, batch: int, held: DataFrame | None
+) -> None:
+    """A version counts once its mark stands, which is written last and names the stream and batch that made it."""
+    if held is not None:
+        held.write.mode("overwrite").parquet(f"{store.folder}/held/v{version}")
+    rows = [(t, b, v) for t, parts in store.parts.items() for b, v in parts]
+    spark.createDataFrame(rows, PARTS).coalesce(1).write.mode("overwrite").parquet(f"{store.folder}/parts/v{version}")
+    spark.createDataFrame([(version, stream, batch, store.buckets)], MARK).coalesce(1).write.mode("overwrite").parquet(
+        f"{store.folder}/committed/v{version}"
     )
 
 
-def _there(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def write_registry(
+    registry: Registry, folder: str, version: int, stream: str = "", batch: int = -1, held: DataFrame | None = None,
+    buckets: int = BUCKETS,
+) -> None:
+    """Writes all tables whole as one version. ``held`` are landed rows of runs that go on."""
+    spark = registry.jobs.sparkSession
+    store = Store(folder, buckets, {})
+    tables = {name: getattr(registry, name) for name in SCHEMAS}
+    _commit(spark, store.with_changes(spark, Changes(added=tables), version), version, stream, batch, held)
+
+
+def write_changes(
+    changes: Changes, before: Registry | None, folder: str, version: int, stream: str = "", batch: int = -1,
+    held: DataFrame | None = None, buckets: int = BUCKETS,
+) -> None:
+    """Writes the version that ``changes`` make of ``before``, a stored registry or none in a new folder."""
+    spark = next(iter((changes.replaced | changes.added).values())).sparkSession
+    store = before.store if isinstance(before, StoredRegistry) else Store(folder, buckets, {})
+    _commit(spark, store.with_changes(spark, changes, version), version, stream, batch, held)
+
+
+def read_registry(spark: SparkSession, folder: str, version: int) -> StoredRegistry:
+    buckets = spark.read.schema(MARK).parquet(f"{folder}/committed/v{version}").first()["buckets"]
+    parts: dict[str, list[tuple[int, int]]] = {}
+    # As many rows as parts: buckets of each table, times the parts of a bucket.
+    for row in spark.read.schema(PARTS).parquet(f"{folder}/parts/v{version}").collect():
+        parts.setdefault(row["table"], []).append((row["bucket"], row["version"]))
+    store = Store(folder, buckets, {t: sorted(p) for t, p in parts.items()})
+    return StoredRegistry(**{name: store.read(spark, name) for name in SCHEMAS}, store=store)
 
 
 def read_held(spark: SparkSession, folder: str, version: int | None) -> DataFrame:
     """Landed rows a version holds back until their runs are whole."""
-    path = f"{folder}/v{version}/held"
-    if version is None or not _there(spark, path):
+    path = f"{folder}/held/v{version}"
+    if version is None or not exists(spark, path):
         return spark.createDataFrame([], LANDED_PARTS)
     return spark.read.schema(LANDED_PARTS).parquet(path)
 
 
 def committed(spark: SparkSession, folder: str) -> DataFrame:
     """The marks of complete versions."""
-    if not _there(spark, f"{folder}/committed"):
+    if not exists(spark, f"{folder}/committed"):
         return spark.createDataFrame([], MARK)
     return spark.read.schema(MARK).parquet(f"{folder}/committed/*")
 
@@ -116,3 +245,21 @@ def committed(spark: SparkSession, folder: str) -> DataFrame:
 def newest_version(spark: SparkSession, folder: str) -> int | None:
     """The newest complete version, none for a new folder."""
     return committed(spark, folder).agg({"version": "max"}).first()[0]
+
+
+def forget(spark: SparkSession, folder: str, keep: int = 2) -> int:
+    """Deletes the parts that none of the newest ``keep`` versions reads; how many folders went.
+
+    Readers of those versions go on; marks stay, so that a replayed batch is still known. For one writer's folder, between
+    its batches: parts of a version that is being written belong to no mark yet.
+    """
+    versions = sorted(r["version"] for r in committed(spark, folder).select("version").collect())[-max(keep, 1) :]
+    live = {p for v in versions for r in [read_registry(spark, folder, v).store] for t in SCHEMAS for p in r.paths(t)}
+    gone = 0
+    for table in SCHEMAS:
+        base = f"{folder}/{table}"
+        for version in names_in(spark, base):
+            for name in names_in(spark, f"{base}/{version}"):
+                if name.startswith("bucket=") and f"{base}/{version}/{name}" not in live:
+                    gone += removed(spark, f"{base}/{version}/{name}")
+    return gone

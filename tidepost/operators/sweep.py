@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.operators.ordered import carried
-from tidepost.operators.state import Registry
 from tidepost.session import written
 
 LINK = ["user_id", "job_id", "source_id"]
@@ -17,34 +18,37 @@ def sweeping_runs(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'success' AND coalesce(complete, true)")
 
 
-def first_run_after(points: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per (source, time) the start of the first of these runs later than that time."""
-    starts = runs.select(
-        "user_id", "source_id", F.col("started_at").alias("at"), F.col("started_at").alias("start"),
-        F.lit(1).alias("kind"),
-    )
-    asked = points.select("user_id", "source_id", F.col("last_seen_at").alias("at")).distinct()
-    line = starts.unionByName(
-        asked.withColumn("start", F.lit(None).cast(starts.schema["start"].dataType)).withColumn("kind", F.lit(0))
-    )
+def next_runs(points: DataFrame, runs: DataFrame) -> DataFrame:
+    """(user_id, source_id, at, start, run_id): of each source and time the first of these runs that starts later."""
+    starts = runs.groupBy("user_id", "source_id", F.col("started_at").alias("at")).agg(F.min("run_id").alias("run_id"))
+    starts = starts.withColumns({"next": F.struct(F.col("at").alias("start"), "run_id"), "kind": F.lit(1)}).drop("run_id")
+    asked = points.select("user_id", "source_id", "at").distinct()
+    none = F.lit(None).cast(starts.schema["next"].dataType)
+    line = starts.unionByName(asked.withColumns({"next": none, "kind": F.lit(0)}))
     # Latest first; at equal times the point comes before the start, so only later starts count.
     line = line.withColumn("back", -F.unix_micros(F.col("at").cast("timestamp")))
-    line = carried(line, ["user_id", "source_id"], ["back", "kind"], {"next_start": "start"})
-    return line.where("kind = 0").select("user_id", "source_id", F.col("at").alias("last_seen_at"), "next_start")
+    line = carried(line, ["user_id", "source_id"], ["back", "kind"], {"found": "next"})
+    return line.where("kind = 0").select("user_id", "source_id", "at", "found.*")
+
+
+def last_starts(runs: DataFrame) -> DataFrame:
+    """The newest start of a sweeping run by source."""
+    return sweeping_runs(runs).groupBy("user_id", "source_id").agg(F.max("started_at").alias("last_start"))
+
+
+def unseen_links(links: DataFrame, runs: DataFrame) -> DataFrame:
+    """Active links that were last seen before a sweeping run of their source began. Only sources with a run among
+    ``runs`` are looked at: what other sources list cannot have gone since their own last run."""
+    rows = links.where("is_active").join(last_starts(runs), ["user_id", "source_id"])
+    return rows.where("last_seen_at < last_start").select(*LINK, "last_seen_at")
 
 
 def stale_links(links: DataFrame, runs: DataFrame) -> DataFrame:
     """M5: active links a later sweeping run of their source did not see, with that run's start."""
-    runs = sweeping_runs(runs)
-    last = runs.groupBy("user_id", "source_id").agg(
-        F.max("started_at").alias("last_start")
-    )
-    stale = links.where("is_active").join(last, ["user_id", "source_id"]).where("last_seen_at < last_start")
-    stale = written(stale.select(*LINK, "last_seen_at"), "stale")
-    after = first_run_after(stale, runs)
-    return stale.join(after, ["user_id", "source_id", "last_seen_at"]).select(
-        *LINK, F.col("next_start").alias("gone_at")
-    )
+    stale = written(unseen_links(links, runs), "stale")
+    after = next_runs(stale.select("user_id", "source_id", F.col("last_seen_at").alias("at")), sweeping_runs(runs))
+    after = after.withColumnRenamed("at", "last_seen_at")
+    return stale.join(after, ["user_id", "source_id", "last_seen_at"]).select(*LINK, F.col("start").alias("gone_at"))
 
 
 def swept_links(links: DataFrame, stale: DataFrame) -> DataFrame:
@@ -88,6 +92,23 @@ def stranded_candidates(candidates: DataFrame, removed: DataFrame) -> DataFrame:
     )
 
 
+def stranded_in_turn(candidates: DataFrame, removals: DataFrame) -> DataFrame:
+    """M7 inside a batch: pending candidates with a job on either side that is removed after they were made.
+
+    ``candidates`` have the place ``born`` of the item that made them, null for stored ones, ``removals`` the place ``at``,
+    null for the end of the batch. The first removal counts, and of jobs that go with it the one with the lowest id.
+    """
+    sides = candidates.where("status = 'pending'").select(
+        "candidate_id", "born", F.explode(F.array("job_id", "candidate_job_id")).alias("job_id")
+    )
+    hits = sides.join(removals.select("job_id", "at", "gone_at"), "job_id")
+    hits = hits.where("born is null or at is null or born < at")
+    turn = F.struct(F.col("at").isNull(), "at", "job_id")
+    return hits.groupBy("candidate_id").agg(F.min_by(F.struct("job_id", "gone_at"), turn).alias("first")).select(
+        "candidate_id", F.col("first.job_id").alias("gone_job"), "first.gone_at"
+    )
+
+
 def dismissed_candidates(candidates: DataFrame, stranded: DataFrame) -> DataFrame:
     rows = candidates.join(stranded, "candidate_id", "left")
     hit = F.col("gone_at").isNotNull()
@@ -113,19 +134,23 @@ def dismissal_events(candidates: DataFrame, stranded: DataFrame) -> DataFrame:
     )
 
 
-def sweep(registry: Registry, runs: DataFrame) -> Registry:
-    """M5-M7: the registry after the sweeps of a batch of runs.
+@dataclass(frozen=True)
+class Swept:
+    """Links and jobs after a sweep, and the jobs it removed."""
+
+    links: DataFrame
+    jobs: DataFrame
+    removed: DataFrame
+
 
-    Failed runs (M6) remove nothing: they never count as a run that omitted a job. States
-    between two runs of the batch are not kept, only the state after the last one.
+def sweep(links: DataFrame, jobs: DataFrame, runs: DataFrame) -> Swept:
+    """M5, M6: links and jobs after the sweeps of a batch of runs; ``runs`` are all runs of the batch's sources, ``links``
+    and ``jobs`` hold at least what the batch touches.
+
+    Failed runs (M6) remove nothing: they never count as a run that omitted a job. Only the state after the last run is
+    kept.
     """
-    stale = written(stale_links(registry.links, runs), "stale")
-    links = swept_links(registry.links, stale)
-    removed = written(removed_jobs(registry.jobs, links, stale), "removed")
-    stranded = written(stranded_candidates(registry.candidates, removed), "stranded")
-    return registry.changed(
-        links=links,
-        jobs=swept_jobs(registry.jobs, removed),
-        candidates=dismissed_candidates(registry.candidates, stranded),
-        events=registry.events.unionByName(dismissal_events(registry.candidates, stranded)),
-    )
+    stale = written(stale_links(links, runs), "stale")
+    after = swept_links(links, stale)
+    removed = written(removed_jobs(jobs, after, stale), "removed")
+    return Swept(after, swept_jobs(jobs, removed), removed)

@@ -73,7 +73,8 @@ def by_fingerprint(keys: DataFrame, jobs: DataFrame) -> DataFrame:
 
     A tombstone hands over to its survivor; one without survivor is revived itself.
     """
-    stored = jobs.select(
+    wanted = keys.select("user_id", "fingerprint").distinct()
+    stored = jobs.join(wanted, ["user_id", "fingerprint"], "left_semi").select(
         "user_id", "fingerprint", F.col("job_id").alias("hit"), (F.col("status") == "merged").alias("dead")
     )
     rows = written(keys.join(stored, ["user_id", "fingerprint"], "left"), "hits")
@@ -91,14 +92,17 @@ def by_fingerprint(keys: DataFrame, jobs: DataFrame) -> DataFrame:
 def by_ats_id(keys: DataFrame, jobs: DataFrame) -> DataFrame:
     """Keys with the stored job of the same ATS type and id, active ones first.
 
-    Candidates shrink to one job per id before the join.
+    Candidates shrink to the ids asked for, and to one job per id, before the join.
     """
+    ids = ["user_id", "ats_key", "id_key"]
     best = (
         jobs.where("status <> 'merged' AND ats_type <> '' AND external_job_id <> ''")
-        .groupBy("user_id", F.col("ats_type").alias("ats_key"), F.col("external_job_id").alias("id_key"))
+        .withColumns({"ats_key": F.col("ats_type"), "id_key": F.col("external_job_id")})
+        .join(keys.select(*ids).distinct(), ids, "left_semi")
+        .groupBy(*ids)
         .agg(F.min_by("job_id", F.struct(F.col("status") != "active", "job_id")).alias("ats_hit"))
     )
-    return keys.join(best, ["user_id", "ats_key", "id_key"], "left")
+    return keys.join(best, ids, "left")
 
 
 def joined_postings(keys: DataFrame) -> DataFrame:
@@ -131,8 +135,9 @@ def joined_postings(keys: DataFrame) -> DataFrame:
             return state
 
 
-def matched_keys(items: DataFrame, jobs: DataFrame) -> DataFrame:
+def matched_keys(items: DataFrame, registry: Registry) -> DataFrame:
     """Distinct keys of a batch with the job each belongs to and whether that job is new."""
+    jobs = registry.jobs
     keys = items.groupBy(*KEYS).agg(F.min("ord").alias("first_ord"))
     keys = written(by_fingerprint(keys, jobs), "matches")
     exact = keys.where("target IS NOT NULL").select(
@@ -148,7 +153,8 @@ def matched_keys(items: DataFrame, jobs: DataFrame) -> DataFrame:
     # A merged job may still hold the id that its first fingerprint gave it: then the item that
     # creates the new job (its run and place) is part of the id.
     heads = heads.withColumn("plain_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "head"), 256))
-    taken = jobs.select(F.col("job_id").alias("plain_id"), F.lit(True).alias("taken"))
+    taken = registry.near("jobs", heads.select(F.col("plain_id").alias("job_id")))
+    taken = taken.select(F.col("job_id").alias("plain_id"), F.lit(True).alias("taken"))
     heads = heads.join(taken, "plain_id", "left")
     creation = F.to_json(F.struct("first_ord"))
     new_id = F.when(F.col("taken"), F.sha2(F.concat_ws("|", "plain_id", creation), 256)).otherwise(F.col("plain_id"))
@@ -170,7 +176,7 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
     An item older than the last sighting of its job is late: it leaves the content as it is.
     Only keys, hashes and times take part; texts and payloads stay where they were written.
     """
-    matches = matched_keys(items, registry.jobs)
+    matches = matched_keys(items, registry)
     slim = items.select(
         *KEYS, *ORDER, "ord", "source_id", "seen_at", "content_hash", "material_hash",
         "company_name", "normalized_company", "normalized_title", "location",
@@ -179,11 +185,10 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
     rows = written(slim.join(matches, KEYS), "matched-items")
     # Jobs and versions shrink to those of the batch first; Spark may broadcast the ids if they are few.
     ids = rows.select("job_id").distinct()
-    named = registry.jobs.join(ids, "job_id", "left_semi")
-    stored = named.select(
+    stored = registry.near("jobs", ids).select(
         "job_id", F.col("content_hash").alias("stored_content"), F.col("last_seen_at").alias("stored_seen")
     ).join(
-        registry.versions.join(ids, "job_id", "left_semi").select(
+        registry.near("versions", ids).select(
             "job_id",
             F.col("content_hash").alias("stored_content"),
             F.col("material_hash").alias("stored_material"),
@@ -215,16 +220,15 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
     )
 
 
-def company_upsert(companies: DataFrame, items: DataFrame) -> DataFrame:
-    """M1: companies with the new ones of a batch; the first spelling stays."""
+def new_companies(companies: DataFrame, items: DataFrame) -> DataFrame:
+    """M1: the companies a batch brings; the first spelling stays."""
+    keys = ["user_id", "normalized_name"]
     seen = items.groupBy("user_id", F.col("normalized_company").alias("normalized_name")).agg(
         F.min_by("company_name", "ord").alias("company_name")
     )
-    new = seen.join(companies, ["user_id", "normalized_name"], "left_anti")
+    new = seen.join(companies.select(*keys).join(seen.select(*keys), keys, "left_semi"), keys, "left_anti")
     new_id = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "normalized_name"), 256)
-    return companies.unionByName(
-        new.select("user_id", new_id.alias("company_id"), "company_name", "normalized_name")
-    )
+    return new.select("user_id", new_id.alias("company_id"), "company_name", "normalized_name")
 
 
 def _touched(rows: DataFrame) -> DataFrame:
@@ -309,23 +313,21 @@ def link_upsert(links: DataFrame, sightings: DataFrame) -> DataFrame:
     )
 
 
-def new_versions(versions: DataFrame, rows: DataFrame) -> DataFrame:
-    """M3: first items of the (job, content) pairs the table does not hold yet."""
+def new_versions(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """M3: first items of the (job, content) pairs that ``stored``, the versions of the batch's jobs, does not hold yet."""
     first = rows.where("is_first OR updated OR late").groupBy("user_id", "job_id", "content_hash").agg(
         F.min_by(F.struct("material_hash", "seen_at", "is_material", *ITEM), "ord").alias("v")
     )
-    fresh = first.join(versions.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
+    fresh = first.join(stored.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
     return fresh.select("user_id", "job_id", "content_hash", "v.*")
 
 
-def version_append(versions: DataFrame, new: DataFrame, texts: DataFrame) -> DataFrame:
-    """M3: the table with the new versions and their snapshots."""
+def version_rows(new: DataFrame, texts: DataFrame) -> DataFrame:
+    """M3: new versions with their snapshots."""
     rows = new.join(texts.select(*ITEM, "snapshot"), ITEM)
-    return versions.unionByName(
-        rows.select(
-            "user_id", "job_id", "content_hash", F.col("job_id").alias("origin_job_id"),
-            "material_hash", "seen_at", "snapshot", "is_material",
-        )
+    return rows.select(
+        "user_id", "job_id", "content_hash", F.col("job_id").alias("origin_job_id"),
+        "material_hash", "seen_at", "snapshot", "is_material",
     )
 
 
@@ -339,36 +341,67 @@ def run_counters(rows: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Upserted:
-    """The registry after a batch, the batch's counters and its new jobs in order."""
-
-    registry: Registry
+class Upserts:
+    """What a batch makes of the jobs and links it was given, the companies and versions it adds, its counters, and its
+    new jobs in order."""
+
+    jobs: DataFrame
+    links: DataFrame
+    companies: DataFrame
+    versions: DataFrame
     counters: DataFrame
     new_jobs: DataFrame
 
 
-def apply_postings(registry: Registry, postings: DataFrame) -> Upserted:
-    """Postings of successful runs into the registry."""
+def matched(registry: Registry, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of successful runs with all they carry, and, without texts, with their jobs in order."""
     if "seen_at" not in postings.columns:
         postings = postings.withColumn("seen_at", F.col("started_at"))
     items = written(keyed(postings), "items")
-    rows = written(sequenced(items, registry), "sequence")
-    companies = company_upsert(registry.companies, rows)
+    return items, written(sequenced(items, registry), "sequence")
+
+
+def upserts(registry: Registry, jobs: DataFrame, links: DataFrame, items: DataFrame, rows: DataFrame) -> Upserts:
+    """Matched items against ``jobs`` and ``links``, which hold at least what the batch touches."""
+    added = written(new_companies(registry.companies, rows), "companies")
+    names = rows.select("user_id", F.col("normalized_company").alias("normalized_name")).distinct()
+    companies = registry.companies.join(names, ["user_id", "normalized_name"], "left_semi").unionByName(added)
     touched = written(_touched(rows), "touched")
-    versions = written(new_versions(registry.versions, rows), "versions")
+    stored = registry.near("versions", rows.select("job_id").distinct())
+    versions = written(new_versions(stored, rows), "versions")
     # Texts and payloads are fetched for the items that end up in a table, each once.
     needed = touched.where("pick IS NOT NULL").select("pick.*").union(versions.select(*ITEM)).distinct()
     texts = written(items.join(needed, ITEM, "left_semi"), "texts")
-    after = registry.changed(
-        companies=companies,
-        jobs=job_upsert(registry.jobs, _with_content(touched, texts, companies)),
-        links=link_upsert(registry.links, link_sightings(rows)),
-        versions=version_append(registry.versions, versions, texts),
-    )
     # What a new job first looked like decides what it resembles.
     new_jobs = rows.where("created").select(
         "user_id", "job_id", F.col("normalized_company").alias("company"),
         F.col("normalized_title").alias("title"), plain_name(F.col("location")).alias("location"),
         "ord", "seen_at",
     )
-    return Upserted(after, run_counters(rows), new_jobs)
+    return Upserts(
+        jobs=job_upsert(jobs, _with_content(touched, texts, companies)),
+        links=link_upsert(links, link_sightings(rows)),
+        companies=added,
+        versions=version_rows(versions, texts),
+        counters=run_counters(rows),
+        new_jobs=new_jobs,
+    )
+
+
+@dataclass(frozen=True)
+class Upserted:
+    """The registry after a batch, the batch's counters and its new jobs in order."""
+
+    registry: Registry
+    counters: DataFrame
+    new_jobs: DataFrame
+
+
+def apply_postings(registry: Registry, postings: DataFrame) -> Upserted:
+    """Postings of successful runs into the whole registry."""
+    made = upserts(registry, registry.jobs, registry.links, *matched(registry, postings))
+    after = registry.changed(
+        jobs=made.jobs, links=made.links, companies=registry.companies.unionByName(made.companies),
+        versions=registry.versions.unionByName(made.versions),
+    )
+    return Upserted(after, made.counters, made.new_jobs)

@@ -25,7 +25,8 @@ def version_history(sightings: DataFrame, order: list[str]) -> DataFrame:
     whatever older versions said; the first version of a job never is. A return to an old
     content adds no version.
     """
-    rows = with_previous(sightings, order)
+    needed = dict.fromkeys(["job_id", "content_hash", "material_hash", "seen_at", *order])
+    rows = with_previous(sightings.select(*needed), order)
     rows = rows.where(
         F.col("previous_content").isNull() | (F.col("previous_content") != F.col("content_hash"))
     )

@@ -13,6 +13,7 @@ from tidepost.operators.state import empty_registry
 from tidepost.operators.tombstones import survivors
 from tidepost.plans.book import query
 from tidepost.plans.collect import collect_batch
+from tidepost.plans.queries_matching import COMPOSITE, GATES, RATIOS, ratio_of
 from tidepost.plans.views import sql, view
 from tidepost.session import written
 
@@ -305,3 +306,44 @@ def _(spark, folder):
     registry = registry.changed(sources=registry.sources.unionByName(known, allowMissingColumns=True))
     rows = collect_batch(registry, *batch(spark, folder), rule=None).sources
     return _plain(rows.select("user_id", "source_id", *HEALTH))
+
+
+# Each new job meets the others of its user as they are when its turn comes: their last names, and
+# whether a sighting of theirs still holds, that is no later run of its source has begun since.
+TURNS = f"""{STEPS_SQL}, held AS (SELECT s.job_id, s.user_id, s.started_at, s.run_id, s.position, lower(s.company_name) AS company, lower(s.title) AS title, s.location,
+  min(r.started_at) AS gone_at, arg_min(r.run_id, r.started_at) AS gone_run
+  FROM steps s LEFT JOIN runs r ON r.source_id = s.source_id AND r.status = 'success' AND r.started_at > s.seen_at GROUP BY ALL),
+ news AS (SELECT user_id, job_id, lower(company_name) AS company, lower(title) AS title, location, started_at, run_id, position FROM steps WHERE rn = 1),
+ others AS (SELECT n.job_id, h.job_id AS other, arg_max({{'c': h.company, 't': h.title, 'l': h.location}}, (h.started_at, h.run_id, h.position)) AS names,
+   bool_or(h.gone_at IS NULL OR (h.gone_at, h.gone_run) >= (n.started_at, n.run_id)) AS active
+  FROM news n JOIN held h ON h.user_id = n.user_id AND h.job_id <> n.job_id AND (h.started_at, h.run_id, h.position) < (n.started_at, n.run_id, n.position)
+  GROUP BY n.job_id, h.job_id),
+ wanted AS (SELECT DISTINCT n.company AS a, o.company AS b FROM news n, news o UNION SELECT DISTINCT n.title, o.title FROM (SELECT DISTINCT title FROM news) n, (SELECT DISTINCT title FROM news) o
+  UNION SELECT DISTINCT n.location, o.location FROM (SELECT DISTINCT location FROM news) n, (SELECT DISTINCT location FROM news) o), {RATIOS},
+ scored AS (SELECT o.*, {ratio_of('rc')} AS c, {ratio_of('rt')} AS t, {ratio_of('rl')} AS l FROM others o JOIN news n USING (job_id)
+  LEFT JOIN ratios rc ON rc.a = n.company AND rc.b = names.c LEFT JOIN ratios rt ON rt.a = n.title AND rt.b = names.t LEFT JOIN ratios rl ON rl.a = n.location AND rl.b = names.l),
+ best AS (SELECT *, {COMPOSITE} AS score, row_number() OVER (PARTITION BY job_id, active ORDER BY {COMPOSITE} DESC, other) AS nth FROM scored WHERE {GATES}),
+ pairs AS (SELECT job_id, other, score FROM best WHERE active AND nth = 1),
+ gone_after AS (SELECT p.job_id, h.gone_at FROM pairs p JOIN news n USING (job_id) JOIN held h ON h.job_id IN (p.job_id, p.other) AND h.gone_at IS NOT NULL AND (h.gone_at, h.gone_run) >= (n.started_at, n.run_id)
+  WHERE NOT EXISTS (SELECT 1 FROM held x WHERE x.job_id = h.job_id AND (x.started_at, x.run_id) <= (h.gone_at, h.gone_run) AND (x.gone_at IS NULL OR (x.gone_at, x.gone_run) > (h.gone_at, h.gone_run))))"""
+
+
+@query(
+    "M8_batch_candidates",
+    f"""WITH RECURSIVE {TURNS} SELECT job_id, other AS candidate_job_id, score AS similarity_score, CASE WHEN min(gone_at) IS NULL THEN 'pending' ELSE 'dismissed' END AS status,
+     min(gone_at) AS resolved_at FROM pairs LEFT JOIN gone_after USING (job_id) GROUP BY job_id, other, score""",
+)
+def _(spark, folder):
+    """A month of runs in one batch: candidates by the state at each item, and what later runs dismiss."""
+    rows = collect_batch(empty_registry(spark), *batch(spark, folder)).candidates
+    return _plain(rows.select("job_id", "candidate_job_id", "similarity_score", "status", "resolved_at"))
+
+
+@query(
+    "J8_repost_in_batch",
+    f"""WITH RECURSIVE {TURNS} SELECT job_id, other AS reposted_from_job_id FROM best WHERE NOT active AND nth = 1 AND job_id NOT IN (SELECT job_id FROM pairs)""",
+)
+def _(spark, folder):
+    """New jobs that repeat one which an earlier run of the same batch removed."""
+    rows = collect_batch(empty_registry(spark), *batch(spark, folder)).jobs
+    return rows.where("reposted_from_job_id IS NOT NULL").select("job_id", "reposted_from_job_id")

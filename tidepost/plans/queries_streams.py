@@ -35,7 +35,7 @@ def sightings_stream(spark, folder):
 )
 def _(spark, folder):
     """Two landed sets arrive one after the other; the second meets the registry of the first."""
-    landed, state = fresh(spark, "landed"), fresh(spark, "registry")
+    landed, state, progress = fresh(spark, "landed"), fresh(spark, "registry"), fresh(spark, "progress")
     for part in (ashby_landed(spark, folder), lever_landed(spark, folder)):
         rows = part.withColumns(
             {
@@ -44,9 +44,9 @@ def _(spark, folder):
                 "source_id": F.concat(F.substring_index(F.substring_index("source_url", "/", 3), "//", -1), F.lit("/"), F.col("source_id").cast("string")),
             }
         )
-        rows.coalesce(1).write.mode("append").parquet(landed)
-    stream = collection.landed_stream(spark, landed, files_per_batch=1)
-    collection.collect_continuously(stream, state, fresh(spark, "progress"), rule=None).awaitTermination()
+        rows.write.mode("append").parquet(landed)
+        stream = collection.landed_stream(spark, landed)
+        collection.collect_continuously(stream, state, progress, rule=None).awaitTermination()
     jobs = collection.newest_registry(spark, state).jobs
     return jobs.select("ats_type", "external_job_id", "title", "status")
 
@@ -82,15 +82,13 @@ def _(spark, folder):
     SELECT source_id, consecutive_failures, consecutive_failures >= 2 AS alert FROM c""",
 )
 def _(spark, folder):
-    """The runs land in three files in time order and arrive one file per micro-batch."""
-    landed, out = fresh(spark, "runs"), fresh(spark, "alerts")
+    """The runs land in three parts in time order; the stream goes on after each."""
+    landed, out, progress = fresh(spark, "runs"), fresh(spark, "alerts"), fresh(spark, "progress")
     rows = runs(spark, folder).select("source_id", F.col("started_at").cast("timestamp").alias("started_at"), "status", "run_day")
     edges = ["2024-01-01", "2024-01-11", "2024-01-21", "9999-01-01"]
     for low, high in zip(edges, edges[1:]):
         part = rows.where((F.col("run_day") >= F.lit(low).cast("date")) & (F.col("run_day") < F.lit(high).cast("date")))
-        part.drop("run_day").coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema("source_id bigint, started_at timestamp, status string").option(
-        "maxFilesPerTrigger", 1
-    ).parquet(landed)
-    activity.kept_updates(activity.failure_alerts(stream), out, fresh(spark, "progress")).awaitTermination()
+        part.drop("run_day").write.mode("append").parquet(landed)
+        stream = spark.readStream.schema("source_id bigint, started_at timestamp, status string").parquet(landed)
+        activity.kept_updates(activity.failure_alerts(stream), out, progress).awaitTermination()
     return activity.latest_updates(spark.read.parquet(out), ["source_id"])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    system, path = _files(spark, folder)
+    return system.exists(path)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, none if it is not there."""
+    system, path = _files(spark, folder)
+    return sorted(x.getPath().getName() for x in system.listStatus(path)) if system.exists(path) else []
+
+
+def removed(spark: SparkSession, folder: str) -> bool:
+    system, path = _files(spark, folder)
+    return system.delete(path, True)
+
+
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """What ``written`` copies inside is deleted at the end, for work whose result is on disk by then."""
+    folder = f"{shared_folder(spark)}/tidepost/{label}-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        removed(spark, folder)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -49,6 +88,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     planner true sizes for what follows.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidepost/{label}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_folder(spark) + '/tidepost'}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

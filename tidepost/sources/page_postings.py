@@ -55,7 +55,11 @@ def _is_posting(node: Column) -> Column:
     return F.coalesce(one, F.lit(False)) | F.coalesce(many, F.lit(False))
 
 
+_NODE = "struct<path:array<int>,value:variant>"
+
+
 def _children(node: Column) -> Column:
+    """What a node holds, scalars too: they hold nothing, and asking their type would read the whole node again."""
     fields = F.map_entries(F.try_variant_get(node["value"], "$", "map<string,variant>"))
     graph_first = F.concat(
         F.filter(fields, lambda f: f["key"] == "@graph"),
@@ -65,18 +69,35 @@ def _children(node: Column) -> Column:
         F.transform(graph_first, lambda f: f["value"]),
         F.try_variant_get(node["value"], "$", "array<variant>"),
     )
-    inner = F.filter(values, lambda v: F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"))
     return F.coalesce(
         F.transform(
-            inner,
+            values,
             lambda v, i: F.struct(
                 F.concat(node["path"], F.array(i)).alias("path"), v.alias("value")
             ),
         ),
-        F.array().cast("array<struct<path:array<int>,value:variant>>"),
+        F.array().cast(f"array<{_NODE}>"),
     )
 
 
+def may_name_posting(text: Column) -> Column:
+    """False only for JSON that cannot hold the type's name, which stands there letter by letter unless escaped."""
+    return text.contains("JobPosting") | text.contains("\\u")
+
+
+def _depth(script: Column) -> Column:
+    """How deep a JSON text nests: its brackets outside strings, counted up and down in one pass."""
+    plain = F.regexp_replace(F.regexp_replace(script, r"(?s)\\.", ""), r'"[^"]*"?', "")
+    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]+", ""), "")
+
+    def step(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, zero, step, lambda state: state["most"])
+
+
 def _nodes(scripts: Column) -> Column:
     return F.filter(
         F.transform(
@@ -87,33 +108,44 @@ def _nodes(scripts: Column) -> Column:
     )
 
 
-def page_postings(page: Column) -> Column:
-    """Every JobPosting object of a page as an array, outer before inner, @graph first.
+def _levels(page: Column, first_only: bool) -> Column:
+    """The postings of a page, an array for each level of nesting.
 
-    One native fold inside the row goes a level deeper per step; a document cannot nest
-    deeper than it has opening brackets, so no depth is cut off.
+    One native fold inside the row goes a level deeper per step, as many steps as the deepest
+    script has levels; what is found stays where it is, only the list of levels grows.
     """
-    scripts = ld_scripts(page)
-    opens = F.length(F.regexp_replace(F.array_join(scripts, ""), r"[^\[{]", ""))
+    scripts = F.filter(ld_scripts(page), may_name_posting)
 
     def postings(nodes: Column) -> Column:
         return F.filter(nodes, lambda n: _is_posting(n["value"]))
 
     def deeper(state: Column, _step: Column) -> Column:
         below = F.flatten(F.transform(state["level"], _children))
+        if first_only:
+            below = F.when(F.exists(state["found"], lambda level: F.size(level) > 0), F.array().cast(f"array<{_NODE}>")).otherwise(below)
         return F.struct(
-            below.alias("level"), F.concat(state["found"], postings(below)).alias("found")
+            below.alias("level"), F.concat(state["found"], F.array(postings(below))).alias("found")
         )
 
     top = _nodes(scripts)
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(opens, F.lit(1))),
-        F.struct(top.alias("level"), postings(top).alias("found")),
+    steps = F.greatest(F.coalesce(F.array_max(F.transform(scripts, _depth)), F.lit(1)), F.lit(1))
+    return F.aggregate(
+        F.sequence(F.lit(1), steps),
+        F.struct(top.alias("level"), F.array(postings(top)).alias("found")),
         deeper,
         lambda state: state["found"],
     )
+
+
+def page_postings(page: Column) -> Column:
+    """Every JobPosting object of a page as an array, outer before inner, @graph first, however deep."""
     in_order = F.array_sort(
-        found,
+        F.flatten(_levels(page, first_only=False)),
         lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0),
     )
     return F.transform(in_order, lambda n: n["value"])
+
+
+def has_posting(page: Column) -> Column:
+    """Whether a page has a JobPosting object; the search ends at the first level that has one."""
+    return F.exists(_levels(page, first_only=True), lambda level: F.size(level) > 0)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidepost.functions.similarity import MatchRule
-from tidepost.operators.state import committed, empty_registry, newest_version, read_held, read_registry, write_registry
-from tidepost.plans.collect import collect_batch
-from tidepost.session import written
+from tidepost.operators.state import committed, empty_registry, newest_version, read_held, read_registry, write_changes
+from tidepost.plans.collect import batch_changes
+from tidepost.session import scratch, written
 from tidepost.sources.adapters import REGISTRY, collect, with_completeness
 from tidepost.sources.landed import LANDED_PARTS, whole_runs
 
@@ -30,7 +30,8 @@ def collect_continuously(
     A version's mark carries the stream (its id lives in the checkpoint folder) and the batch: a
     replayed batch that was committed is left out, one that was not starts from the newest
     committed version again. A stream with a new checkpoint folder goes on from that version too.
-    Rows of a run whose responses are not all there yet wait beside the registry, so a run takes
+    A version writes the buckets that the batch touches; what the batch copied on its way is
+    deleted. Rows of a run whose responses are not all there yet wait beside the registry, so a run takes
     effect once, as a whole. A paged run with a gap is applied but removes nothing.
     """
 
@@ -43,19 +44,20 @@ def collect_continuously(
         version = newest_version(spark, state_folder)
         before = empty_registry(spark) if version is None else read_registry(spark, state_folder, version)
         waiting = read_held(spark, state_folder, version)
-        there = written(batch.unionByName(waiting, allowMissingColumns=True), "landed")
-        run = ["user_id", "source_id", "run_id"]
-        whole = written(whole_runs(there), "whole-runs")
-        landed_rows = there.join(whole, run, "left_semi")
-        held = there.join(whole, run, "left_anti")
-        found = collect(landed_rows, adapters)
-        runs = landed_rows.groupBy("user_id", "source_id", "run_id").agg(
-            F.min("started_at").alias("started_at"), F.max("started_at").alias("completed_at")
-        )
-        runs = with_completeness(runs, found.pages)
-        postings = written(found.postings, "postings")
-        after = collect_batch(before, postings, runs, found.failures, found.rejects, rule)
-        write_registry(after, state_folder, (version or 0) + 1, stream, batch_id, held)
+        with scratch(spark, "batch"):
+            there = written(batch.unionByName(waiting, allowMissingColumns=True), "landed")
+            run = ["user_id", "source_id", "run_id"]
+            whole = written(whole_runs(there), "whole-runs")
+            landed_rows = there.join(whole, run, "left_semi")
+            held = there.join(whole, run, "left_anti")
+            found = collect(landed_rows, adapters)
+            runs = landed_rows.groupBy("user_id", "source_id", "run_id").agg(
+                F.min("started_at").alias("started_at"), F.max("started_at").alias("completed_at")
+            )
+            runs = with_completeness(runs, found.pages)
+            postings = written(found.postings, "postings")
+            changes = batch_changes(before, postings, runs, found.failures, found.rejects, rule)
+            write_changes(changes, before, state_folder, (version or 0) + 1, stream, batch_id, held)
 
     return (
         landed.writeStream.foreachBatch(apply)
