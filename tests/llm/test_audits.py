@@ -128,10 +128,18 @@ def plain_divergence(rows, least, ranks):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("tile", "terms", "held"), [(256, 2048, 200_000), (2, 3, 5)])
-def test_divergence_equals_plain_version(spark, monkeypatch, tile, terms, held):
-    for name, value in (("TILE", tile), ("BLOCK_TERMS", terms), ("HELD", held), ("PIECE", 7)):
-        monkeypatch.setattr(divergence, name, value)
+@pytest.mark.parametrize("piece", [1, 16, 100, 1 << 20])
+def test_terms_of_long_texts(piece, monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE", piece * 16)
+    text = "One  two,TWO three éÉ漢字 " * 50 + "x" * 300 + "9" + "Y" * 40
+    plain = Counter(t.encode() for t in re.findall(r"[a-zA-Z\x80-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)})))
+    assert divergence.terms_of(text.encode()) == plain and divergence.terms_of(b"") == Counter()
+
+
+@pytest.mark.parametrize(("tile", "terms"), [(256, 2048), (2, 3)])
+def test_divergence_equals_plain_version(spark, monkeypatch, tile, terms):
+    monkeypatch.setattr(divergence, "TILE", tile)
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", terms)
     words = "alpha Beta GAMMA ärger été 漢字 naïve ÄRGER x1y don't".split()
     rows = [(i, " ".join(words[(i * k) % len(words)] for k in range(i % 9)), ["en", "de", None][i % 3], [None, "a", "ä", "b", "z"][i % 5]) for i in range(90)]
     rows += [(i, "alpha", "en", "hot") for i in range(200, 260)] + [(7, None, "fr", "a"), (7, "one two", "fr", "b"), (None, "solo", "xx", "a")]

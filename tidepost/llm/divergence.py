@@ -1,6 +1,7 @@
 """How far the sources of a language differ in the terms they use, in exact whole numbers.
 
-Counts are summed inside tasks before they are shuffled, so what moves grows with the vocabulary. From there on single
+Texts are counted in pieces of many and Spark sums up inside its tasks before it shuffles, so what moves grows with the
+vocabulary. From there on single
 terms are not ranked: the terms of a group that have the same count in the group and the same count in the language form a
 cell, the value is worked out once a cell, cells of equal value are merged, and cells are ranked by how many terms come
 before them. Only the cells that reach into the wanted ranks are expanded into terms.
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,55 +29,72 @@ from tidepost.session import written
 #: A term is kept in a language if so many of its documents have it; ranks of terms go so far.
 LEAST_DOCUMENTS, TERM_RANKS = 10, 10
 SCALE = 1_000_000_000
-#: Sources and terms of a block, and the entries that a task adds up before it sends them on.
-TILE, BLOCK_TERMS, HELD = 256, 2048, 200_000
-#: Bytes of a text that are split at a time.
-PIECE = 1 << 20
+#: Sources and terms of a block.
+TILE, BLOCK_TERMS = 256, 2048
+#: Bytes of text that are counted at a time; a longer text is counted alone, in parts.
+PIECE = 1 << 24
 
 #: Bytes that are no part of a term become blanks, A to Z become a to z; bytes of other characters stay.
 FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_FOLD = np.frombuffer(FOLD, np.uint8)
+_OUT = ["group", "term", "n", "docs"]
 
 
 def terms_of(data: bytes) -> Counter[bytes]:
-    """How often a text has each term. The text is split in pieces that end between terms, so that the list of all its
+    """How often a long text has each term. It is split in parts that end between terms, so that the list of all its
     occurrences never stands in memory."""
     found: Counter[bytes] = Counter()
-    data = data.translate(FOLD)
     at = 0
     while at < len(data):
-        end = data.find(b" ", at + PIECE)
-        end = len(data) if end < 0 else end
-        found.update(data[at:end].split())
-        at = end
+        part = data[at : at + PIECE // 16].translate(FOLD)
+        end = len(part) if at + len(part) == len(data) else part.rfind(b" ") + 1
+        if not end:  # one term fills the part
+            rest = data.translate(FOLD)
+            end = rest.find(b" ", at)
+            end = (len(rest) if end < 0 else end) - at
+            part = rest[at : at + end]
+        found.update(part[:end].split())
+        at += end
     return found
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-    size = 0
+def _counted_piece(data: np.ndarray, at: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+    """(group, term, n, docs) of the texts of a piece, whose groups are numbered."""
+    texts = pa.LargeStringArray.from_buffers(len(groups), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(_FOLD[data]))
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten()
+    solid = pc.greater(pc.binary_length(words), 0)
+    text = np.repeat(np.arange(len(groups)), pc.list_value_length(split).to_numpy())[solid.to_numpy(zero_copy_only=False)]
+    coded = words.filter(solid).dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    pairs, many = np.unique(text * size + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    cells, place = np.unique(groups[pairs // size] * size + pairs % size, return_inverse=True)
+    n = np.bincount(place, many, len(cells)).astype(np.int64)
+    docs = np.bincount(place, minlength=len(cells)).astype(np.int64)
+    term = coded.dictionary.take(pa.array(cells % size)).cast(pa.large_binary())
+    return pa.RecordBatch.from_arrays([pa.array(cells // size), term.cast(pa.binary()), pa.array(n), pa.array(docs)], _OUT)
 
-    def sent() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, d) for (lang, source), terms in held.items() for term, (n, d) in terms.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        pairs = pa.table({"lang": batch.column(0), "source": batch.column(1)}).to_pandas()
+        numbers, names = pd.factorize(pd.MultiIndex.from_frame(pairs))
+        numbers = numbers.astype(np.int64)
+        lang, source = (pa.array([n[i] for n in names], pa.string()) for i in (0, 1))
         data, at = text_bytes(batch.column(2))
-        for row, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            terms = held.setdefault(group, {})
-            before = len(terms)
-            for term, n in terms_of(data[at[row] : at[row + 1]].tobytes()).items():
-                if (seen := terms.get(term)) is None:
-                    terms[term] = [n, 1]
-                else:
-                    seen[0] += n
-                    seen[1] += 1
-            size += len(terms) - before
-            if size > HELD:
-                yield sent()
-                held, size = {}, 0
-    yield sent()
+        row = 0
+        while row < len(numbers):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + PIECE, "right")) - 1)
+            if at[end] - at[row] > PIECE:
+                found = terms_of(data[at[row] : at[end]].tobytes())
+                columns = [[int(numbers[row])] * len(found), list(found), list(found.values()), [1] * len(found)]
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _OUT)
+            else:
+                made = _counted_piece(data[at[row] : at[end]], at[row : end + 1] - at[row], numbers[row:end])
+            group = made.column(0)
+            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), *made.columns[1:]], ["lang", "source", *_OUT[1:]])
+            row = end
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
