@@ -1,5 +1,7 @@
 """Neighbour search and n-gram join against brute force."""
 
+from collections import Counter
+
 import numpy as np
 
 from tidepost.llm import jaccard, nearest, queries
@@ -125,3 +127,25 @@ def test_search_of_odd_vectors(spark):
     found = [tuple(r) for r in nearest.search(df, F.col("vec_id") == 0, 5).collect()]
     assert found == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
     assert nearest.search(df.filter("vec_id > 99"), F.col("vec_id") == 0, 5).count() == 0
+
+
+def test_search_tells_rows_of_one_id_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in nearest.search(df, F.col("vec_id") == 20, 3).collect()]
+    one = [(20, 1, 1, 3.0), (20, 2, 2, 0.0), (20, 3, 2, 0.0)]
+    other = [(20, 1, 2, 3.0), (20, 2, 2, 3.0), (20, 3, 1, 0.0)]
+    assert sorted(found) == sorted(one + other)
+    found = [tuple(r) for r in nearest.search(df, F.col("vec_id") == 20, 4).collect()]
+    assert sorted(r for r in found if r[1] == 4) == [(20, 4, 20, 0.0)] * 2
+
+
+def test_join_of_a_row_that_stands_in_the_table_very_often(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["other"])
+    rows = [(1, " ".join(base))] * 20_000 + [(2, near), (3, "something else altogether here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = Counter(tuple(r) for r in jaccard.join(docs).collect())
+    assert found == {(1, 1, 20_000): 20_000, (2, 1, 20_000): 1, (3, 3, 0): 1}

@@ -70,12 +70,12 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v): vectors with finite components that are not all zero, of the length that most have."""
+    """(row, vec_id, v): vectors with finite components that are not all zero, of the length that most have."""
     v = only(vectors, vec_id=vec_id, v=vector).select(F.col("vec_id").cast("long"), F.col("v").cast("array<double>"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)
     v = v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
     length = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.filter(F.size("v") == (length[0] if length else 0))
+    return v.filter(F.size("v") == (length[0] if length else 0)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -84,7 +84,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def ordered(vectors: DataFrame, how: Curves) -> DataFrame:
-    """(curve, rank, vec_id, v): every vector in every ordering, ranks from 0 in each. Written once.
+    """(curve, rank, row, vec_id, v): every vector in every ordering, ranks from 0 in each. Written once.
 
     Inner products become distances on a sphere: one component more brings every vector to the length of the longest.
     """
@@ -92,7 +92,7 @@ def ordered(vectors: DataFrame, how: Curves) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column(1))
+            v = matrix(batch.column(2))
             if not len(v):
                 continue
             wide = np.concatenate([v, np.sqrt(np.maximum(top - (v * v).sum(axis=1), 0))[:, None]], axis=1) / math.sqrt(top)
@@ -104,28 +104,32 @@ def ordered(vectors: DataFrame, how: Curves) -> DataFrame:
                 unit = (wide @ axes / spread + 1) / 2 * 0.75 + random.uniform(0, 0.25, size=axes.shape[1])
                 cells = np.clip((unit * 2**how.bits).astype(np.int64), 0, 2**how.bits - 1)
                 arrays = [pa.array(np.full(len(v), curve), pa.int32()), pa.array(hilbert(cells, how.bits)), *batch.columns]
-                yield pa.RecordBatch.from_arrays(arrays, ["curve", "place", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays(arrays, ["curve", "place", "row", "vec_id", "v"])
 
-    placed = vectors.select("vec_id", "v").mapInArrow(run, "curve int, place long, vec_id long, v array<double>")
-    placed = placed.repartitionByRange("curve", "place", "vec_id").sortWithinPartitions("curve", "place", "vec_id")
+    placed = vectors.select("row", "vec_id", "v").mapInArrow(run, "curve int, place long, row long, vec_id long, v array<double>")
+    placed = placed.repartitionByRange("curve", "place", "row").sortWithinPartitions("curve", "place", "row")
     numbered = written(placed.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "curves")
     parts = numbered.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("first"))
     earlier = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
     ranked = numbered.join(parts.drop("rows"), ["curve", "part"])
-    return written(ranked.select("curve", (F.col("n") - F.col("first") + F.col("offset")).alias("rank"), "vec_id", "v"), "ranks")
+    return written(ranked.select("curve", (F.col("n") - F.col("first") + F.col("offset")).alias("rank"), "row", "vec_id", "v"), "ranks")
 
 
-FOUND = "query_id long, vec_id long, score double"
+#: Queries and rows are told apart by the number of their row; ids come along for ties and results.
+FOUND = "query long, query_id long, row long, vec_id long, score double"
 
 
-def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(query, row, score) of the ``k`` largest inner products of each query, ties to the smaller id; not a query's own row."""
+def best(
+    queries: np.ndarray, own: np.ndarray, rows: np.ndarray, numbers: np.ndarray, ids: np.ndarray, k: int, allowed: tuple | None = None
+) -> tuple[np.ndarray, ...]:
+    """(query, row, score) of the ``k`` largest inner products of each query, ties to the smaller id, then number; a
+    query's ``own`` row, by its number, is left out."""
     out = []
     step = max(1, (1 << 22) // max(1, len(rows)))
     for a in range(0, len(queries), step):
         score = queries[a : a + step] @ rows.T
-        score[ids[a : a + step, None] == row_ids[None, :]] = -np.inf
+        score[own[a : a + step, None] == numbers[None, :]] = -np.inf
         if allowed is not None:
             score[np.abs(allowed[0][a : a + step, None] - allowed[1][None, :]) > allowed[2]] = -np.inf
         if score.shape[1] > k:
@@ -137,7 +141,7 @@ def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     q, r, s = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((row_ids[r], -s, q))
+    order = np.lexsort((numbers[r], ids[r], -s, q))
     q, r, s = q[order], r[order], s[order]
     first = np.searchsorted(q, q)
     keep = np.arange(len(q)) - first < k
@@ -145,34 +149,36 @@ def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+def exact(vectors: DataFrame, queries: list[tuple[int, int, list[float]]], k: int) -> DataFrame:
     """The true neighbours of a few queries, in one pass over all rows."""
-    ids, wanted = np.array([q[0] for q in queries], np.int64), np.array([q[1] for q in queries], float)
+    own, ids = (np.array([q[i] for q in queries], np.int64) for i in (0, 1))
+    wanted = np.array([q[2] for q in queries], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            q, r, s = best(wanted, ids, matrix(batch.column(1)), rows, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rows[r]), pa.array(s)], ["query_id", "vec_id", "score"])
+            numbers, row_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            q, r, s = best(wanted, own, matrix(batch.column(2)), numbers, row_ids, k)
+            arrays = [pa.array(x) for x in (own[q], ids[q], numbers[r], row_ids[r], s)]
+            yield pa.RecordBatch.from_arrays(arrays, ["query", "query_id", "row", "vec_id", "score"])
 
-    return top(vectors.select("vec_id", "v").mapInArrow(run, FOUND), k)
+    return top(vectors.select("row", "vec_id", "v").mapInArrow(run, FOUND), k)
 
 
 def window(vectors: DataFrame, ranks: DataFrame, is_query: Column, k: int, how: Curves) -> int:
     """The half-width of the windows: so wide that ``how.recall`` of the sample's true neighbours are inside one."""
     queries = vectors.filter(is_query)
     some = queries.filter(F.pmod(F.xxhash64("vec_id", F.lit(how.seed)), F.lit(max(1, queries.count() // how.sample))) == 0)
-    sample = [(r[0], r[1]) for r in some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * how.sample).collect()]
+    sample = [tuple(r) for r in some.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(2 * how.sample).collect()]
     if not sample:
         return 0
-    true = written(exact(vectors, sample, k).select("query_id", "vec_id"), "true")
-    slim = ranks.select("curve", "rank", "vec_id")
-    mine = slim.select("curve", F.col("rank").alias("mine"), F.col("vec_id").alias("query_id"))
-    apart = true.join(slim, "vec_id").join(mine, ["curve", "query_id"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("rank") - F.col("mine"))).alias("d"))
+    true = written(exact(vectors, sample, k).select("query", "row"), "true")
+    slim = ranks.select("curve", "rank", "row")
+    mine = slim.select("curve", F.col("rank").alias("mine"), F.col("row").alias("query"))
+    apart = true.join(slim, "row").join(mine, ["curve", "query"]).groupBy("query", "row").agg(F.min(F.abs(F.col("rank") - F.col("mine"))).alias("d"))
     return apart.agg(F.percentile("d", F.lit(how.recall))).first()[0] or 0
 
 
@@ -181,8 +187,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     precision, ties to the smaller id; a query's own row is no candidate. ``is_query`` is a condition on ``vec_id``.
 
     Rows with a null id, a null, zero, null-holding or non-finite vector, or one of another length than most, take no part.
-    Every other row is indexed. Fewer than ``k`` candidates give fewer rows; an empty table gives none. Ids that occur
-    twice are searched and found as often, and never find each other.
+    Every other row is indexed. Fewer than ``k`` candidates give fewer rows; an empty table gives none. Rows that share an
+    id are rows of their own: each is searched for and found, by each other too.
     """
     how = how or Curves()
     good = written(usable(vectors, vec_id, vector), "vectors")
@@ -192,21 +198,21 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     asked = ranks.filter(is_query).withColumn("near", chunk)
     spread = F.sequence(F.greatest(F.lit(0), F.floor((F.col("rank") - half) / how.chunk)), F.floor((F.col("rank") + half) / how.chunk))
     # Queries of one stretch of the curve meet the chunks of rows that their windows touch.
-    left = asked.select("curve", "near", F.explode(spread).alias("far"), "rank", "vec_id", "v")
+    left = asked.select("curve", "near", F.explode(spread).alias("far"), "rank", "row", "vec_id", "v")
     met = left.select("curve", "near", "far").distinct()
     right = ranks.withColumn("far", chunk).join(met, ["curve", "far"])
-    right = right.select(*[F.col(c).alias(f"row_{c}") for c in ("curve", "near", "far", "rank", "vec_id", "v")])
+    right = right.select(*[F.col(c).alias(f"row_{c}") for c in ("curve", "near", "far", "rank", "row", "vec_id", "v")])
 
     def compare(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if q.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, row_ids = q["vec_id"].to_numpy(), rows["row_vec_id"].to_numpy()
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (x.replace("long", "int64").replace("double", "float64").split() for x in FOUND.split(", "))})
+        own, numbers, row_ids = q["row"].to_numpy(), rows["row_row"].to_numpy(), rows["row_vec_id"].to_numpy()
         near = (q["rank"].to_numpy(), rows["row_rank"].to_numpy(), half)
-        a, b, s = best(np.stack(q["v"].to_numpy()), ids, np.stack(rows["row_v"].to_numpy()), row_ids, k, near)
-        return pd.DataFrame({"query_id": ids[a], "vec_id": row_ids[b], "score": s})
+        a, b, s = best(np.stack(q["v"].to_numpy()), own, np.stack(rows["row_v"].to_numpy()), numbers, row_ids, k, near)
+        return pd.DataFrame({"query": own[a], "query_id": q["vec_id"].to_numpy()[a], "row": numbers[b], "vec_id": row_ids[b], "score": s})
 
     keys = ["curve", "near", "far"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*[f"row_{c}" for c in keys])).applyInPandas(compare, FOUND)
     # One row is found in several orderings.
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = found.groupBy("query", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
     return top(merged, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
