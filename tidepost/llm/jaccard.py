@@ -246,7 +246,9 @@ def similar(docs: DataFrame, how: Join | None = None, doc_id: str = "doc_id", te
     second = F.when(F.col("side") == 1, F.col("block")).when(F.col("side") == 0, F.col("with")).otherwise(F.greatest("block", "with"))
     side = F.when((F.col("side") < 2) | (F.col("block") == F.col("with")), F.col("side")).otherwise((F.col("block") > F.col("with")).cast("int"))
     tasks = tasks.select(F.xxhash64("one", "other", first, second).alias("task"), side.alias("side"), "class", "size", "key")
-    ready = tasks.join(keyed.select("key", "text"), "key").select("task", "side", "class", "size", "text")
+    # A row that the table holds many times is one text here: merged inside the partitions first, then met once a task.
+    texts = keyed.select("key", "text").join(tasks.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    ready = tasks.join(texts, "key").select("task", "side", "class", "size", "text")
     found = written(verified(ready.repartition("task").sortWithinPartitions("task", "side"), how), "verified")
 
     root = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
