@@ -153,7 +153,8 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, how: Training, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, label) of about ``how.sample`` labelled documents that are not held out.
 
-    Labels of an id that occurs with both values, or with none, are left out.
+    Labels of an id that occurs with both values, or with none, are left out. An id is one row, however many rows of
+    ``docs`` have it: the text with the lowest hash.
     """
     known = (
         only(labels, doc_id="doc_id", quality="quality")
@@ -169,6 +170,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, how: Training, doc_id: s
         only(docs, doc_id=doc_id, text=text)
         .join(chosen, "doc_id")
         .select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "label")
+        .groupBy("key", "label")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        .select("key", "text", "label")
     )
 
 
