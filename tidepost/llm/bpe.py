@@ -36,8 +36,10 @@ LATIN_WORDS = re.compile(
 NO_PAIR = np.int32(2**31 - 1)
 #: Words up to so many bytes are merged in a matrix; longer ones alone.
 MATRIX_BYTES = 64
-#: So many words are merged in one matrix, and so many are remembered by a worker before it starts anew.
-MATRIX_ROWS, REMEMBERED = 4096, 400_000
+#: So many words are merged in one matrix.
+MATRIX_ROWS = 4096
+#: Bytes that the words a worker remembers may take, roughly, before it starts anew; longer words are never remembered.
+REMEMBERED_BYTES, REMEMBERED_LETTERS, WORD_BYTES = 64 << 20, 256, 200
 
 
 def printable_bytes() -> list[str]:
@@ -75,6 +77,7 @@ class Vocabulary:
         by_length = sorted(self.specials, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, ``NO_PAIR`` where a pair has none or a side is missing (-1)."""
@@ -210,15 +213,17 @@ class Vocabulary:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.held = {}, 0
         cut = [self.cut.split(t) if self.cut and any(s in t for s in self.specials) else [t] for t in texts]
         found = [[self.split(part) for part in parts[::2]] for parts in cut]
         new = set()
         for parts in found:
             for part in parts:
                 new.update(part)
-        self.learn([w for w in new if w not in self.known])
+        fresh = [w for w in new if w not in self.known]
+        self.learn(fresh)
+        self.held += sum(WORD_BYTES + 2 * len(w) for w in fresh)
         out, known = [], self.known
         for parts, split in zip(cut, found, strict=True):
             ids = [b"".join(map(known.__getitem__, split[0]))]
@@ -226,6 +231,10 @@ class Vocabulary:
                 ids.append(self.specials[special].to_bytes(4, "little"))
                 ids.append(b"".join(map(known.__getitem__, part)))
             out.append(b"".join(ids))
+        for word in fresh:
+            if len(word) > REMEMBERED_LETTERS:
+                del known[word]
+                self.held -= WORD_BYTES + 2 * len(word)
         return out
 
     def decode_ids(self, packed: bytes) -> str:
