@@ -335,3 +335,30 @@ def test_mixture_of_odd_rows(make, odd):
     assert {(r.doc_id, r.source) for r in found} == {(r[0], r[2]) for r in odd}
     assert mixing.resample(docs).count() == len(found)
     assert mixing.mixture(make([])).count() == 0 == mixing.resample(make([])).count()
+
+
+def test_page_query_ignores_a_text_column_of_the_table(spark, tmp_path):
+    page = "<html><body><nav>menu item</nav><article><p>The article itself has a number of words in it.</p></article></body></html>"
+    rows = spark.createDataFrame([(1, "http://a", page, "own", 7)], "page_id long, url string, html string, text string, n_chars int")
+    rows.write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op3_main_text(spark, str(tmp_path)).collect()
+    text = "The article itself has a number of words in it."
+    assert [tuple(r) for r in found] == [(1, "http://a", text, len(text))]
+
+
+def test_labelled_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(4, f"text {i % 7}") for i in range(500)] + [(8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.labelled_sample(docs, labels, quality.Training()).collect()
+    assert len({r.key for r in rows}) == len(rows) and {r.label for r in rows if r.key == 4} <= {1}
+
+
+def test_words_remembered_are_bounded(monkeypatch):
+    plain = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
+    words = bpe.Vocabulary(queries.VOCABULARY)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 5_000)
+    for i in range(30):
+        text = f"number{i} " + "ab" * 400 + str(i) + " " + " ".join(f"x{i}y{j}" for j in range(20))
+        packed = words.encode_texts([text])[0]
+        assert np.frombuffer(packed, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert all(len(w) <= bpe.REMEMBERED_LETTERS for w in words.known) and words.held < 12_000

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from tidepost.llm import bpe, divergence, exact, interaction, jaccard, lines, ma
 from tidepost.llm.frames import table
 
 #: The vocabulary file, as the workers see it.
-VOCABULARY = os.environ.get("BYTE_BPE_FILE", "/opt/tokenizers/byte_bpe_50k.json")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Documents that score less are rejected.
 GOOD = 0.7
 
@@ -26,7 +26,7 @@ def op2_curve_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
-    return mainpage.digest(mainpage.main_text(table(spark, folder, "pages")))
+    return mainpage.digest(mainpage.main_text(table(spark, folder, "pages").select("page_id", "url", "html")))
 
 
 def op4_quotient_dedup(spark: SparkSession, folder: str) -> DataFrame:
