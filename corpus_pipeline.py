@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepost.llm import bpe, jaccard, lines, mixing, quality
-from tidepost.llm.frames import table
+from tidepost.llm.frames import free_name, table
 from tidepost.llm.queries import GOOD, VOCABULARY
 from tidepost.session import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), score="quality_score")
-    return scored.filter(F.col("quality_score") >= GOOD).drop("quality_score")
+    score = free_name(docs, "quality_score")
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), score=score)
+    return scored.filter(F.col(score) >= GOOD).drop(score)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
