@@ -266,3 +266,33 @@ def test_source_health_follows_the_runs_in_order_of_time(spark):
     after = run(spark, after, [item("a", "r5", 5, 0, "Cook", "1")], [("a", "r5", 5)])
     after = run(spark, after, [], [("a", "r4", 4)], failed=["r4"])
     assert health(after) == (None, day(5), end(5), 1, 0)
+
+
+def test_pages_behind_a_short_one_do_not_count(spark):
+    from tidepost.sources.adapters import counted_pages
+
+    item_of = '{"id": "%s", "text": "Cook", "hostedUrl": "https://jobs.lever.co/x/%s"}'
+    full = "[" + ", ".join(item_of % (k, k) for k in range(100)) + "]"
+
+    def page(url, run_id, skip, *keys):
+        body = full if keys == ("full",) else "[" + ", ".join(item_of % (k, k) for k in keys) + "]"
+        return ("u", "s", "Src", url, "auto", run_id, START, skip, 200, body)
+
+    lever = "https://jobs.lever.co/x"
+    landed = spark.createDataFrame(
+        [page(lever, "r", 0, "full"), page(lever, "r", 100, "a", "b"), page(lever, "r", 200, "late"), page(lever, "q", 0, "full"), page(lever, "q", 100, "full")],
+        LANDED,
+    )
+    found = collect(landed)
+    kept = counted_pages(found.postings, found.pages).groupBy("run_id").agg(F.count("*").alias("n"), F.max("skip").alias("skip")).collect()
+    assert {r.run_id: (r.n, r.skip) for r in kept} == {"r": (102, 100), "q": (200, 100)}
+
+
+def test_the_text_of_the_html_is_found_once_and_hashed_alike(spark):
+    from tidepost.operators.upsert import keyed
+
+    body = '{"jobs": [{"id": "1", "title": "T", "jobUrl": "https://e/1", "descriptionHtml": "<p>Good &amp; <b>hot</b> food</p>"}]}'
+    landed = spark.createDataFrame([("u", "s", "Src", "https://jobs.ashbyhq.com/x", "auto", "r", START, 0, 200, body)], LANDED)
+    postings = collect(landed).postings
+    carried, parsed = (keyed(p).select("material_hash", "content_hash").first() for p in (postings, postings.drop("description_plain")))
+    assert carried == parsed

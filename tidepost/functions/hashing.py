@@ -62,12 +62,14 @@ def content_hash(snapshot: Column) -> Column:
     return stable_hash(**{name: snapshot[name] for name in SNAPSHOT_FIELDS})
 
 
-def with_material_hash(df: DataFrame, snapshot: str, target: str) -> DataFrame:
-    """adds the identity of the fields a reader cares about; markup is ignored."""
+def with_material_hash(df: DataFrame, snapshot: str, target: str, plain: str | None = None) -> DataFrame:
+    """adds the identity of the fields a reader cares about; markup is ignored.
+
+    ``plain`` names a column that has the text of the snapshot's HTML already.
+    """
     c = F.col
-    rows = with_plain_text(
-        df.withColumn("_source", c(f"{snapshot}.description_html")), "_source", "_text"
-    )
+    rows = df.withColumn("_source", c(f"{snapshot}.description_html"))
+    rows = rows.withColumn("_text", c(plain)) if plain else with_plain_text(rows, "_source", "_text")
     description = F.when(filled(c("_source")).isNotNull(), c("_text")).otherwise(
         squeeze(c(f"{snapshot}.description_text"))
     )

@@ -100,15 +100,38 @@ def blocked(rows: DataFrame, name: str, gate: float) -> DataFrame:
     return out.select(*rows.columns, F.concat_ws(" ", "lengths", "token").alias("key"))
 
 
-def _may_reach(left: str, right: str, gate: Column) -> Column:
-    """Lossless bounds on the ratio of two columns: lengths first, then edit distance.
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def bag(name: str) -> Column:
+    """What characters a normalised name has, and which it has twice and three times: a bit each, in three longs."""
+    step_bit = lambda c: F.when(F.instr(F.lit(_ALPHABET), c) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.instr(F.lit(_ALPHABET), c) - 1)).otherwise(F.lit(0).cast("long"))
+
+    def step(seen: Column, char: Column) -> Column:
+        return F.transform(F.array(step_bit(char)), lambda bit: F.struct(
+            seen["one"].bitwiseOR(bit).alias("one"),
+            seen["two"].bitwiseOR(seen["one"].bitwiseAND(bit)).alias("two"),
+            seen["three"].bitwiseOR(seen["two"].bitwiseAND(bit)).alias("three"),
+        ))[0]
+
+    none = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("one", "two", "three")])
+    return F.aggregate(F.filter(F.split(F.col(name), ""), lambda c: c != ""), none, step)
+
+
+def _apart(left: str, right: str) -> Column:
+    """Characters that one of two names has and the other cannot match: at most as many as are unmatched in any ratio."""
+    return sum((F.bit_count(F.col(f"{left}.{n}").bitwiseXOR(F.col(f"{right}.{n}"))) for n in ("one", "two", "three")), F.lit(0))
+
+
+def _may_reach(left: str, right: str, gate: Column, left_bag: str, right_bag: str) -> Column:
+    """Lossless bounds on the ratio of two columns: lengths first, then characters, then edit distance.
 
     Unmatched characters are edits, so a ratio of g leaves at most (1 - g) * total of them.
     """
     a, b = F.length(left), F.length(right)
     lengths = 2.0 * F.least(a, b) >= (gate - 1e-9) * (a + b)
     edits = F.floor((1.0 - gate + 1e-9) * (a + b)).cast("int")
-    return lengths & (F.call_function("levenshtein", F.col(left), F.col(right), edits) >= 0)
+    return lengths & (_apart(left_bag, right_bag) <= edits) & (F.call_function("levenshtein", F.col(left), F.col(right), edits) >= 0)
 
 
 def title_pairs(new: DataFrame, existing: DataFrame, rule: MatchRule) -> DataFrame:
@@ -118,11 +141,12 @@ def title_pairs(new: DataFrame, existing: DataFrame, rule: MatchRule) -> DataFra
     same = left.join(right, (left["user_id"] == right["user_id"]) & (F.col("new_title") == F.col("old_title"))).select(
         left["user_id"], "new_title", "old_title", F.lit(1.0).alias("title_score")
     )
-    left_keys = blocked(left, "new_title", rule.title_gate)
-    right_keys = blocked(right, "old_title", rule.title_gate)
+    left_keys = blocked(left.withColumn("new_bag", bag("new_title")), "new_title", rule.title_gate)
+    right_keys = blocked(right.withColumn("old_bag", bag("old_title")), "old_title", rule.title_gate)
+    may = _may_reach("new_title", "old_title", F.lit(rule.title_gate), "new_bag", "old_bag")
     close = (
         left_keys.join(right_keys, ["user_id", "key"])
-        .where((F.col("new_title") != F.col("old_title")) & _may_reach("new_title", "old_title", F.lit(rule.title_gate)))
+        .where((F.col("new_title") != F.col("old_title")) & may)
         .select("user_id", "new_title", "old_title")
         .distinct()
     )
@@ -138,17 +162,20 @@ def close_companies(asked: DataFrame, right: DataFrame, rule: MatchRule) -> Data
     """Distinct (new, old) companies per user that are unequal and may reach the gate.
 
     They meet under matching titles only. The title's score says what the company's must be
-    for the composite, and lengths and edit distance what it can be, both inside the join; at
-    the gates of a company no key of characters would keep names apart.
+    for the composite, and lengths, characters and edit distance what it can be, all inside the
+    join; at the gates of a company no key of characters would keep names apart. Both sides are
+    on disk before they meet, so that Spark splits a title that very many companies have.
     """
     fields = ["user_id", "old_title"]
     new = asked.groupBy(*fields, "new_company").agg(F.max("title_score").alias("title_score"))
-    old = right.select(*fields, "old_company")
+    new = written(new.withColumn("new_bag", bag("new_company")), "new-companies")
+    old = written(right.select(*fields, "old_company", bag("old_company").alias("old_bag")), "old-companies")
     rest = rule.title_weight * F.col("title_score") + rule.location_weight
     needed = F.greatest((rule.composite_gate - rest) / rule.company_weight - 1e-9, F.lit(rule.company_gate))
+    may = _may_reach("new_company", "old_company", needed, "new_bag", "old_bag")
     return (
         new.join(old, fields)
-        .where((F.col("new_company") != F.col("old_company")) & _may_reach("new_company", "old_company", needed))
+        .where((F.col("new_company") != F.col("old_company")) & may)
         .select("user_id", "new_company", "old_company")
         .distinct()
     )
@@ -211,9 +238,11 @@ def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: b
             F.col("company_score"), F.col("title_score"),
             2.0 * F.least(a, b) / F.greatest(a + b, F.lit(1)) + 1e-9, rule,
         )
-        pairs = pairs.where(at_most >= F.col("reached")).withColumn(
-            "location_score", ratio("location", "old_location")
-        )
+        pairs = written(pairs.where(at_most >= F.col("reached")), "places")
+        # However many postings stand at two places, their names are compared once.
+        places = pairs.select("location", "old_location").distinct()
+        places = places.withColumn("location_score", ratio("location", "old_location"))
+        pairs = pairs.join(places, ["location", "old_location"])
     company, title, place = F.col("company_score"), F.col("title_score"), F.col("location_score")
     pairs = pairs.withColumn("score", composite(company, title, place, rule))
     return pairs.where(gates_pass(company, title, F.col("score"), rule)).select(

@@ -20,6 +20,7 @@ from tidepost.operators.ordered import lagged
 from tidepost.operators.state import Registry
 from tidepost.operators.tombstones import survivors
 from tidepost.session import written
+from tidepost.sources.adapters import PLAIN_HTML
 
 ORDER = ["started_at", "run_id", "position"]
 ITEM = ["run_id", "position"]
@@ -65,7 +66,9 @@ def keyed(postings: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumn("content_hash", content_hash(c("snapshot")))
-    return with_material_hash(rows, "snapshot", "material_hash").withColumn("ord", F.struct(*ORDER))
+    # Collected postings bring the text of their HTML along.
+    plain = PLAIN_HTML if PLAIN_HTML in postings.columns else None
+    return with_material_hash(rows, "snapshot", "material_hash", plain).withColumn("ord", F.struct(*ORDER))
 
 
 def by_fingerprint(keys: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import fields
 
 from pyspark.sql import functions as F
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 from tidepost.operators import sweep as sweeping
 from tidepost.operators import upsert
 from tidepost.operators.health import HEALTH
-from tidepost.operators.state import empty_registry
+from tidepost.operators.state import empty_registry, read_registry, write_changes
 from tidepost.operators.tombstones import survivors
 from tidepost.plans.book import query
-from tidepost.plans.collect import collect_batch
+from tidepost.plans.collect import batch_changes, collect_batch
 from tidepost.plans.queries_matching import COMPOSITE, GATES, RATIOS, ratio_of
 from tidepost.plans.views import sql, view
-from tidepost.session import written
+from tidepost.session import shared_folder, written
 
 # Every sighting is one item of the run of its source and day. Items named by the posting
 # number carry an ATS id, those seen by 'view' carry none, so both exact tiers take part.
@@ -308,6 +309,24 @@ def _(spark, folder):
     return _plain(rows.select("user_id", "source_id", *HEALTH))
 
 
+@query(
+    "M2_stored_batches",
+    f"""WITH {STEPS_SQL} SELECT j.user_id, job_id, title, location, compensation_min, first_seen_at, last_seen_at,
+     CASE WHEN g.removed_at IS NOT NULL THEN 'removed' ELSE 'active' END AS status, g.removed_at FROM jobs j JOIN gone g USING (job_id)""",
+)
+def _(spark, folder):
+    """All but the last day goes to disk; that day meets what is read back and writes the buckets it touches."""
+    postings, runs, failures = batch(spark, folder)
+    last = F.col("started_at") >= F.lit("2024-01-30").cast("timestamp")
+    where = f"{shared_folder(spark)}/tidepost/registry-{uuid.uuid4().hex}"
+    registry = empty_registry(spark)
+    for version, part in enumerate((~last, last), 1):
+        changes = batch_changes(registry, postings.where(part), runs.where(part), failures.where(part), rule=None)
+        write_changes(changes, registry, where, version)
+        registry = read_registry(spark, where, version)
+    return _plain(registry.jobs.select(*[c for c in JOBS_OUT if c != "fingerprint"], "status", "removed_at"))
+
+
 # Each new job meets the others of its user as they are when its turn comes: their last names, and
 # whether a sighting of theirs still holds, that is no later run of its source has begun since.
 TURNS = f"""{STEPS_SQL}, held AS (SELECT s.job_id, s.user_id, s.started_at, s.run_id, s.position, lower(s.company_name) AS company, lower(s.title) AS title, s.location,

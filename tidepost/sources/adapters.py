@@ -41,6 +41,8 @@ TEXT_FIELDS = (
     "external_job_id",
 )
 POSTING_FIELDS = TEXT_FIELDS + ("compensation_min", "compensation_max", "published_at", "raw_payload")
+#: The visible text of ``description_html``, found once for all that need it.
+PLAIN_HTML = "description_plain"
 LINEAGE = ("user_id", "source_id", "source_name", "run_id", "started_at", "position")
 
 
@@ -334,7 +336,7 @@ def collect(
             "description_text": F.coalesce(filled(F.col("description_text")), F.col("plain")),
             "published_at": payload_time(F.col("published_at")),
         }
-    ).drop("plain")
+    ).withColumnRenamed("plain", PLAIN_HTML)
     rejects = items.where("reject_reason IS NOT NULL").select(
         *LINEAGE, "skip", "page_items", "reject_reason"
     )
@@ -385,8 +387,8 @@ def page_summary(
     )
 
 
-def counted_pages(items: DataFrame, summary: DataFrame) -> DataFrame:
-    """A4: items of the pages that count."""
-    return items.join(summary.select("run_id", "max_skip"), "run_id").where("skip <= max_skip").drop(
-        "max_skip"
-    )
+def counted_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """A4: items without those of pages behind a short one; runs of boards without pages keep all."""
+    ends = page_summary(pages).select("run_id", "max_skip")
+    rows = items.join(ends, "run_id", "left")
+    return rows.where("max_skip IS NULL OR skip <= max_skip").drop("max_skip")

@@ -10,7 +10,7 @@ from tidepost.functions.similarity import MatchRule
 from tidepost.operators.state import committed, empty_registry, newest_version, read_held, read_registry, write_changes
 from tidepost.plans.collect import batch_changes
 from tidepost.session import scratch, written
-from tidepost.sources.adapters import REGISTRY, collect, with_completeness
+from tidepost.sources.adapters import REGISTRY, collect, counted_pages, with_completeness
 from tidepost.sources.landed import LANDED_PARTS, whole_runs
 
 
@@ -32,7 +32,8 @@ def collect_continuously(
     committed version again. A stream with a new checkpoint folder goes on from that version too.
     A version writes the buckets that the batch touches; what the batch copied on its way is
     deleted. Rows of a run whose responses are not all there yet wait beside the registry, so a run takes
-    effect once, as a whole. A paged run with a gap is applied but removes nothing.
+    effect once, as a whole. A paged run with a gap is applied but removes nothing; what landed
+    behind its first short page does not count.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -55,8 +56,9 @@ def collect_continuously(
                 F.min("started_at").alias("started_at"), F.max("started_at").alias("completed_at")
             )
             runs = with_completeness(runs, found.pages)
-            postings = written(found.postings, "postings")
-            changes = batch_changes(before, postings, runs, found.failures, found.rejects, rule)
+            postings = written(counted_pages(found.postings, found.pages), "postings")
+            rejects = counted_pages(found.rejects, found.pages)
+            changes = batch_changes(before, postings, runs, found.failures, rejects, rule)
             write_changes(changes, before, state_folder, (version or 0) + 1, stream, batch_id, held)
 
     return (
