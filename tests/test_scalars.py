@@ -128,4 +128,7 @@ def test_run_labels(spark):
     end = "CAST('2031-01-01 00:03:05.6' AS TIMESTAMP)"
     assert one(spark, values.run_duration(F.expr(at), F.expr(end))) == "3m 6s"
     assert one(spark, values.run_duration(F.expr(at), F.expr("CAST(NULL AS TIMESTAMP)"))) == "—"
+    # 0.4994 s as microseconds, 0.500 s between the milliseconds of both ends.
+    at, end = (F.expr(f"CAST('2031-01-01 00:00:0{s}' AS TIMESTAMP_NTZ)") for s in ("0.000900", "0.500300"))
+    assert one(spark, values.run_duration(at, end)) == "1s"
     assert one(spark, values.run_label(F.lit("success"), F.lit(0))) == "Success · 0 jobs"
