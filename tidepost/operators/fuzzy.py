@@ -220,8 +220,12 @@ def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: b
     """Rows of new triples and matching names against the existing triples of those names.
 
     Either only existing triples at the same place, met by key, or only those elsewhere, whose
-    lengths must leave room for the score ``reached`` already.
+    lengths must leave room for the score ``reached`` already. Rows of single jobs, with their ``ord``,
+    meet only what holds then.
     """
+    by_job = "ord" in rows.columns
+    holds = _there() if by_job else F.lit(True)
+    who = [*TRIPLE, "job_id"] if by_job else TRIPLE
     right = existing.select(
         "user_id", F.col("title").alias("old_title"), F.col("company").alias("old_company"),
         F.col("location").alias("old_location"), "match_id", "since", "until",
@@ -230,9 +234,9 @@ def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: b
         pairs = rows.join(
             right.withColumnRenamed("old_location", "location"),
             ["user_id", "old_title", "old_company", "location"],
-        ).withColumn("location_score", F.lit(1.0))
+        ).where(holds).withColumn("location_score", F.lit(1.0))
     else:
-        pairs = rows.join(right, ["user_id", "old_title", "old_company"]).where("location <> old_location")
+        pairs = rows.join(right, ["user_id", "old_title", "old_company"]).where((F.col("location") != F.col("old_location")) & holds)
         a, b = F.length("location"), F.length("old_location")
         at_most = composite(
             F.col("company_score"), F.col("title_score"),
@@ -245,9 +249,7 @@ def _offers(rows: DataFrame, existing: DataFrame, rule: MatchRule, same_place: b
         pairs = pairs.join(places, ["location", "old_location"])
     company, title, place = F.col("company_score"), F.col("title_score"), F.col("location_score")
     pairs = pairs.withColumn("score", composite(company, title, place, rule))
-    return pairs.where(gates_pass(company, title, F.col("score"), rule)).select(
-        *TRIPLE, "match_id", "since", "until", *SCORES
-    )
+    return pairs.where(gates_pass(company, title, F.col("score"), rule)).select(*who, "match_id", *SCORES)
 
 
 def _still_open(rows: DataFrame, reached: DataFrame, rule: MatchRule) -> DataFrame:
@@ -259,32 +261,40 @@ def _still_open(rows: DataFrame, reached: DataFrame, rule: MatchRule) -> DataFra
     return rows.where(limit >= F.col("reached"))
 
 
-def triple_matches(new: DataFrame, existing: DataFrame, names: DataFrame, rule: MatchRule) -> DataFrame:
-    """Existing triples a job of a new triple may match best.
-
-    First the best triple at the same place among those that hold throughout; then triples
-    elsewhere, only under names that could beat it; then triples that hold for a part of the
-    batch, where they may beat that. ``existing`` carries the jobs that may stand for a triple.
-    """
-    rows = new.withColumns({"new_title": F.col("title"), "new_company": F.col("company")}).join(
+def _with_names(new: DataFrame, names: DataFrame) -> DataFrame:
+    """New triples with the matching names of either title and company."""
+    return new.withColumns({"new_title": F.col("title"), "new_company": F.col("company")}).join(
         names, ["user_id", "new_title", "new_company"]
     ).drop("new_title", "new_company")
-    stored, arrived = existing.where(_throughout()), existing.where(~_throughout())
+
+
+def triple_matches(new: DataFrame, stored: DataFrame, names: DataFrame, rule: MatchRule) -> DataFrame:
+    """Of the existing triples that hold throughout, the best for each new triple.
+
+    First the best triple at the same place, then triples elsewhere, only under names that could beat it.
+    """
+    rows = _with_names(new, names)
     here = written(_best(_offers(rows, stored, rule, True), TRIPLE), "here")
     elsewhere = _offers(_still_open(rows, here, rule), stored, rule, False)
-    best = _best(here.unionByName(elsewhere), TRIPLE)
-    if arrived.isEmpty():
-        return best
-    best = written(best, "stored-best")
-    open_rows = _still_open(rows, best, rule)
-    return best.unionByName(_offers(open_rows, arrived, rule, True)).unionByName(
-        _offers(open_rows, arrived, rule, False)
-    )
+    return _best(here.unionByName(elsewhere), TRIPLE)
+
+
+def arrived_matches(
+    new_jobs: DataFrame, arrived: DataFrame, names: DataFrame, reached: DataFrame, rule: MatchRule
+) -> DataFrame:
+    """Offers by new job of triples that hold for a part of the batch, where they may beat the score ``reached`` already.
+
+    A job meets those that hold at its place, so there are as many rows as postings that stand there then, however often
+    their names change in the batch.
+    """
+    rows = _still_open(_with_names(new_jobs.select(*TRIPLE).distinct(), names), reached, rule)
+    rows = rows.join(new_jobs.select(*TRIPLE, "job_id", "ord"), TRIPLE)
+    return _offers(rows, arrived, rule, True).unionByName(_offers(rows, arrived, rule, False))
 
 
 def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The highest score per key, equal scores by the lowest match id."""
-    fields = ["match_id", "since", "until", *SCORES]
+    fields = ["match_id", *SCORES]
     best = F.min_by(F.struct(*fields), F.struct(-F.col("score"), F.col("match_id"))).alias("best")
     return rows.groupBy(*keys).agg(best).select(*keys, "best.*")
 
@@ -339,10 +349,14 @@ def best_matches(new: DataFrame, existing: DataFrame, rule: MatchRule = MatchRul
     asked = rest.select(*TRIPLE).distinct()
     titles = written(title_pairs(asked, triples, rule), "titles")
     names = written(name_pairs(asked, triples, titles, rule), "names")
-    offered = triple_matches(asked, triples, names, rule)
-    found = rest.join(offered, TRIPLE).where(_there())
-    best = _best(found, ["user_id", "job_id"]).drop("since", "until")
-    return equal.unionByName(best)
+    offered = triple_matches(asked, triples.where(_throughout()), names, rule)
+    arrived = triples.where(~_throughout())
+    if not arrived.isEmpty():
+        offered = written(offered, "stored-best")
+        found = rest.join(offered, TRIPLE).unionByName(arrived_matches(rest, arrived, names, offered, rule), allowMissingColumns=True)
+    else:
+        found = rest.join(offered, TRIPLE)
+    return equal.unionByName(_best(found, ["user_id", "job_id"]))
 
 
 def scored_pairs(pairs: DataFrame, rule: MatchRule = MatchRule()) -> DataFrame:

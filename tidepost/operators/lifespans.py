@@ -96,6 +96,27 @@ def _names(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return found.withColumn("until", F.lead("since").over(in_turn))
 
 
+def _overlaid(names: DataFrame, states: DataFrame) -> DataFrame:
+    """Spans of a job by names and status. Either side has no gap from its first start on, so a span begins wherever one of
+    them does, and is as long as until the next begins: as many rows as both sides have, not as many as pairs of theirs."""
+    kind = names.select(F.struct(*NAMES).alias("names")).schema["names"].dataType
+    starts = names.select(*JOB, "since", F.struct(*NAMES).alias("names"), F.lit(None).cast("string").alias("status")).unionByName(
+        states.select(*JOB, "since", F.lit(None).cast(kind).alias("names"), "status")
+    )
+    starts = starts.groupBy(*JOB, "since").agg(F.max("names").alias("names"), F.max("status").alias("status"))
+    in_turn = Window.partitionBy(*JOB).orderBy("since")
+    so_far = in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = starts.withColumns(
+        {
+            "until": F.lead("since").over(in_turn),
+            "names": F.last("names", ignorenulls=True).over(so_far),
+            "status": F.last("status", ignorenulls=True).over(so_far),
+        }
+    )
+    held = held.where("names is not null and status is not null")
+    return held.select(*JOB, *[f"names.{n}" for n in NAMES], "status", "since", "until")
+
+
 def lifespans(
     rows: DataFrame, jobs: DataFrame, stored: DataFrame, links: DataFrame, runs: DataFrame, batch: DataFrame
 ) -> Lifespans:
@@ -109,11 +130,7 @@ def lifespans(
         *JOB, F.lit("removed").alias("status"), F.lit(None).cast(rows.schema["ord"].dataType).alias("since"), F.col("since").alias("until")
     )
     states = times.select(*JOB, F.lit("active").alias("status"), "since", "until").unionByName(gone).unionByName(was_gone)
-    states = states.withColumnsRenamed({"since": "from", "until": "to"})
-    spans = _names(rows, stored).join(states, JOB).select(
-        *JOB, *NAMES, "status", F.greatest("since", "from").alias("since"), F.least("until", "to").alias("until")
-    )
-    spans = written(spans.where("since is null or until is null or since < until"), "spans")
+    spans = written(_overlaid(_names(rows, stored), states), "spans")
     moving = spans.where("since is not null or until is not null").select(*JOB).distinct()
     removals = times.where("until is not null").select(*JOB, F.col("until").alias("at"), F.col("until")[rows.schema["ord"].dataType.names[0]].alias("gone_at"))
     return Lifespans(spans.join(moving, JOB, "left_semi"), moving, removals)
