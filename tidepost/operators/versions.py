@@ -2,47 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.operators.ordered import lagged
 
+HASHES = ("content_hash", "material_hash")
+
+
+def with_previous(sightings: DataFrame, order: list[str], fields: Sequence[str] = HASHES) -> DataFrame:
+    """Sightings of jobs with ``previous_`` fields of the sighting before, and ``follows``, null for the first of a job."""
+    before = {f"previous_{field}": field for field in fields}
+    return lagged(sightings, ["job_id"], order, {"follows": F.lit(True), **before})
 
-def with_previous(sightings: DataFrame, order: list[str]) -> DataFrame:
-    """Sightings of jobs with the content and material hash of the sighting before."""
-    return lagged(
-        sightings,
-        ["job_id"],
-        order,
-        {"previous_content": "content_hash", "previous_material": "material_hash"},
-    )
 
+def _differs(fields: Sequence[str]) -> Column:
+    return reduce(or_, [~F.col(f"previous_{field}").eqNullSafe(F.col(field)) for field in fields])
 
-def version_history(sightings: DataFrame, order: list[str]) -> DataFrame:
+
+def version_history(
+    sightings: DataFrame, order: list[str], content: Sequence[str] = HASHES, material: Sequence[str] = HASHES[1:]
+) -> DataFrame:
     """One version per job and content, at its first sighting.
 
-    A version is material when its material hash differs from the sighting right before,
+    A version is material when its material fields differ from the sighting right before,
     whatever older versions said; the first version of a job never is. A return to an old
-    content adds no version.
+    content adds no version. ``content`` names the columns that tell contents apart, ``material`` those of them that matter:
+    hashes, or the fields themselves where they are shorter, to be hashed in the versions alone.
     """
-    needed = dict.fromkeys(["job_id", "content_hash", "material_hash", "seen_at", *order])
-    rows = with_previous(sightings.select(*needed), order)
-    rows = rows.where(
-        F.col("previous_content").isNull() | (F.col("previous_content") != F.col("content_hash"))
-    )
-    first = F.min_by(
-        F.struct("seen_at", "material_hash", "previous_material", "previous_content"), F.struct(*order)
-    ).alias("first")
-    return rows.groupBy("job_id", "content_hash").agg(first).select(
-        "job_id",
-        "content_hash",
-        "first.seen_at",
-        "first.material_hash",
-        (
-            F.col("first.previous_content").isNotNull()
-            & ~F.col("first.previous_material").eqNullSafe(F.col("first.material_hash"))
-        ).alias("is_material"),
-    )
+    needed = dict.fromkeys(["job_id", *content, "seen_at", *order])
+    rows = with_previous(sightings.select(*needed), order, content)
+    rows = rows.where(F.col("follows").isNull() | _differs(content))
+    is_material = (F.col("follows").isNotNull() & _differs(material)).alias("is_material")
+    rows = rows.select("job_id", *content, *dict.fromkeys(["seen_at", *order]), is_material)
+    first = F.min_by(F.struct("seen_at", "is_material"), F.struct(*order)).alias("first")
+    return rows.groupBy("job_id", *content).agg(first).select("job_id", *content, "first.seen_at", "first.is_material")
 
 
 def previous_version(jobs: DataFrame, versions: DataFrame) -> DataFrame:

@@ -78,22 +78,30 @@ MATERIAL = """'{"pay":"' || CAST(CAST(floor(compensation_min) AS INT) AS STRING)
 ORDER = ["seen_at", "tie_no", "tie_part"]
 
 
+# What a sighting says, in the fields that its hashes are made of; all but the cosmetic one are material.
+MATERIAL_COLUMNS = ("pay", "remote", "type")
+CONTENT_COLUMNS = ("cosmetic", *MATERIAL_COLUMNS)
+
+
 def sightings(spark, folder):
     rows = view(spark, folder, "d4_versions")
-    cosmetic = F.round(F.col("cosmetic") * 100).cast("int").cast("string")
-    fields = {
-        "pay": F.floor("compensation_min").cast("string"),
-        "remote": F.col("remote_type"),
-        "type": F.col("employment_type"),
-    }
     return rows.select(
         "job_id",
         *ORDER,
-        stable_hash(cosmetic=cosmetic, **fields).alias("content_hash"),
-        stable_hash(**fields).alias("material_hash"),
+        F.round(F.col("cosmetic") * 100).cast("int").alias("cosmetic"),
+        F.floor("compensation_min").alias("pay"),
+        F.col("remote_type").alias("remote"),
+        F.col("employment_type").alias("type"),
     )
 
 
+def hashes(prefix: str = ""):
+    """Content and material hash of a sighting's fields."""
+    fields = {name: F.col(prefix + name).cast("string") for name in CONTENT_COLUMNS}
+    material = {name: fields[name] for name in MATERIAL_COLUMNS}
+    return stable_hash(**fields), stable_hash(**material)
+
+
 SIGHTINGS_SQL = f"""sightings AS (SELECT job_id, seen_at, tie_no, tie_part,
  sha256({CONTENT.replace("CAST(cosmetic * 100 AS INT)", "CAST(round(cosmetic * 100) AS INT)")}) AS content_hash,
  sha256({MATERIAL}) AS material_hash FROM d4_versions),
@@ -106,7 +114,9 @@ history AS (SELECT job_id, content_hash, seen_at, material_hash,
 
 
 def history(spark, folder):
-    return versions.version_history(sightings(spark, folder), ORDER)
+    rows = versions.version_history(sightings(spark, folder), ORDER, CONTENT_COLUMNS, MATERIAL_COLUMNS)
+    content, material = hashes()
+    return rows.select("job_id", content.alias("content_hash"), "seen_at", material.alias("material_hash"), "is_material")
 
 
 @query("J1_jobs_with_company", "SELECT j.*, c_name AS company_name FROM (SELECT * EXCLUDE (company_name) FROM d1_jobs) j JOIN customer ON c_custkey = company_id")
@@ -323,8 +333,9 @@ def _(spark, folder):
     f"""WITH {SIGHTINGS_SQL} SELECT job_id, seen_at, tie_no, tie_part, previous_content, previous_material FROM steps""",
 )
 def _(spark, folder):
-    rows = versions.with_previous(sightings(spark, folder), ORDER)
-    return rows.select("job_id", *ORDER, "previous_content", "previous_material")
+    rows = versions.with_previous(sightings(spark, folder), ORDER, CONTENT_COLUMNS)
+    content, material = (F.when(F.col("follows"), h) for h in hashes("previous_"))
+    return rows.select("job_id", *ORDER, content.alias("previous_content"), material.alias("previous_material"))
 
 
 @query("M3_version_history", f"WITH {SIGHTINGS_SQL} SELECT * FROM history")
@@ -340,8 +351,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     current = sightings(spark, folder).groupBy("job_id").agg(
-        F.max_by("content_hash", F.struct(*ORDER)).alias("content_hash")
-    )
+        F.max_by(F.struct(*CONTENT_COLUMNS), F.struct(*ORDER)).alias("last")
+    ).select("job_id", hashes("last.")[0].alias("content_hash"))
     return versions.previous_version(current, history(spark, folder))
 
 
