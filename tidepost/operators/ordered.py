@@ -20,11 +20,19 @@ BUCKETS, CROWDED = 1 << 16, 500_000
 
 
 def _by_size(
-    df: DataFrame, keys: list[str], whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]
+    df: DataFrame, keys: list[str], whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame],
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """``whole`` of the rows in buckets of usual size, ``cut`` of those in crowded ones; both give the same columns."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
-    counts = df.groupBy(bucket.alias("bucket")).count()
+    """``whole`` of the rows in buckets of usual size, ``cut`` of those in crowded ones; both give the same columns.
+
+    ``counted`` has the ``rows`` by some of the keys, where they are known without a pass over ``df``.
+    """
+    if counted is None:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+        counts = df.groupBy(bucket.alias("bucket")).count()
+    else:
+        bucket = F.pmod(F.xxhash64(*[k for k in keys if k in counted.columns]), F.lit(BUCKETS))
+        counts = counted.groupBy(bucket.alias("bucket")).agg(F.sum("rows").alias("count"))
     # No more numbers than there are buckets.
     crowded = [r["bucket"] for r in counts.where(F.col("count") > CROWDED).collect()]
     if not crowded:
@@ -44,8 +52,10 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return out
 
 
-def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str | Column]) -> DataFrame:
-    """Adds for every ``output: input`` of ``columns`` the input of the previous row of the key."""
+def lagged(
+    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str | Column], counted: DataFrame | None = None
+) -> DataFrame:
+    """Adds for every ``output: input`` of ``columns`` the input of the previous row of the key; ``counted`` as above."""
 
     def whole(rows: DataFrame) -> DataFrame:
         in_order = Window.partitionBy(*keys).orderBy(*order)
@@ -69,7 +79,7 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str,
             ],
         )
 
-    return _by_size(df, keys, whole, cut)
+    return _by_size(df, keys, whole, cut, counted)
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:

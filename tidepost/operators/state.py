@@ -169,10 +169,11 @@ class Store:
         """Writes what changes, and whole only the buckets with rows that are replaced, or with many small parts."""
         parts = dict(self.parts)
         for table, rows in changes.replaced.items():
-            rows = written(rows, table)
-            touched = buckets_of(rows, BUCKETED_BY[table], self.buckets)
+            # Whole rows move once, into their buckets; what they replace is told by their keys.
             keys = ROW_KEYS[table]
-            left = self.read(spark, table, touched).join(rows.select(*keys), keys, "left_anti")
+            ids = written(rows.select(*keys), table)
+            touched = buckets_of(ids, BUCKETED_BY[table], self.buckets)
+            left = self.read(spark, table, touched).join(ids, keys, "left_anti")
             made = self._put(left.unionByName(rows), table, version)
             parts[table] = [p for p in parts.get(table, []) if p[0] not in touched] + made
         for table, rows in changes.added.items():

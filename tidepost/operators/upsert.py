@@ -85,11 +85,12 @@ def by_fingerprint(keys: DataFrame, jobs: DataFrame) -> DataFrame:
         return rows.select(*keys.columns, F.col("hit").alias("target"), F.lit(False).alias("via_merge"))
     moved = survivors(jobs).select("user_id", F.col("job_id").alias("hit"), "survivor_id")
     rows = rows.join(moved, ["user_id", "hit"], "left")
-    return rows.select(
+    rows = rows.select(
         *keys.columns,
         F.coalesce("survivor_id", "hit").alias("target"),
         F.col("survivor_id").isNotNull().alias("via_merge"),
     )
+    return written(rows, "matches")
 
 
 def by_ats_id(keys: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -139,12 +140,12 @@ def joined_postings(keys: DataFrame) -> DataFrame:
 
 
 def matched_keys(items: DataFrame, registry: Registry) -> DataFrame:
-    """Distinct keys of a batch with the job each belongs to and whether that job is new."""
+    """Distinct keys of a batch with their number of items, the job each belongs to and whether that job is new."""
     jobs = registry.jobs
-    keys = items.groupBy(*KEYS).agg(F.min("ord").alias("first_ord"))
-    keys = written(by_fingerprint(keys, jobs), "matches")
+    keys = items.groupBy(*KEYS).agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n_items"))
+    keys = by_fingerprint(keys, jobs)
     exact = keys.where("target IS NOT NULL").select(
-        *KEYS, F.col("target").alias("job_id"), "via_merge", F.lit(False).alias("is_new")
+        *KEYS, "n_items", F.col("target").alias("job_id"), "via_merge", F.lit(False).alias("is_new")
     )
     open_keys = by_ats_id(keys.where("target IS NULL").drop("target", "via_merge"), jobs)
     labelled = joined_postings(open_keys)
@@ -169,7 +170,7 @@ def matched_keys(items: DataFrame, registry: Registry) -> DataFrame:
     )
     rest = labelled.drop("ats_hit").join(heads, ["user_id", "label"])
     return exact.unionByName(
-        rest.select(*KEYS, "job_id", F.lit(False).alias("via_merge"), "is_new")
+        rest.select(*KEYS, "n_items", "job_id", F.lit(False).alias("via_merge"), "is_new")
     )
 
 
@@ -179,15 +180,15 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
     An item older than the last sighting of its job is late: it leaves the content as it is.
     Only keys, hashes and times take part; texts and payloads stay where they were written.
     """
-    matches = matched_keys(items, registry)
+    matches = written(matched_keys(items, registry), "matched-keys")
     slim = items.select(
         *KEYS, *ORDER, "ord", "source_id", "seen_at", "content_hash", "material_hash",
         "company_name", "normalized_company", "normalized_title", "location",
         F.coalesce(filled(F.col("source_job_url")), F.col("application_url")).alias("link_url"),
     )
-    rows = written(slim.join(matches, KEYS), "matched-items")
+    rows = slim.join(matches.drop("n_items"), KEYS)
     # Jobs and versions shrink to those of the batch first; Spark may broadcast the ids if they are few.
-    ids = rows.select("job_id").distinct()
+    ids = matches.select("job_id").distinct()
     stored = registry.near("jobs", ids).select(
         "job_id", F.col("content_hash").alias("stored_content"), F.col("last_seen_at").alias("stored_seen")
     ).join(
@@ -207,6 +208,7 @@ def sequenced(items: DataFrame, registry: Registry) -> DataFrame:
         ["job_id", "late"],
         ORDER,
         {"previous_content": "content_hash", "previous_material": "material_hash"},
+        counted=matches.groupBy("job_id").agg(F.sum("n_items").alias("rows")),
     )
     first = F.col("previous_content").isNull()
     before = F.coalesce("previous_content", "stored_content")

@@ -38,10 +38,10 @@ def _items_text(json_k: str) -> str:
 
 
 def batch(spark, folder):
-    """Postings, runs and failures of the whole batch."""
+    """Postings, runs and failures of the whole batch, which lands once."""
     rows = sql(spark, folder, _items_text("get_json_object(item_json, '$.k')"))
     stamp = {c: F.col(c).cast("timestamp") for c in ("started_at", "completed_at", "seen_at")}
-    rows = rows.withColumns(stamp)
+    rows = written(rows.withColumns(stamp), "landed")
     empty = {
         c: F.lit(None).cast("string")
         for c in (

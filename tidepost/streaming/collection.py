@@ -51,12 +51,12 @@ def collect_continuously(
             whole = written(whole_runs(there), "whole-runs")
             landed_rows = there.join(whole, run, "left_semi")
             held = there.join(whole, run, "left_anti")
-            found = collect(landed_rows, adapters)
+            found = collect(landed_rows, adapters, once=True)
             runs = landed_rows.groupBy("user_id", "source_id", "run_id").agg(
                 F.min("started_at").alias("started_at"), F.max("started_at").alias("completed_at")
             )
             runs = with_completeness(runs, found.pages)
-            postings = written(counted_pages(found.postings, found.pages), "postings")
+            postings = counted_pages(found.postings, found.pages)
             rejects = counted_pages(found.rejects, found.pages)
             changes = batch_changes(before, postings, runs, found.failures, rejects, rule)
             write_changes(changes, before, state_folder, (version or 0) + 1, stream, batch_id, held)
