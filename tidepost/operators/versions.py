@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +43,11 @@ def version_history(
     return rows.groupBy("job_id", *content).agg(first).select("job_id", *content, "first.seen_at", "first.is_material")
 
 
-def previous_version(jobs: DataFrame, versions: DataFrame) -> DataFrame:
-    """Jobs with the stored version of their current content, if there is one."""
-    current = versions.select(
-        "job_id", "content_hash", F.col("seen_at").alias("version_seen_at"), "is_material"
-    )
-    return jobs.join(current, ["job_id", "content_hash"], "left")
+def previous_version(jobs: DataFrame, versions: DataFrame, content: Sequence[str] = HASHES[:1]) -> DataFrame:
+    """Jobs with the stored version of their current content, if there is one.
+
+    ``content`` names the columns that tell contents apart, as in ``version_history``; without a value equals without one.
+    """
+    mine, theirs = jobs.alias("j"), versions.alias("v")
+    same = reduce(and_, [F.col(f"j.{c}").eqNullSafe(F.col(f"v.{c}")) for c in content], F.col("j.job_id") == F.col("v.job_id"))
+    return mine.join(theirs, same, "left").select("j.*", F.col("v.seen_at").alias("version_seen_at"), "v.is_material")

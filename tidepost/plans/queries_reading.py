@@ -350,10 +350,12 @@ def _(spark, folder):
     SELECT n.job_id, n.content_hash, h.seen_at AS version_seen_at, h.is_material FROM now n LEFT JOIN history h USING (job_id, content_hash)""",
 )
 def _(spark, folder):
-    current = sightings(spark, folder).groupBy("job_id").agg(
-        F.max_by(F.struct(*CONTENT_COLUMNS), F.struct(*ORDER)).alias("last")
-    ).select("job_id", hashes("last.")[0].alias("content_hash"))
-    return versions.previous_version(current, history(spark, folder))
+    rows = sightings(spark, folder)
+    last = F.max_by(F.struct(*CONTENT_COLUMNS), F.struct(*ORDER)).alias("last")
+    current = rows.groupBy("job_id").agg(last).select("job_id", "last.*")
+    stored = versions.version_history(rows, ORDER, CONTENT_COLUMNS, MATERIAL_COLUMNS)
+    found = versions.previous_version(current, stored, CONTENT_COLUMNS)
+    return found.select("job_id", hashes()[0].alias("content_hash"), "version_seen_at", "is_material")
 
 
 @query("W5_latest_runs", f"""WITH {RUNS_SQL} SELECT * FROM (SELECT source_id, run_id, started_at, status, jobs_found,
