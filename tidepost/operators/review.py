@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,48 +107,39 @@ def checked_decisions(decisions: DataFrame, candidates: DataFrame, jobs: DataFra
     job in one round; more rounds are needed only along chains. Outcomes: ``merged``,
     ``not_pending``, ``not_found``.
     """
-    known = decisions.join(
-        candidates.select(
-            "user_id", "candidate_id", "job_id", "candidate_job_id", F.col("status").alias("candidate_status")
-        ),
-        ["user_id", "candidate_id"],
-        "left",
-    )
-    first = known.groupBy("user_id", "candidate_id").agg(F.min("decided_at").alias("first_at"))
-    active = jobs.where("status = 'active'").select("user_id", "job_id")
-    rows = known.join(first, ["user_id", "candidate_id"])
-    for side, flag in (("job_id", "job_active"), ("candidate_job_id", "candidate_active")):
-        rows = rows.join(
-            active.select("user_id", F.col("job_id").alias(side), F.lit(True).alias(flag)), ["user_id", side], "left"
-        )
+    keys = ["user_id", "candidate_id"]
+    first = decisions.groupBy(*keys).agg(F.min("decided_at").alias("first_at"))
+    known = candidates.select(*keys, "job_id", "candidate_job_id", F.col("status").alias("candidate_status"))
     keep_job = F.col("keep") == "job"
-    open_now = (
-        (F.col("candidate_status") == "pending")
-        & F.coalesce("job_active", F.lit(False))
-        & F.coalesce("candidate_active", F.lit(False))
-        & (F.col("decided_at") == F.col("first_at"))
-    )
-    rows = rows.select(
-        "user_id", "candidate_id", "decided_at",
+    open_now = (F.col("candidate_status") == "pending") & (F.col("decided_at") == F.col("first_at"))
+    rows = decisions.join(known, keys, "left").join(first, keys).select(
+        *keys, "decided_at",
         F.when(keep_job, F.col("job_id")).otherwise(F.col("candidate_job_id")).alias("kept_job_id"),
         F.when(keep_job, F.col("candidate_job_id")).otherwise(F.col("job_id")).alias("merged_job_id"),
         F.when(F.col("candidate_status").isNull(), "not_found").when(~open_now, "not_pending").alias("outcome"),
     )
-    rows = rows.withColumn("turn", F.struct("decided_at", "candidate_id"))
+    active = jobs.where("status = 'active'")
+    for side, flag in (("kept_job_id", "kept_active"), ("merged_job_id", "merged_active")):
+        rows = rows.join(active.select("user_id", F.col("job_id").alias(side), F.lit(True).alias(flag)), ["user_id", side], "left")
+    stale = F.when(F.col("kept_active").isNull() | F.col("merged_active").isNull(), "not_pending")
+    rows = rows.select(
+        *keys, "decided_at", "kept_job_id", "merged_job_id", F.coalesce("outcome", stale).alias("outcome")
+    )
     state = written(rows, "decisions")
-    keys = ["user_id", "candidate_id"]
+    checked = state.where("outcome IS NOT NULL")
     while True:
-        waiting = state.where("outcome IS NULL")
+        waiting = state.where("outcome IS NULL").withColumn("turn", F.struct("decided_at", "candidate_id"))
         if waiting.isEmpty():
-            return state.drop("turn")
+            return checked
         sides = waiting.select(
             *keys, "turn", F.explode(F.array("kept_job_id", "merged_job_id")).alias("side")
         )
         threat = waiting.groupBy("user_id", F.col("merged_job_id").alias("side")).agg(
             F.min("turn").alias("threat")
         )
+        # A merge settles what comes after it in the round that follows, so only those of the round before count.
         gone = state.where("outcome = 'merged'").select(
-            "user_id", F.col("merged_job_id").alias("side"), F.col("turn").alias("gone")
+            "user_id", F.col("merged_job_id").alias("side"), F.struct("decided_at", "candidate_id").alias("gone")
         )
         verdict = (
             sides.join(threat, ["user_id", "side"], "left")
@@ -159,14 +152,14 @@ def checked_decisions(decisions: DataFrame, candidates: DataFrame, jobs: DataFra
         )
         settled = waiting.join(verdict, keys).withColumn(
             "outcome", F.when(F.col("late"), "not_pending").when(F.col("safe"), "merged")
-        ).select(*state.columns)
-        state = written(state.where("outcome IS NOT NULL").unionByName(settled), "decisions")
+        )
+        state = written(settled.select(*state.columns), "decisions")
+        checked = checked.unionByName(state.where("outcome IS NOT NULL"))
 
 
 def _wave(todo: DataFrame) -> DataFrame:
-    """Decisions that can apply together: for every kept job the open ones from its oldest on
-    whose merged job has nothing left to receive."""
-    keys = ["user_id", "candidate_id"]
+    """Decisions and whether each is ``ready``. Those that are can apply together: for every kept job the open ones from its
+    oldest on whose merged job has nothing left to receive."""
     receives = todo.groupBy("user_id", F.col("kept_job_id").alias("merged_job_id")).agg(
         F.min("turn").alias("receives")
     )
@@ -174,24 +167,26 @@ def _wave(todo: DataFrame) -> DataFrame:
         "complete", F.coalesce(F.col("receives") > F.col("turn"), F.lit(True))
     )
     barrier = rows.where("NOT complete").groupBy("user_id", "kept_job_id").agg(F.min("turn").alias("barrier"))
-    rows = rows.where("complete").join(barrier, ["user_id", "kept_job_id"], "left")
-    ready = rows.where("barrier IS NULL OR turn < barrier").select(*keys)
-    return todo.join(ready, keys, "left_semi")
+    ready = F.col("complete") & F.coalesce(F.col("turn") < F.col("barrier"), F.lit(True))
+    return rows.join(barrier, ["user_id", "kept_job_id"], "left").select(*todo.columns, ready.alias("ready"))
 
 
-def _moves(rows: DataFrame, wave: DataFrame, key: str, kind: str) -> DataFrame:
+def _moves(places: DataFrame, wave: DataFrame, key: str) -> DataFrame:
     """Rows of merged-away jobs that pass to the kept job.
 
     A row moves unless the kept job has one with the same key already, or an earlier merge of
-    the wave brings one.
+    the wave brings one. No job of a wave is both kept and merged away.
     """
-    mine = rows.select("user_id", F.col("job_id").alias("merged_job_id"), key, "origin_job_id")
-    theirs = rows.select("user_id", F.col("job_id").alias("kept_job_id"), key)
-    free = mine.join(wave, ["user_id", "merged_job_id"]).join(theirs, ["user_id", "kept_job_id", key], "left_anti")
-    first = F.min_by(F.struct("candidate_id", "merged_job_id", "origin_job_id"), "turn").alias("first")
-    return free.groupBy("user_id", "kept_job_id", key).agg(first).select(
-        "user_id", "kept_job_id", key, "first.*", F.lit(kind).alias("kind")
+    gone = wave.select(
+        "user_id", F.col("merged_job_id").alias("job_id"), F.col("kept_job_id").alias("to_job"), "candidate_id", "turn"
     )
+    kept = wave.select("user_id", F.col("kept_job_id").alias("job_id"), F.col("kept_job_id").alias("to_job")).distinct()
+    rows = places.join(gone.unionByName(kept, allowMissingColumns=True), ["user_id", "job_id"])
+    found = rows.groupBy("user_id", "to_job", key).agg(
+        F.bool_or(F.col("turn").isNull()).alias("held"),
+        F.min_by(F.struct("candidate_id", "origin_job_id", "start_job"), "turn").alias("first"),
+    )
+    return found.where("NOT held").select("user_id", F.col("to_job").alias("job_id"), key, "first.*")
 
 
 def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry, DataFrame]:
@@ -199,31 +194,35 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
 
     Decisions apply as if one after the other. A job that keeps a duplicate can itself be
     merged away later, so rows move in waves along such chains. Only the keys of rows of jobs
-    that a decision names take part in the waves; the tables are joined with the outcome once.
+    that a decision still names take part in a wave; the tables are joined with the outcome once.
     """
-    checked = written(checked_decisions(decisions, registry.candidates, registry.jobs), "checked")
-    todo = checked.where("outcome = 'merged'").withColumn("turn", F.struct("decided_at", "candidate_id"))
-    todo = written(todo.drop("outcome"), "todo")
+    checked = checked_decisions(decisions, registry.candidates, registry.jobs)
+    done = checked.where("outcome = 'merged'")
+    todo = done.withColumn("turn", F.struct("decided_at", "candidate_id")).drop("outcome")
     moves = registry.moves
-    links = written(_places(registry.links, todo, "source_id"), "link-places")
-    versions = written(_places(registry.versions, todo, "content_hash"), "version-places")
+    keys = {"links": "source_id", "versions": "content_hash"}
+    places, moved = {}, {table: [] for table in keys}
     while not todo.isEmpty():
-        wave = written(_wave(todo), "wave")
-        link_moves = written(_moves(links, wave, "source_id", "link"), "link-moves")
-        version_moves = written(_moves(versions, wave, "content_hash", "version"), "version-moves")
-        links = written(_moved(links, link_moves, "source_id"), "link-places")
-        versions = written(_moved(versions, version_moves, "content_hash"), "version-places")
-        for part, key in ((link_moves, "source_id"), (version_moves, "content_hash")):
+        for table, key in keys.items():
+            rows = places.get(table)
+            if rows is None:
+                rows = getattr(registry, table).withColumn("start_job", F.col("job_id"))
+            places[table] = written(_places(rows, todo, key), f"{table}-places")
+        waves = written(_wave(todo), "wave")
+        todo = waves.where("NOT ready").drop("ready")
+        for table, key in keys.items():
+            new = written(_moves(places[table], waves.where("ready"), key), f"{table}-moves")
+            moved[table].append(new)
+            places[table] = places[table].unionByName(new.drop("candidate_id"))
             moves = moves.unionByName(
-                part.select(
-                    "user_id", "candidate_id", "kind", "origin_job_id", F.col(key).cast("string").alias("moved_key")
+                new.select(
+                    "user_id", "candidate_id", F.lit(table[:-1]).alias("kind"), "origin_job_id",
+                    F.col(key).cast("string").alias("moved_key"),
                 )
             )
-        todo = written(todo.join(wave.select("user_id", "candidate_id"), ["user_id", "candidate_id"], "left_anti"), "todo")
-    done = checked.where("outcome = 'merged'")
     after = registry.changed(
-        links=_settled(registry.links, links, "source_id"),
-        versions=_settled(registry.versions, versions, "content_hash"),
+        links=_settled(registry.links, moved["links"], "source_id"),
+        versions=_settled(registry.versions, moved["versions"], "content_hash"),
         moves=moves,
         jobs=tombstoned(registry.jobs, done),
         candidates=resolved_as_merged(registry.candidates, done),
@@ -233,27 +232,22 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
 
 
 def _places(rows: DataFrame, todo: DataFrame, key: str) -> DataFrame:
-    """Keys of the rows of jobs that a decision names, with the job each row starts at."""
+    """Keys of the rows of jobs that a decision names, with the job each row starts at.
+
+    Jobs merged away by a wave are named by no later decision, so the rows they lost go with them.
+    """
     named = todo.select("user_id", F.explode(F.array("kept_job_id", "merged_job_id")).alias("job_id")).distinct()
-    return rows.join(named, ["user_id", "job_id"], "left_semi").select(
-        "user_id", "job_id", key, "origin_job_id", F.col("job_id").alias("start_job")
-    )
+    return rows.join(named, ["user_id", "job_id"], "left_semi").select("user_id", "job_id", key, "origin_job_id", "start_job")
 
 
-def _settled(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
-    """Rows at the jobs the waves brought them to."""
-    to = places.where("job_id <> start_job").select(
-        "user_id", F.col("start_job").alias("job_id"), key, F.col("job_id").alias("to_job")
+def _settled(rows: DataFrame, moved: list[DataFrame], key: str) -> DataFrame:
+    """Rows at the jobs the last wave that moved them brought them to."""
+    if not moved:
+        return rows
+    numbered = [part.withColumn("wave", F.lit(number)) for number, part in enumerate(moved)]
+    to = reduce(DataFrame.unionByName, numbered).groupBy("user_id", F.col("start_job").alias("job_id"), key).agg(
+        F.max_by("job_id", "wave").alias("to_job")
     )
-    return _placed(rows, to, key)
-
-
-def _moved(rows: DataFrame, moves: DataFrame, key: str) -> DataFrame:
-    to = moves.select("user_id", F.col("merged_job_id").alias("job_id"), key, F.col("kept_job_id").alias("to_job"))
-    return _placed(rows, to, key)
-
-
-def _placed(rows: DataFrame, to: DataFrame, key: str) -> DataFrame:
     out = rows.join(to, ["user_id", "job_id", key], "left")
     return out.withColumn("job_id", F.coalesce("to_job", "job_id")).select(*rows.columns)
 
