@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepost.operators import review
 from tidepost.operators.state import empty_registry
+from tidepost.plans.registered import QUERIES
 
 START = datetime(2031, 1, 1, tzinfo=timezone.utc)
 
@@ -99,3 +100,28 @@ def test_a_round_writes_what_is_open(spark, monkeypatch):
     assert sorted(r.job_id for r in after.links.where("job_id LIKE 'j%'").collect()) == ["j3"] * 4
     assert sizes["decisions"][0] == many + 3 and sum(sizes["decisions"][1:]) <= 3 * 3
     assert max(sum(v) for k, v in sizes.items() if k != "decisions") <= 3 * 4
+
+
+def test_tombstones_need_no_rows_of_links_and_versions(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(review, "written", lambda df, label, write=review.written: labels.append(label) or write(df, label))
+    found = QUERIES["M9_tombstones"](spark, "/root/testdata/sf0.001")
+    assert found.where("status = 'merged' AND merged_into_job_id IS NOT NULL").count() > 0
+    assert set(labels) == {"decisions"}
+    files = [file.rsplit("/", 1)[-1] for file in found.inputFiles()]
+    assert "lineitem.parquet" not in files
+
+
+def test_decided_tables_are_those_of_the_merge(spark):
+    jobs = [(f"j{i}", "active") for i in range(6)]
+    candidates = [(f"c{i}", f"j{i + 1}", f"j{i}", "pending") for i in range(5)]
+    decisions = [(c, ("job", "candidate")[i % 2], START + timedelta(hours=7 * i % 5)) for i, (c, *_) in enumerate(candidates)]
+    state, wanted = filled(spark, jobs, [(j, j) for j, _ in jobs], candidates), asked(spark, decisions)
+    tables, checked = review.decided(state, wanted)
+    after, outcomes = review.merged_registry(state, wanted)
+    assert sorted(checked.collect()) == sorted(outcomes.collect())
+    for name, columns in {
+        "jobs": ["job_id", "status", "merged_into_job_id"], "candidates": ["candidate_id", "status", "kept_job_id"], "events": ["entity_id", "message"],
+    }.items():
+        found = sorted(map(tuple, tables[name].select(*columns).collect()), key=repr)
+        assert found == sorted(map(tuple, getattr(after, name).select(*columns).collect()), key=repr)

@@ -189,6 +189,21 @@ def _moves(places: DataFrame, wave: DataFrame, key: str) -> DataFrame:
     return found.where("NOT held").select("user_id", F.col("to_job").alias("job_id"), key, "first.*")
 
 
+def decided(registry: Registry, decisions: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables that follow from the outcomes of merge decisions alone, and every decision's outcome.
+
+    Tombstones, candidates and events do not depend on the rows that pass from job to job, so links and versions are not read.
+    """
+    checked = checked_decisions(decisions, registry.candidates, registry.jobs)
+    done = checked.where("outcome = 'merged'")
+    tables = {
+        "jobs": tombstoned(registry.jobs, done),
+        "candidates": resolved_as_merged(registry.candidates, done),
+        "events": registry.events.unionByName(merge_events(done)),
+    }
+    return tables, checked
+
+
 def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry, DataFrame]:
     """The registry after a batch of merge decisions, and every decision's outcome.
 
@@ -196,9 +211,8 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
     merged away later, so rows move in waves along such chains. Only the keys of rows of jobs
     that a decision still names take part in a wave; the tables are joined with the outcome once.
     """
-    checked = checked_decisions(decisions, registry.candidates, registry.jobs)
-    done = checked.where("outcome = 'merged'")
-    todo = done.withColumn("turn", F.struct("decided_at", "candidate_id")).drop("outcome")
+    tables, checked = decided(registry, decisions)
+    todo = checked.where("outcome = 'merged'").withColumn("turn", F.struct("decided_at", "candidate_id")).drop("outcome")
     moves = registry.moves
     keys = {"links": "source_id", "versions": "content_hash"}
     places, moved = {}, {table: [] for table in keys}
@@ -221,12 +235,10 @@ def merged_registry(registry: Registry, decisions: DataFrame) -> tuple[Registry,
                 )
             )
     after = registry.changed(
+        **tables,
         links=_settled(registry.links, moved["links"], "source_id"),
         versions=_settled(registry.versions, moved["versions"], "content_hash"),
         moves=moves,
-        jobs=tombstoned(registry.jobs, done),
-        candidates=resolved_as_merged(registry.candidates, done),
-        events=registry.events.unionByName(merge_events(done)),
     )
     return after, checked
 

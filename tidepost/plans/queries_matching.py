@@ -237,8 +237,8 @@ def _(spark, folder):
     FROM d1_jobs j LEFT JOIN (SELECT gone, kept, w.valid FROM walk w JOIN cand USING (candidate_id) WHERE w.valid) c ON c.gone = j.job_id LEFT JOIN (SELECT true AS valid) w ON c.valid""",
 )
 def _(spark, folder):
-    after, _ = review.merged_registry(registry(spark, folder), decisions(spark, folder))
-    return after.jobs.select("job_id", "status", "merged_into_job_id")
+    tables, _ = review.decided(registry(spark, folder), decisions(spark, folder))
+    return tables["jobs"].select("job_id", "status", "merged_into_job_id")
 
 
 @query(
@@ -248,8 +248,8 @@ def _(spark, folder):
     FROM walk w JOIN cand USING (candidate_id) WHERE w.valid""",
 )
 def _(spark, folder):
-    after, _ = review.merged_registry(registry(spark, folder), decisions(spark, folder))
-    return after.events.select("event_type", "entity_id", "message", "data", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    tables, _ = review.decided(registry(spark, folder), decisions(spark, folder))
+    return tables["events"].select("event_type", "entity_id", "message", "data", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 def _unmerged(spark, folder):
