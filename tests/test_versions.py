@@ -1,5 +1,8 @@
 """Stored versions found by the fields of their content."""
 
+import pytest
+
+from tidepost.operators import ordered
 from tidepost.operators.versions import previous_version
 from tidepost.plans.registered import QUERIES
 
@@ -21,3 +24,13 @@ def test_only_the_versions_found_are_hashed(spark):
     plan = QUERIES["J11_previous_version"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join", 1)
     assert above.count("sha2(") == 1 and "sha2(" not in below
+
+
+@pytest.mark.parametrize("name, hashed", [("M3_version_history", True)])
+def test_sightings_are_shuffled_as_fields(spark, monkeypatch, name, hashed):
+    copies = []
+    monkeypatch.setattr(ordered, "written", lambda df, label, write=ordered.written: copies.append(label) or write(df, label))
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not copies and "rangepartitioning" not in plan
+    assert "Exchange" in plan and "sha2(" not in plan.split("Exchange", 1)[1]
+    assert ("sha2(" in plan) == hashed
