@@ -26,7 +26,7 @@ def test_only_the_versions_found_are_hashed(spark):
     assert above.count("sha2(") == 1 and "sha2(" not in below
 
 
-@pytest.mark.parametrize("name, hashed", [("M3_version_history", True), ("J13_changed_jobs", False), ("G1_dashboard", False)])
+@pytest.mark.parametrize("name, hashed", [("M3_version_history", True), ("J13_changed_jobs", False), ("G1_dashboard", False), ("G2_changed_job_count", False)])
 def test_sightings_are_shuffled_as_fields(spark, monkeypatch, name, hashed):
     copies = []
     monkeypatch.setattr(ordered, "written", lambda df, label, write=ordered.written: copies.append(label) or write(df, label))
